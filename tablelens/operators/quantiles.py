@@ -3,12 +3,14 @@
 ``percentile`` keeps every distinct value of a column in one aggregation
 buffer, which does not fit once a column has billions of them, and sorting the
 column would move all of it.  Here each pass is a column-pruned scan with an
-ordinary partial aggregation: a bounded sketch proposes two pivots close to the
-wanted rank, the next pass counts exactly how many values lie below and on
-them, and the open interval that still holds the rank shrinks by about the
-sketch's error (1/5,000).  A value held by a third of the rows becomes a pivot and is
-then either the answer or outside the interval.  Once an interval holds at
-most ``FINAL_VALUES`` values they are sorted in one small buffer.
+ordinary partial aggregation: a bounded KLL sketch proposes two pivots close to
+the wanted rank, the next pass counts exactly how many values lie below and on
+them, and the open interval that still holds the rank shrinks to about twice
+``MARGIN`` of its size.  The pivots are values of the column, so a value held by
+a third of the rows becomes a pivot and is then either the answer or outside
+the interval.  Once an interval holds at most ``FINAL_VALUES`` values they are
+sorted in one small buffer.  The sketch only affects how many passes are
+needed, never the result.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import value_of
 
 FINAL_VALUES = 50_000
-ACCURACY = 10_000
-MARGIN = 1.0 / 5_000
+SKETCH_SIZE = 2_000
+MARGIN = 1.0 / 300
+# Sketches of all tasks are merged in this many groups before the last merge.
+MERGE_GROUPS = 256
 
 
 @dataclass
@@ -49,8 +54,16 @@ class _Search:
         self.answer, self.done = value, True
 
 
+def _integral(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.IntegralType)
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    return value_of(df, column).cast("bigint" if _integral(df, column) else "double")
+
+
 def _inside(df: DataFrame, s: _Search) -> Column:
-    c = value_of(df, s.column)
+    c = _number(df, s.column)
     keep = c.isNotNull()
     if s.low is not None:
         keep = keep & (c > F.lit(s.low))
@@ -64,41 +77,80 @@ def _read_small(df: DataFrame, searches: list[_Search]) -> None:
     shared: dict[tuple, list[_Search]] = {}
     for s in searches:
         shared.setdefault(s.interval, []).append(s)
-    picks, order = [], []
-    for group in shared.values():
-        values = F.sort_array(F.collect_list(_inside(df, group[0])))
-        ranks = [s.rank - s.below + 1 for s in group]
-        picks.append(F.transform(F.array(*[F.lit(r) for r in ranks]), lambda r, v=values: F.element_at(v, r)))
-        order.append(group)
-    row = df.agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()
-    for group, values in zip(order, row):
-        for s, value in zip(group, values):
-            s.settle(value)
+    groups = list(shared.values())
+    ordered = df.agg(
+        *[F.sort_array(F.collect_list(_inside(df, g[0]))).alias(f"v{i}") for i, g in enumerate(groups)]
+    )
+    picks = [
+        F.element_at(F.col(f"v{i}"), s.rank - s.below + 1).alias(f"p{i}_{j}")
+        for i, g in enumerate(groups)
+        for j, s in enumerate(g)
+    ]
+    row = ordered.select(*picks).first()
+    for s, value in zip([s for g in groups for s in g], row):
+        s.settle(value)
+
+
+def sketch_quantiles(df: DataFrame, asked: Sequence[tuple[str, Column, Sequence[float]]]) -> list[list]:
+    """Approximate quantiles of several expressions from one scan.
+
+    The sketches of the tasks meet in ``MERGE_GROUPS`` places first, so that no
+    single task merges one sketch per input split.
+    """
+    kinds = ["bigint" if _integral(df, column) else "double" for column, _, _ in asked]
+    grouped = df.groupBy((F.spark_partition_id() % MERGE_GROUPS).alias("__group")).agg(
+        *[
+            getattr(F, f"kll_sketch_agg_{kind}")(expr, F.lit(SKETCH_SIZE)).alias(f"s{i}")
+            for i, (kind, (_, expr, _)) in enumerate(zip(kinds, asked))
+        ]
+    )
+    merged = grouped.agg(
+        *[getattr(F, f"kll_merge_agg_{kind}")(f"s{i}", SKETCH_SIZE).alias(f"s{i}") for i, kind in enumerate(kinds)]
+    )
+    row = merged.select(
+        *[
+            getattr(F, f"kll_sketch_get_quantile_{kind}")(
+                F.col(f"s{i}"), F.array(*[F.lit(float(p)) for p in probs])
+            ).alias(f"q{i}")
+            for i, (kind, (_, _, probs)) in enumerate(zip(kinds, asked))
+        ]
+    ).first()
+    return [list(values) for values in row]
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
     """Two passes: propose pivots, then count exactly around them."""
-    sketches = []
-    for i, s in enumerate(searches):
-        p = (s.rank - s.below + 0.5) / s.inside
-        probs = [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
-        sketches.append(F.percentile_approx(_inside(df, s), probs, ACCURACY).alias(f"s{i}"))
-    pivots = df.agg(*sketches).first()
+    shared: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        shared.setdefault(s.interval, []).append(s)
+    asked = []
+    for group in shared.values():
+        probs = []
+        for s in group:
+            p = (s.rank - s.below + 0.5) / s.inside
+            probs += [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+        asked.append((group[0].column, _inside(df, group[0]), probs))
+    found = sketch_quantiles(df, asked)
+    pivots = {}
+    for group, values in zip(shared.values(), found):
+        for i, s in enumerate(group):
+            pivots[s.column, s.rank] = values[2 * i : 2 * i + 2]
 
     counts = []
     for i, s in enumerate(searches):
         x = _inside(df, s)
+        a, b = pivots[s.column, s.rank]
         for key, test in (
-            ("lt_a", x < F.lit(pivots[i][0])),
-            ("eq_a", x == F.lit(pivots[i][0])),
-            ("lt_b", x < F.lit(pivots[i][1])),
-            ("eq_b", x == F.lit(pivots[i][1])),
+            ("lt_a", x < F.lit(a)),
+            ("eq_a", x == F.lit(a)),
+            ("lt_b", x < F.lit(b)),
+            ("eq_b", x == F.lit(b)),
         ):
             counts.append(F.count_if(test).alias(f"{key}{i}"))
     found = df.agg(*counts).first()
 
     for i, s in enumerate(searches):
-        a, b = pivots[i]
+        a, b = pivots[s.column, s.rank]
         lt_a, eq_a, lt_b, eq_b = (found[f"{k}{i}"] for k in ("lt_a", "eq_a", "lt_b", "eq_b"))
         at = s.rank - s.below
         if at < lt_a:
@@ -164,18 +216,16 @@ def exact_quantiles(
 
 
 def approximate_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 ) -> dict[str, dict[float, float | None]]:
-    """Sketch quantiles of all columns from one scan."""
+    """Sketch quantiles of all columns: one scan after the count."""
     if not columns:
         return {}
-    row = df.agg(
-        *[F.percentile_approx(value_of(df, c), list(probs), accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
-    ).first()
-    return {
-        c: {p: (None if row[i] is None else float(row[i][j])) for j, p in enumerate(probs)}
-        for i, c in enumerate(columns)
-    }
+    row = df.agg(*[F.count(value_of(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    filled = [c for c, n in zip(columns, row) if n]
+    values = sketch_quantiles(df, [(c, _number(df, c), probs) for c in filled]) if filled else []
+    found = {c: {p: float(v) for p, v in zip(probs, vs)} for c, vs in zip(filled, values)}
+    return {c: found.get(c, dict.fromkeys(probs)) for c in columns}
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact: bool = True):

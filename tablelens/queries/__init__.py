@@ -2,6 +2,6 @@
 
 from .registry import QUERIES, SQL
 
-from . import tables, profile  # noqa: E402,F401  (registration)
+from . import tables, profile, cleaning, explore  # noqa: E402,F401  (registration)
 
 __all__ = ["QUERIES", "SQL"]
