@@ -81,11 +81,14 @@ def numeric_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return per_value.groupBy("column").agg(best.alias("best")).select("column", (-F.col("best.neg")).alias("mode"))
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def describe_numeric(
+    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, quarts: dict | None = None
+) -> DataFrame:
     """Moments, quartiles and mode of numeric columns; columns without values are left out."""
     columns = list(columns or numeric_columns(df))
     require_columns(df, columns)
-    quarts = quantiles(df, columns, QUARTILES, exact)
+    if quarts is None:
+        quarts = quantiles(df, columns, QUARTILES, exact)
     columns = [c for c in columns if quarts[c][0.5] is not None]
 
     def measures(c: str) -> dict[str, Column]:
@@ -164,11 +167,16 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
 
 
 def outlier_summary(
-    df: DataFrame, columns: Sequence[str] | None = None, k: float = FENCE, exact: bool = True
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    k: float = FENCE,
+    exact: bool = True,
+    quarts: dict | None = None,
 ) -> DataFrame:
     """Fences, outlier count and percentage of the present values per numeric column."""
     columns = list(columns or numeric_columns(df))
-    quarts = quantiles(df, columns, (0.25, 0.75), exact)
+    if quarts is None:
+        quarts = quantiles(df, columns, (0.25, 0.75), exact)
     columns = [c for c in columns if quarts[c][0.25] is not None]
     fences = {}
     for c in columns:

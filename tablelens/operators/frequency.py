@@ -44,17 +44,23 @@ def frequencies(df: DataFrame, columns: Sequence[str], compact: bool = False) ->
     return melt(df, columns, compact=compact).groupBy("column", "value").count()
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: Sequence[str], rows: bool = False) -> DataFrame:
     """``(position, column, unique_count)``, also for empty and all-missing columns.
 
     One shuffle of pre-aggregated values serves all columns; several
     ``count(distinct)`` in one aggregation would expand every row per column.
+    ``rows`` adds the number of rows.
     """
-    counted = frequencies(df, columns, compact=True).groupBy("column").agg(F.count("value").alias("unique_count"))
+    counted = (
+        frequencies(df, columns, compact=True)
+        .groupBy("column")
+        .agg(F.count("value").alias("unique_count"), F.sum("count").alias("rows"))
+    )
+    wanted = ("unique_count", "rows") if rows else ("unique_count",)
     return (
         column_list(df, columns)
         .join(counted, "column", "left")
-        .select("position", "column", F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
+        .select("position", "column", *[F.coalesce(n, F.lit(0)).alias(n) for n in wanted])
     )
 
 

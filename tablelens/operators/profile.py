@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats
 from ..functions.columns import (
@@ -23,7 +24,6 @@ from ..functions.columns import (
 from ..functions.dates import iso_text, parse_date
 from .frequency import distinct_counts, literal_rows, melt, row_groups
 from .quantiles import quantiles
-from pyspark.sql import types as T
 
 # A text column is categorical below this many distinct values
 # or below this share of distinct values.
@@ -102,11 +102,14 @@ def date_columns(df: DataFrame, sample: int = 10, candidates: Sequence[str] | No
     """
     names = list(candidates if candidates is not None else df.columns)
     found = [n for n in names if is_datetime(df.schema[n].dataType)]
+    texts = [n for n in names if is_text(df.schema[n].dataType)]
     cells = []
-    for n in names:
-        if is_text(df.schema[n].dataType):
-            head = df.where(ref(n).isNotNull()).select(ref(n)).take(sample)
-            cells += [{"column": n, "value": r[0]} for r in head]
+    first = df.select(*[ref(n) for n in texts]).take(sample) if texts else []
+    for i, n in enumerate(texts):
+        head = [r[i] for r in first if r[i] is not None]
+        if len(head) < len(first):
+            head = [r[0] for r in df.where(ref(n).isNotNull()).select(ref(n)).take(sample)]
+        cells += [{"column": n, "value": v} for v in head]
     if cells:
         parsed = literal_rows(df.sparkSession, cells, "column string, value string").groupBy("column").agg(
             F.bool_and(parse_date(F.col("value")).isNotNull()).alias("all_dates")
@@ -115,9 +118,8 @@ def date_columns(df: DataFrame, sample: int = 10, candidates: Sequence[str] | No
     return [n for n in names if n in found]
 
 
-def semantic_types(df: DataFrame, sample: int = 10) -> DataFrame:
-    """boolean / numeric / datetime / categorical / text per column."""
-    dates = set(date_columns(df, sample))
+def _fixed_types(df: DataFrame, dates: Sequence[str]) -> dict[str, str]:
+    """Semantic types that do not depend on the number of distinct values."""
     fixed: dict[str, str] = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.BooleanType):
@@ -126,21 +128,27 @@ def semantic_types(df: DataFrame, sample: int = 10) -> DataFrame:
             fixed[f.name] = "numeric"
         elif f.name in dates:
             fixed[f.name] = "datetime"
+    return fixed
+
+
+def _category_or_text(unique: Column, rows: Column) -> Column:
+    few = (unique < CATEGORY_COUNT) | F.coalesce(F.try_divide(unique, rows) < CATEGORY_SHARE, F.lit(False))
+    return F.when(few, "categorical").otherwise("text")
+
+
+def semantic_types(df: DataFrame, sample: int = 10) -> DataFrame:
+    """boolean / numeric / datetime / categorical / text per column."""
+    fixed = _fixed_types(df, date_columns(df, sample))
+    schema = "position int, column string, dtype string"
     known = [{"position": df.columns.index(n), "column": n, "dtype": t} for n, t in fixed.items()]
-    out = literal_rows(df.sparkSession, known, "position int, column string, dtype string")
+    out = literal_rows(df.sparkSession, known, schema)
     open_ = [c for c in df.columns if c not in fixed]
     if not open_:
         return out
-    per_value = melt(df, open_, compact=True).groupBy("column", "value").count()
-    counted = per_value.groupBy("column").agg(F.count("value").alias("unique"), F.sum("count").alias("rows"))
-    few = (F.col("unique") < CATEGORY_COUNT) | (F.try_divide("unique", "rows") < CATEGORY_SHARE)
-    listed = literal_rows(
-        df.sparkSession, [{"position": df.columns.index(c), "column": c} for c in open_], "position int, column string"
-    )
-    judged = listed.join(counted, "column", "left").select(
-        "position", "column", F.when(few | F.col("unique").isNull(), "categorical").otherwise("text").alias("dtype")
+    judged = distinct_counts(df, open_, rows=True).select(
+        "position", "column", _category_or_text(F.col("unique_count"), F.col("rows")).alias("dtype")
     )
-    return out.unionByName(judged)
+    return out.unionByName(judged) if known else judged
 
 
 def sample_values(df: DataFrame, n: int = 5, order_by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -210,31 +218,59 @@ def as_timestamp(df: DataFrame, name: str) -> Column:
     return ref(name).cast("timestamp")
 
 
-def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """All per-column measures side by side; each join has one row per column."""
-    types = semantic_types(df)
-    numeric = numeric_profile(df, exact=exact).drop("column")
-    text = text_profile(df).drop("column")
-    dates = datetime_profile(df).drop("column")
-    joined = missing_by_column(df).join(unique_by_column(df, exact).drop("column"), "position")
-    joined = joined.join(types.drop("column"), "position")
-    for part in (numeric, text, dates):
-        joined = joined.join(part, "position", "left")
-    is_text_like = F.col("dtype").isin("text", "categorical")
-    return joined.select(
+def column_profile(
+    df: DataFrame, exact: bool = True, quarts: dict | None = None, dates: Sequence[str] | None = None
+) -> DataFrame:
+    """All per-column measures side by side.
+
+    One scan with a wide aggregation, one shuffle of value frequencies, and the
+    passes for the medians (none if ``quarts`` already holds them).
+    """
+    dates = list(date_columns(df) if dates is None else dates)
+    fixed = _fixed_types(df, dates)
+    numbers = numeric_columns(df)
+    if quarts is None:
+        quarts = quantiles(df, numbers, [0.5], exact)
+    nothing, no_date = F.lit(None).cast("double"), F.lit(None).cast("timestamp")
+
+    def measures(c: str) -> dict[str, Column]:
+        number = value_of(df, c).cast("double") if c in numbers else None
+        length = F.length(ref(c)) if is_text(df.schema[c].dataType) and c not in dates else None
+        date = as_timestamp(df, c) if c in dates else None
+        out = {"rows": F.count(F.lit(1)), "missing_count": F.count_if(is_missing(df, c))}
+        for name, fn in (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp)):
+            out[name] = nothing if number is None else fn(number)
+        out["avg_length"] = nothing if length is None else F.coalesce(F.avg(length), F.lit(0.0))
+        out["max_length"] = (nothing if length is None else F.coalesce(F.max(length), F.lit(0))).cast("bigint")
+        out["min_date"] = no_date if date is None else F.min(date)
+        out["max_date"] = no_date if date is None else F.max(date)
+        return out
+
+    measured = per_column(
+        df,
+        df.columns,
+        measures,
+        constants=lambda c: {
+            "median": F.lit(quarts[c][0.5] if c in numbers else None).cast("double"),
+            "fixed": F.lit(fixed.get(c)).cast("string"),
+        },
+    )
+    unique = unique_by_column(df, exact).drop("column")
+    dtype = F.coalesce("fixed", _category_or_text(F.col("unique_count"), F.col("rows")))
+    return measured.join(unique, "position").select(
         "position",
         "column",
-        "dtype",
+        dtype.alias("dtype"),
         "missing_count",
-        "missing_pct",
+        stats.percent(F.col("missing_count"), F.col("rows")).alias("missing_pct"),
         "unique_count",
         "mean",
         "median",
         "min",
         "max",
         "std",
-        F.when(is_text_like, F.col("avg_length")).alias("avg_length"),
-        F.when(is_text_like, F.col("max_length")).alias("max_length"),
-        "min_date",
-        "max_date",
+        "avg_length",
+        "max_length",
+        iso_text(F.col("min_date")).alias("min_date"),
+        iso_text(F.col("max_date")).alias("max_date"),
     )

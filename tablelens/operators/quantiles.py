@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import value_of
 
-FINAL_VALUES = 50_000
+FINAL_VALUES = 200_000
 SKETCH_SIZE = 2_000
 MARGIN = 1.0 / 300
 # Sketches of all tasks are merged in this many groups before the last merge.

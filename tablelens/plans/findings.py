@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.columns import numeric_columns
 from ..operators import explore, profile
 from ..operators.frequency import literal_rows
+from ..operators.quantiles import quantiles
+from ..session import materialize
 
 # Rule, order of evaluation, category, confidence, actionability.
 RULES = (
@@ -369,16 +372,28 @@ def context_text(table: DataFrame, columns: DataFrame, pairs: DataFrame, name: s
 
 
 class Statistics:
-    """The result tables that the rules, the report and the health label share."""
+    """The result tables that the rules, the report and the health label share.
+
+    Quartiles and date detection run once for all of them.  Each result has a
+    row per column, value or pair; it is written once and read from then on.
+    """
 
     def __init__(self, df: DataFrame, exact: bool = True) -> None:
-        self.table = explore.overview(df)
-        self.columns = profile.column_profile(df, exact)
-        self.numeric = explore.describe_numeric(df, exact=exact)
-        self.outliers = explore.outlier_summary(df, exact=exact)
-        self.pairs = explore.correlations(df)
-        self.categorical = explore.describe_categorical(df)
-        self.datetimes = explore.describe_datetime(df)
+        numbers = numeric_columns(df)
+        quarts = quantiles(df, numbers, explore.QUARTILES, exact)
+        dates = profile.date_columns(df)
+        labels = [c for c in df.columns if c not in numbers and c not in dates]
+        keep = {
+            "table": explore.overview(df),
+            "columns": profile.column_profile(df, exact, quarts, dates),
+            "numeric": explore.describe_numeric(df, numbers, exact, quarts),
+            "outliers": explore.outlier_summary(df, numbers, exact=exact, quarts=quarts),
+            "pairs": explore.correlations(df, numbers),
+            "categorical": explore.describe_categorical(df, labels),
+            "datetimes": explore.describe_datetime(df, dates),
+        }
+        for name, result in keep.items():
+            setattr(self, name, materialize(result, name))
 
     def findings(self) -> DataFrame:
         parts = [
