@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import TableError
@@ -53,27 +54,28 @@ def _paths(root: str, dataset_id: str, number: int) -> tuple[str, str]:
     return f"{root}/data/dataset_id={dataset_id}/version_number={number}", f"{root}/catalogue/dataset_versions"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _records(spark: SparkSession, root: str) -> DataFrame:
+    """The catalogue as written; empty before the first version."""
+    try:
+        return spark.read.schema(VERSION_SCHEMA).parquet(_paths(root, "", 0)[1])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], VERSION_SCHEMA)
 
 
 def read_catalogue(spark: SparkSession, root: str) -> DataFrame:
     """All versions, with ``is_current`` set for the newest of each dataset."""
-    path = _paths(root, "", 0)[1]
-    if not _exists(spark, path):
-        return spark.createDataFrame([], VERSION_SCHEMA + ", is_current boolean")
-    newest = Window.partitionBy("dataset_id")
-    versions = spark.read.schema(VERSION_SCHEMA).parquet(path)
-    return versions.withColumn("is_current", F.col("version_number") == F.max("version_number").over(newest))
+    versions = _records(spark, root)
+    newest = versions.groupBy("dataset_id").agg(F.max("version_number").alias("__newest"))
+    return versions.join(newest, "dataset_id").select(
+        *versions.columns, (F.col("version_number") == F.col("__newest")).alias("is_current")
+    )
 
 
 def current_version(spark: SparkSession, root: str, dataset_id: str) -> int | None:
-    path = _paths(root, "", 0)[1]
-    if not _exists(spark, path):
-        return None
-    versions = spark.read.schema(VERSION_SCHEMA).parquet(path).where(F.col("dataset_id") == dataset_id)
-    return versions.agg(F.max("version_number")).first()[0]
+    mine = _records(spark, root).where(F.col("dataset_id") == dataset_id)
+    return mine.agg(F.max("version_number")).first()[0]
 
 
 def write_version(df: DataFrame, root: str, dataset_id: str, status: str = "CLEANED") -> int:
