@@ -2,6 +2,6 @@
 
 from .registry import QUERIES, SQL
 
-from . import tables, profile, cleaning, explore, findings, compare, preview, storage, catalogue, learning  # noqa: E402,F401  (registration)
+from . import tables, profile, cleaning, explore, findings, compare, preview, storage, catalogue, learning, reporting  # noqa: E402,F401  (registration)
 
 __all__ = ["QUERIES", "SQL"]
