@@ -96,7 +96,6 @@ def describe_numeric(
         return {
             "count": F.count(x),
             "mean": F.avg(x),
-            "std": F.stddev_samp(x),
             "variance": F.var_samp(x),
             "min": F.min(x),
             "max": F.max(x),
@@ -117,7 +116,9 @@ def describe_numeric(
         f"{n} double"
         for n in ("mean", "std", "variance", "min", "max", "skewness", "kurtosis", "q25", "median", "q75", "iqr")
     ]
-    moments = per_column(df, columns, measures, constants, schema=", ".join(names))
+    moments = per_column(
+        df, columns, measures, constants, finish=lambda m: {**m, "std": F.sqrt(m["variance"])}, schema=", ".join(names)
+    )
     if not columns:
         return moments.withColumn("mode", F.lit(None).cast("double"))
     return moments.join(numeric_modes(df, columns), "column", "left")

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -62,23 +63,34 @@ def _number(df: DataFrame, column: str) -> Column:
     return value_of(df, column).cast("bigint" if _integral(df, column) else "double")
 
 
-def _inside(df: DataFrame, s: _Search) -> Column:
+def _test(df: DataFrame, s: _Search) -> Column:
     c = _number(df, s.column)
     keep = c.isNotNull()
     if s.low is not None:
         keep = keep & (c > F.lit(s.low))
     if s.high is not None:
         keep = keep & (c < F.lit(s.high))
-    return F.when(keep, c)
+    return keep
 
 
-def _read_small(df: DataFrame, searches: list[_Search]) -> None:
-    """Sort the few values left in each interval and pick the ranks."""
+def _inside(df: DataFrame, s: _Search) -> Column:
+    if s.low is None and s.high is None:
+        return _number(df, s.column)
+    return F.when(_test(df, s), _number(df, s.column))
+
+
+def _by_interval(searches: list[_Search]) -> list[list[_Search]]:
     shared: dict[tuple, list[_Search]] = {}
     for s in searches:
         shared.setdefault(s.interval, []).append(s)
-    groups = list(shared.values())
-    ordered = df.agg(
+    return list(shared.values())
+
+
+def _read_small(df: DataFrame, searches: list[_Search]) -> None:
+    """Sort the few values left in each interval and pick the ranks."""
+    groups = _by_interval(searches)
+    wanted = reduce(lambda a, b: a | b, [_test(df, g[0]) for g in groups])
+    ordered = df.where(wanted).agg(
         *[F.sort_array(F.collect_list(_inside(df, g[0]))).alias(f"v{i}") for i, g in enumerate(groups)]
     )
     picks = [
@@ -119,52 +131,41 @@ def sketch_quantiles(df: DataFrame, asked: Sequence[tuple[str, Column, Sequence[
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    """Two passes: propose pivots, then count exactly around them."""
-    shared: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        shared.setdefault(s.interval, []).append(s)
+    """Two passes: propose pivots per interval, then count exactly around them."""
+    groups = _by_interval(searches)
     asked = []
-    for group in shared.values():
-        probs = []
-        for s in group:
-            p = (s.rank - s.below + 0.5) / s.inside
-            probs += [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
-        asked.append((group[0].column, _inside(df, group[0]), probs))
-    found = sketch_quantiles(df, asked)
-    pivots = {}
-    for group, values in zip(shared.values(), found):
-        for i, s in enumerate(group):
-            pivots[s.column, s.rank] = values[2 * i : 2 * i + 2]
+    for g in groups:
+        places = [(s.rank - s.below + 0.5) / s.inside for s in g]
+        probs = sorted({p for x in places for p in (max(0.0, x - MARGIN), min(1.0, x + MARGIN))})
+        asked.append((g[0].column, _inside(df, g[0]), probs))
+    pivots = [sorted(set(values)) for values in sketch_quantiles(df, asked)]
 
     counts = []
-    for i, s in enumerate(searches):
-        x = _inside(df, s)
-        a, b = pivots[s.column, s.rank]
-        for key, test in (
-            ("lt_a", x < F.lit(a)),
-            ("eq_a", x == F.lit(a)),
-            ("lt_b", x < F.lit(b)),
-            ("eq_b", x == F.lit(b)),
-        ):
-            counts.append(F.count_if(test).alias(f"{key}{i}"))
+    for i, (g, ps) in enumerate(zip(groups, pivots)):
+        x = _inside(df, g[0])
+        for j, p in enumerate(ps):
+            counts += [F.count_if(x < F.lit(p)).alias(f"lt{i}_{j}"), F.count_if(x <= F.lit(p)).alias(f"le{i}_{j}")]
     found = df.agg(*counts).first()
 
-    for i, s in enumerate(searches):
-        a, b = pivots[s.column, s.rank]
-        lt_a, eq_a, lt_b, eq_b = (found[f"{k}{i}"] for k in ("lt_a", "eq_a", "lt_b", "eq_b"))
-        at = s.rank - s.below
-        if at < lt_a:
-            s.high, s.inside = a, lt_a
-        elif at < lt_a + eq_a:
-            s.settle(a)
-        elif at < lt_b:
-            s.low, s.high = a, b
-            s.below, s.inside = s.below + lt_a + eq_a, lt_b - lt_a - eq_a
-        elif at < lt_b + eq_b:
-            s.settle(b)
-        else:
-            s.low = b
-            s.below, s.inside = s.below + lt_b + eq_b, s.inside - lt_b - eq_b
+    for i, (g, ps) in enumerate(zip(groups, pivots)):
+        for s in g:
+            _place(s, ps, [(found[f"lt{i}_{j}"], found[f"le{i}_{j}"]) for j in range(len(ps))])
+
+
+def _place(s: _Search, pivots: list, counts: list[tuple[int, int]]) -> None:
+    """Settle on a pivot or shrink to the gap between two of them."""
+    at, start = s.rank - s.below, 0
+    for pivot, (less, up_to) in zip(pivots, counts):
+        if at < less:
+            s.high, s.inside = pivot, less - start
+            break
+        if at < up_to:
+            s.settle(pivot)
+            return
+        s.low, start = pivot, up_to
+    else:
+        s.inside -= start
+    s.below += start
 
 
 def order_statistics(

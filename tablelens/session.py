@@ -34,14 +34,14 @@ def scratch_root(spark: SparkSession) -> str:
     fall back to a temporary folder of its own, because executors elsewhere
     could not read it back after a failure.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise TableError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tablelens-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tablelens-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

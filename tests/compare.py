@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
+import io
 import math
 import os
 import sys
 import time
+from contextlib import redirect_stdout
 
 import duckdb
 
@@ -49,6 +51,14 @@ def table(columns, rows):
     return [columns[i] for i in order], sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
+def plan(df):
+    """The formatted physical plan as text."""
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def spark_table(df):
     rows = df.collect()
     return table(df.columns, [tuple(r) for r in rows]), dict(df.dtypes)
