@@ -2,8 +2,7 @@
 
 from compare import plan, sf_dir
 
-from __spark_entry__ import queries
-from tablelens.operators import explore, preview, profile
+from tablelens.operators import cleaning, explore, preview, profile
 from tablelens.queries.tables import read
 
 SCALE = "0.001"
@@ -28,8 +27,8 @@ def test_scans_read_only_what_is_needed(spark):
     assert "ReadSchema: struct<l_quantity:double,l_tax:double>" in text
     text = plan(profile.missing_by_column(df, ["l_returnflag"]))
     assert "ReadSchema: struct<l_returnflag:string>" in text
-    gaps = plan(queries()["clean_drop_missing"](spark, sf_dir(SCALE)))
-    assert "PushedFilters: [IsNotNull(o_orderpriority)" in gaps or "PushedFilters" in gaps
+    gaps = plan(cleaning.drop_missing(read(spark, sf_dir(SCALE), "orders"), "o_orderpriority"))
+    assert "PushedFilters: [IsNotNull(o_orderpriority)]" in gaps
 
 
 def test_duplicates_collapse_before_the_exchange(spark):
