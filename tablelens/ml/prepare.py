@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import TableError
 from ..functions.columns import is_missing, is_numeric, is_text, ref, require_columns, value_of
 from ..functions.dates import DATE_LAYOUTS
 from ..operators.cleaning import most_common
-from ..operators.frequency import distinct_counts
+from ..operators.frequency import distinct_counts, value_summary
 from ..operators.profile import date_columns
 from ..operators.quantiles import exact_quantiles
 
@@ -173,8 +173,11 @@ def fill_stage(df: DataFrame, roles: Features) -> SQLTransformer:
     for d in roles.dates:
         for name, sql in _parts_sql(df, d).items():
             parts.append(f"CAST({sql} AS DOUBLE) AS {_quoted(name + '__num')}")
+    modes = {}
+    if roles.categorical:
+        modes = {r["column"]: r["top_value"] for r in value_summary(df, roles.categorical).collect()}
     for c in roles.categorical:
-        mode = most_common(df.select(ref(c).cast("string").alias(c)), c)
+        mode = modes[c]
         parts.append(f"coalesce(CAST({_quoted(c)} AS STRING), {_text('' if mode is None else mode)}) AS {_quoted(c + '__cat')}")
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
@@ -223,7 +226,3 @@ def with_missing_features(df: DataFrame, roles: Features) -> DataFrame:
     """Add feature columns the table lacks as missing."""
     absent = [(c, t) for c, t in roles.types if c not in df.columns]
     return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in absent])
-
-
-def target_value(df: DataFrame, target: str) -> Column:
-    return value_of(df, target)

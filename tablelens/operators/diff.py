@@ -8,8 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import stats
 from ..functions.columns import is_datetime, is_numeric, is_text, missing_in_row, ref, value_of
-from ..functions.text import equality_key
-from .frequency import literal_rows
+from .frequency import literal_rows, row_keys
 
 
 def _kind(dtype: T.DataType) -> str:
@@ -42,27 +41,24 @@ def comparable(v1: DataFrame, v2: DataFrame) -> bool:
     return len(v1.columns) == len(v2.columns)
 
 
-def row_presence(v1: DataFrame, v2: DataFrame, null_as_empty: bool = False, compact: bool = True) -> DataFrame:
-    """One row per distinct row of either version with its copies in each.
+def row_presence(v1: DataFrame, v2: DataFrame, null_as_empty: bool = False) -> DataFrame:
+    """One row per distinct row of either version with its copies and missing cells in each.
 
     Columns are matched by position.  One shuffle, with copies collapsed before
     it, answers added, removed, duplicate and total counts together.
     """
     sides = []
     for side, df, other in ((0, v1, v2), (1, v2, v1)):
-        cells = []
-        for i, name in enumerate(df.columns):
-            if comparable(v1, v2):
-                c = _shared(df, name, other.schema.fields[i].dataType, null_as_empty)
-            else:
-                c = F.concat(F.lit(f"{side}:"), F.coalesce(value_of(df, name).cast("string"), F.lit("\x00")))
-            if compact and "string" in df.select(c.alias("c")).schema["c"].dataType.simpleString():
-                c = equality_key(c)
-            cells.append(c.alias(f"c{i}"))
-        width = max(len(v1.columns), len(v2.columns))
-        cells += [F.lit(None).cast("string").alias(f"c{i}") for i in range(len(df.columns), width)]
+        if comparable(v1, v2):
+            cells = [
+                _shared(df, n, other.schema.fields[i].dataType, null_as_empty) for i, n in enumerate(df.columns)
+            ]
+        else:
+            # Never equal across versions: the side is part of the row.
+            cells = [F.to_json(F.struct(F.lit(side).alias("side"), *[value_of(df, n).alias(n) for n in df.columns]))]
+        types = [f.dataType for f in df.select(*cells).schema.fields]
         ones = [F.lit(1 - side).cast("bigint").alias("n1"), F.lit(side).cast("bigint").alias("n2")]
-        sides.append(df.select(*cells, missing_in_row(df).alias("missing"), *ones))
+        sides.append(df.select(*row_keys(list(zip(cells, types))), missing_in_row(df).alias("missing"), *ones))
     both = sides[0].unionByName(sides[1])
     keys = [c for c in both.columns if c not in ("missing", "n1", "n2")]
     return both.groupBy(*keys).agg(

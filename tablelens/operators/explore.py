@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.columns import (
     is_datetime,
-    is_missing,
     is_numeric,
     missing_in_row,
     numeric_columns,
@@ -20,7 +19,7 @@ from ..functions.columns import (
     value_of,
 )
 from ..functions.dates import iso_text, whole_days
-from .frequency import column_list, frequencies, literal_rows, melt, most_frequent
+from .frequency import literal_rows, most_frequent, value_summary
 from .profile import as_timestamp, date_columns, missing_by_column, table_profile, with_quality
 from .quantiles import quantiles
 
@@ -34,7 +33,7 @@ SKEW_LIMIT = 1.0
 FENCE = 1.5
 
 QUARTILES = (0.25, 0.5, 0.75)
-PAIRS_PER_SCAN = 300
+PAIRS_PER_SCAN = 100
 
 
 def sample_exact(df: DataFrame, n: int = SAMPLE_ROWS, key: Sequence[str] = (), seed: int = SAMPLE_SEED) -> DataFrame:
@@ -72,19 +71,18 @@ def categorical_columns(df: DataFrame, sample: int = 10) -> list[str]:
     return [c for c in open_ if c not in dates]
 
 
-def numeric_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, mode)`` as double; the smallest of the most frequent values."""
-    cells = df.select(*[value_of(df, c).cast("double").alias(c) for c in columns])
-    counts = cells.unpivot([], [ref(c) for c in columns], "column", "value").where(F.col("value").isNotNull())
-    per_value = counts.groupBy("column", "value").count()
-    best = F.max(F.struct(F.col("count"), (-F.col("value")).alias("neg")))
-    return per_value.groupBy("column").agg(best.alias("best")).select("column", (-F.col("best.neg")).alias("mode"))
-
-
 def describe_numeric(
-    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, quarts: dict | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    exact: bool = True,
+    quarts: dict | None = None,
+    values: DataFrame | None = None,
 ) -> DataFrame:
-    """Moments, quartiles and mode of numeric columns; columns without values are left out."""
+    """Moments, quartiles and mode of numeric columns; columns without values are left out.
+
+    ``quarts`` and ``values`` are the quartiles and the value summary if they
+    are known already.
+    """
     columns = list(columns or numeric_columns(df))
     require_columns(df, columns)
     if quarts is None:
@@ -121,7 +119,9 @@ def describe_numeric(
     )
     if not columns:
         return moments.withColumn("mode", F.lit(None).cast("double"))
-    return moments.join(numeric_modes(df, columns), "column", "left")
+    if values is None:
+        values = value_summary(df, columns)
+    return moments.join(values.select("column", "mode"), "column", "left")
 
 
 def shape_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -202,29 +202,23 @@ def outlier_summary(
     return out
 
 
-def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def describe_categorical(
+    df: DataFrame, columns: Sequence[str] | None = None, values: DataFrame | None = None
+) -> DataFrame:
     """Distinct count, distinct share of all rows, and the most frequent value."""
     columns = list(columns if columns is not None else categorical_columns(df))
     if not columns:
         return df.sparkSession.createDataFrame(
             [], "position int, column string, unique_count bigint, cardinality_ratio double, top_value string"
         )
-    per_value = frequencies(df, columns)
-    # min over (-count, value): the most frequent value, the smallest on ties.
-    best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("count")).alias("n"), F.col("value"))))
-    counted = per_value.groupBy("column").agg(
-        F.count("value").alias("unique_count"), F.sum("count").alias("rows"), best.alias("best")
-    )
-    return (
-        column_list(df, columns)
-        .join(counted, "column", "left")
-        .select(
-            "position",
-            "column",
-            F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
-            F.coalesce(F.try_divide("unique_count", "rows"), F.lit(0.0)).alias("cardinality_ratio"),
-            F.col("best.value").alias("top_value"),
-        )
+    if values is None:
+        values = value_summary(df, columns)
+    return values.where(F.col("column").isin(columns)).select(
+        "position",
+        "column",
+        "unique_count",
+        F.coalesce(F.try_divide("unique_count", "rows"), F.lit(0.0)).alias("cardinality_ratio"),
+        "top_value",
     )
 
 
@@ -304,11 +298,3 @@ def correlation_matrix(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
 def missing_row_distribution(df: DataFrame) -> DataFrame:
     """How many rows have how many missing cells."""
     return df.groupBy(missing_in_row(df).alias("missing_cells")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-__all__ = [
-    "categorical_columns", "classify_columns", "correlation_matrix", "correlations", "describe_categorical",
-    "describe_datetime", "describe_numeric", "histogram", "is_missing", "melt", "missing_by_column",
-    "missing_row_distribution", "numeric_modes", "outlier_summary", "overview", "sample_exact",
-    "shape_statistics", "skew_flag", "top_values",
-]

@@ -30,6 +30,9 @@ from .quantiles import quantiles
 CATEGORY_COUNT = 20
 CATEGORY_SHARE = 0.05
 
+# Rows in which sample values are looked for first.
+OPENING_ROWS = 1000
+
 
 def table_profile(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows, from one shuffle."""
@@ -151,10 +154,7 @@ def semantic_types(df: DataFrame, sample: int = 10) -> DataFrame:
     return out.unionByName(judged) if known else judged
 
 
-def sample_values(df: DataFrame, n: int = 5, order_by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """The first ``n`` distinct non-missing values per column in row order, as text."""
-    require_columns(df, order_by)
-    columns = list(columns or df.columns)
+def _first_values(df: DataFrame, n: int, order_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     ids = [ref(c) for c in order_by]
     cells = melt(df, columns, ids=ids).where(F.col("value").isNotNull())
     place = F.struct(*[F.col(f"__id_{i}") for i in range(len(ids))], F.col("value"))
@@ -167,6 +167,27 @@ def sample_values(df: DataFrame, n: int = 5, order_by: Sequence[str] = (), colum
     )
 
 
+def sample_values(
+    df: DataFrame, n: int = 5, order_by: Sequence[str] = (), columns: Sequence[str] | None = None
+) -> DataFrame:
+    """The first ``n`` distinct non-missing values per column in row order, as text.
+
+    Columns that show ``n`` values within the first rows are done with those.
+    Only the others, with few distinct or many missing values, are grouped over
+    the whole table, where their few values collapse before the shuffle.
+    """
+    require_columns(df, order_by)
+    columns = list(columns or df.columns)
+    needed = df.select(*dict.fromkeys([*order_by, *columns]))
+    opening = needed.orderBy(*[ref(c) for c in order_by]) if order_by else needed
+    opening = opening.limit(OPENING_ROWS)
+    row = opening.agg(*[F.count_distinct(value_of(needed, c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    early = [c for c, found in zip(columns, row) if found >= n]
+    late = [c for c in columns if c not in early]
+    parts = [_first_values(t, n, order_by, cs) for t, cs in ((opening, early), (needed, late)) if cs]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Mean, median, minimum, maximum and sample deviation of numeric columns."""
     columns = list(columns or numeric_columns(df))
@@ -219,12 +240,17 @@ def as_timestamp(df: DataFrame, name: str) -> Column:
 
 
 def column_profile(
-    df: DataFrame, exact: bool = True, quarts: dict | None = None, dates: Sequence[str] | None = None
+    df: DataFrame,
+    exact: bool = True,
+    quarts: dict | None = None,
+    dates: Sequence[str] | None = None,
+    values: DataFrame | None = None,
 ) -> DataFrame:
     """All per-column measures side by side.
 
     One scan with a wide aggregation, one shuffle of value frequencies, and the
-    passes for the medians (none if ``quarts`` already holds them).
+    passes for the medians; ``quarts`` and ``values`` are the quartiles and the
+    value summary if they are known already.
     """
     dates = list(date_columns(df) if dates is None else dates)
     fixed = _fixed_types(df, dates)
@@ -255,7 +281,8 @@ def column_profile(
             "fixed": F.lit(fixed.get(c)).cast("string"),
         },
     )
-    unique = unique_by_column(df, exact).drop("column")
+    unique = unique_by_column(df, exact) if values is None else values
+    unique = unique.select("position", "unique_count")
     dtype = F.coalesce("fixed", _category_or_text(F.col("unique_count"), F.col("rows")))
     return measured.join(unique, "position").select(
         "position",

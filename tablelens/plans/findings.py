@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.columns import numeric_columns
 from ..operators import explore, profile
-from ..operators.frequency import literal_rows
+from ..operators.frequency import literal_rows, value_summary
 from ..operators.quantiles import quantiles
 from ..session import materialize
 
@@ -374,7 +374,7 @@ def context_text(table: DataFrame, columns: DataFrame, pairs: DataFrame, name: s
 class Statistics:
     """The result tables that the rules, the report and the health label share.
 
-    Quartiles and date detection run once for all of them.  Each result has a
+    Quartiles, value frequencies and date detection run once for all of them.  Each result has a
     row per column, value or pair; it is written once and read from then on.
     """
 
@@ -383,13 +383,14 @@ class Statistics:
         quarts = quantiles(df, numbers, explore.QUARTILES, exact)
         dates = profile.date_columns(df)
         labels = [c for c in df.columns if c not in numbers and c not in dates]
+        values = materialize(value_summary(df, df.columns), "values")
         keep = {
             "table": explore.overview(df),
-            "columns": profile.column_profile(df, exact, quarts, dates),
-            "numeric": explore.describe_numeric(df, numbers, exact, quarts),
+            "columns": profile.column_profile(df, exact, quarts, dates, values),
+            "numeric": explore.describe_numeric(df, numbers, exact, quarts, values),
             "outliers": explore.outlier_summary(df, numbers, exact=exact, quarts=quarts),
             "pairs": explore.correlations(df, numbers),
-            "categorical": explore.describe_categorical(df, labels),
+            "categorical": explore.describe_categorical(df, labels, values),
             "datetimes": explore.describe_datetime(df, dates),
         }
         for name, result in keep.items():

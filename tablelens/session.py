@@ -45,8 +45,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has used yet, below the scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/tablelens/{label}-{uuid.uuid4().hex}"
+    """A path nobody has used yet, below the application's own part of the scratch folder.
+
+    The folder ``tablelens/<application id>`` may be deleted once the
+    application and all results read from it are done with.
+    """
+    return f"{scratch_root(spark).rstrip('/')}/tablelens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
