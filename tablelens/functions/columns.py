@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 
 from .. import TableError
 
+COLUMNS_PER_SCAN = 40
+
 FLOATS = (T.FloatType, T.DoubleType)
 DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -95,6 +98,14 @@ def per_column(
     if not columns:
         base = "position int, column string"
         return df.sparkSession.createDataFrame([], f"{base}, {schema}" if schema else base)
+    parts = [
+        _one_scan(df, columns[i : i + COLUMNS_PER_SCAN], measures, constants, finish)
+        for i in range(0, len(columns), COLUMNS_PER_SCAN)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _one_scan(df, columns, measures, constants, finish) -> DataFrame:
     aggregates, rows = [], []
     for i, name in enumerate(columns):
         fields = measures(name)

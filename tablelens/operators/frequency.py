@@ -132,8 +132,9 @@ def value_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     nothing = F.lit(None)
     text = F.col("text") if "text" in freq.columns else nothing.cast("string")
-    fields = [F.col(k).cast("double") for k in ("whole", "real") if k in freq.columns]
-    number = F.when(F.col("position").isin(numbers), F.coalesce(*fields)) if fields else nothing.cast("double")
+    # Decimals are counted as text, to lose no digit.
+    fields = [F.col(k).try_cast("double") for k in KINDS if k in freq.columns]
+    number = F.when(F.col("position").isin(numbers), F.coalesce(*fields)) if numbers else nothing.cast("double")
     found = freq.groupBy("position").agg(
         F.sum("count").alias("rows"),
         F.count_if(_present(freq)).alias("unique_count"),

@@ -28,6 +28,9 @@ from pyspark.sql import types as T
 from ..functions.columns import value_of
 
 FINAL_VALUES = 200_000
+# Values that one aggregation may buffer, and intervals it may count, over all columns.
+BUFFERED_VALUES = 1_000_000
+INTERVALS_PER_SCAN = 24
 SKETCH_SIZE = 2_000
 MARGIN = 1.0 / 300
 # Sketches of all tasks are merged in this many groups before the last merge.
@@ -86,9 +89,8 @@ def _by_interval(searches: list[_Search]) -> list[list[_Search]]:
     return list(shared.values())
 
 
-def _read_small(df: DataFrame, searches: list[_Search]) -> None:
+def _read_small(df: DataFrame, groups: list[list[_Search]]) -> None:
     """Sort the few values left in each interval and pick the ranks."""
-    groups = _by_interval(searches)
     wanted = reduce(lambda a, b: a | b, [_test(df, g[0]) for g in groups])
     ordered = df.where(wanted).agg(
         *[F.sort_array(F.collect_list(_inside(df, g[0]))).alias(f"v{i}") for i, g in enumerate(groups)]
@@ -130,9 +132,8 @@ def sketch_quantiles(df: DataFrame, asked: Sequence[tuple[str, Column, Sequence[
     return [list(values) for values in row]
 
 
-def _narrow(df: DataFrame, searches: list[_Search]) -> None:
+def _narrow(df: DataFrame, groups: list[list[_Search]]) -> None:
     """Two passes: propose pivots per interval, then count exactly around them."""
-    groups = _by_interval(searches)
     asked = []
     for g in groups:
         places = [(s.rank - s.below + 0.5) / s.inside for s in g]
@@ -168,6 +169,22 @@ def _place(s: _Search, pivots: list, counts: list[tuple[int, int]]) -> None:
     s.below += start
 
 
+def _batches(groups: list, cost, limit: int) -> list[list]:
+    """Cut a list into runs whose cost stays within the limit (at least one item each).
+
+    Very wide tables take several scans this way, each of its own columns only.
+    """
+    out: list[list] = []
+    used = 0
+    for g in groups:
+        if not out or used + cost(g) > limit:
+            out.append([])
+            used = 0
+        out[-1].append(g)
+        used += cost(g)
+    return out
+
+
 def order_statistics(
     df: DataFrame, wanted: dict[str, Sequence[int]], counts: dict[str, int], final: int = FINAL_VALUES
 ) -> dict[tuple[str, int], Any]:
@@ -179,12 +196,11 @@ def order_statistics(
         _Search(column, rank, counts[column]) for column, ranks in wanted.items() for rank in sorted(set(ranks))
     ]
     while open_ := [s for s in searches if not s.done]:
-        small = [s for s in open_ if s.inside <= final]
-        large = [s for s in open_ if s.inside > final]
-        if small:
-            _read_small(df, small)
-        if large:
-            _narrow(df, large)
+        groups = _by_interval(open_)
+        for batch in _batches([g for g in groups if g[0].inside <= final], lambda g: g[0].inside, BUFFERED_VALUES):
+            _read_small(df, batch)
+        for batch in _batches([g for g in groups if g[0].inside > final], lambda g: 1, INTERVALS_PER_SCAN):
+            _narrow(df, batch)
     return {(s.column, s.rank): s.answer for s in searches}
 
 

@@ -57,3 +57,14 @@ def test_sketch_is_close(spark):
     df = spark.range(100_000).select(F.col("id").cast("double").alias("x"))
     got = q.approximate_quantiles(df, ["x"], [0.5])["x"][0.5]
     assert abs(got - 50_000) < 1000
+
+
+def test_many_columns_take_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(q, "BUFFERED_VALUES", 700)
+    monkeypatch.setattr(q, "INTERVALS_PER_SCAN", 2)
+    df = spark.range(1000).select(*[(F.col("id") * (i + 1) % 997).alias(f"c{i}") for i in range(5)])
+    values = df.toPandas()
+    got = q.exact_quantiles(df, df.columns, [0.3, 0.5], final=300)
+    for c in df.columns:
+        for p in (0.3, 0.5):
+            assert got[c][p] == pytest.approx(values[c].quantile(p))

@@ -125,3 +125,26 @@ def test_recommended_steps_run(spark):
     cleaned, _ = clean(df, steps)
     table = profile.table_profile(cleaned).first()
     assert table["missing_cells"] == 0
+
+
+def test_wide_table(spark):
+    """More columns than one scan aggregates, and more than one row can be grouped by."""
+    names = [f"c{i}" for i in range(95)]
+    df = spark.range(20).select(*[(F.col("id") % (i + 1)).cast(("double", "int", "string")[i % 3]).alias(n) for i, n in enumerate(names)])
+    columns = by_column(profile.column_profile(df.unionByName(df)))
+    assert len(columns) == 95
+    assert all(columns[f"c{i}"]["unique_count"] == min(i + 1, 20) for i in range(95))
+    assert profile.table_profile(df.unionByName(df)).first()["duplicate_rows"] == 20
+
+
+def test_zeros_and_nested_rows_group_as_equal(spark):
+    rows = "SELECT * FROM VALUES (0.0D, array(1, 2), map('a', 1)), (-0.0D, array(1, 2), map('a', 1)) AS t(x, y, z)"
+    df = spark.sql(rows)
+    assert profile.table_profile(df).first()["duplicate_rows"] == 1
+    assert by_column(profile.unique_by_column(df.select("x", "y")))["x"]["unique_count"] == 1
+
+
+def test_decimal_modes(spark):
+    df = spark.sql("SELECT * FROM VALUES (1.50BD), (1.50BD), (2.25BD) AS t(x)")
+    r = explore.describe_numeric(df).first()
+    assert r["mode"] == 1.5 and r["median"] == 1.5
