@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import TableError
 from ..functions.columns import value_of
 
 FINAL_VALUES = 200_000
@@ -54,6 +55,10 @@ class _Search:
     def interval(self):
         return (self.column, self.low, self.high)
 
+    @property
+    def bounded(self) -> bool:
+        return self.low is not None or self.high is not None
+
     def settle(self, value) -> None:
         self.answer, self.done = value, True
 
@@ -105,8 +110,10 @@ def _read_small(df: DataFrame, groups: list[list[_Search]]) -> None:
         s.settle(value)
 
 
-def sketch_quantiles(df: DataFrame, asked: Sequence[tuple[str, Column, Sequence[float]]]) -> list[list]:
-    """Approximate quantiles of several expressions from one scan.
+def sketch_quantiles(
+    df: DataFrame, asked: Sequence[tuple[str, Column, Sequence[float]]]
+) -> list[tuple[int, list]]:
+    """Exact count and approximate quantiles of several expressions from one scan.
 
     The sketches of the tasks meet in ``MERGE_GROUPS`` places first, so that no
     single task merges one sketch per input split.
@@ -121,25 +128,34 @@ def sketch_quantiles(df: DataFrame, asked: Sequence[tuple[str, Column, Sequence[
     merged = grouped.agg(
         *[getattr(F, f"kll_merge_agg_{kind}")(f"s{i}", SKETCH_SIZE).alias(f"s{i}") for i, kind in enumerate(kinds)]
     )
-    row = merged.select(
-        *[
-            getattr(F, f"kll_sketch_get_quantile_{kind}")(
-                F.col(f"s{i}"), F.array(*[F.lit(float(p)) for p in probs])
-            ).alias(f"q{i}")
-            for i, (kind, (_, _, probs)) in enumerate(zip(kinds, asked))
-        ]
-    ).first()
-    return [list(values) for values in row]
+    fields = []
+    for i, (kind, (_, _, probs)) in enumerate(zip(kinds, asked)):
+        n = F.coalesce(getattr(F, f"kll_sketch_get_n_{kind}")(f"s{i}"), F.lit(0))
+        ranks = F.array(*[F.lit(float(p)) for p in probs])
+        found = getattr(F, f"kll_sketch_get_quantile_{kind}")(F.col(f"s{i}"), ranks)
+        fields += [n.alias(f"n{i}"), F.when(n > 0, found).alias(f"q{i}")]
+    row = merged.select(*fields).first()
+    return [(row[f"n{i}"], list(row[f"q{i}"] or [])) for i in range(len(asked))]
 
 
-def _narrow(df: DataFrame, groups: list[list[_Search]]) -> None:
-    """Two passes: propose pivots per interval, then count exactly around them."""
-    asked = []
-    for g in groups:
-        places = [(s.rank - s.below + 0.5) / s.inside for s in g]
-        probs = sorted({p for x in places for p in (max(0.0, x - MARGIN), min(1.0, x + MARGIN))})
-        asked.append((g[0].column, _inside(df, g[0]), probs))
-    pivots = [sorted(set(values)) for values in sketch_quantiles(df, asked)]
+def _around(places: Sequence[float]) -> list[float]:
+    return sorted({p for x in places for p in (max(0.0, x - MARGIN), min(1.0, x + MARGIN))})
+
+
+def _narrow(df: DataFrame, groups: list[list[_Search]], proposed: dict[str, list]) -> None:
+    """Propose pivots per interval, then count exactly around them.
+
+    Pivots ``proposed`` for whole columns save the first proposal.
+    """
+    pivots: list[list] = [[] if g[0].bounded else proposed.get(g[0].column, []) for g in groups]
+    open_ = [i for i, ps in enumerate(pivots) if not ps]
+    asked = [
+        (g[0].column, _inside(df, g[0]), _around([(s.rank - s.below + 0.5) / s.inside for s in g]))
+        for g in (groups[i] for i in open_)
+    ]
+    for i, (_, values) in zip(open_, sketch_quantiles(df, asked) if asked else []):
+        pivots[i] = values
+    pivots = [sorted(set(values)) for values in pivots]
 
     counts = []
     for i, (g, ps) in enumerate(zip(groups, pivots)):
@@ -167,6 +183,8 @@ def _place(s: _Search, pivots: list, counts: list[tuple[int, int]]) -> None:
     else:
         s.inside -= start
     s.below += start
+    if s.inside <= 0:
+        raise TableError("the table returned different rows in two scans; write it down first")
 
 
 def _batches(groups: list, cost, limit: int) -> list[list]:
@@ -186,7 +204,11 @@ def _batches(groups: list, cost, limit: int) -> list[list]:
 
 
 def order_statistics(
-    df: DataFrame, wanted: dict[str, Sequence[int]], counts: dict[str, int], final: int = FINAL_VALUES
+    df: DataFrame,
+    wanted: dict[str, Sequence[int]],
+    counts: dict[str, int],
+    final: int = FINAL_VALUES,
+    proposed: dict[str, list] | None = None,
 ) -> dict[tuple[str, int], Any]:
     """Value at each 0-based rank of each column (missing values excluded).
 
@@ -200,7 +222,7 @@ def order_statistics(
         for batch in _batches([g for g in groups if g[0].inside <= final], lambda g: g[0].inside, BUFFERED_VALUES):
             _read_small(df, batch)
         for batch in _batches([g for g in groups if g[0].inside > final], lambda g: 1, INTERVALS_PER_SCAN):
-            _narrow(df, batch)
+            _narrow(df, batch, proposed or {})
     return {(s.column, s.rank): s.answer for s in searches}
 
 
@@ -211,14 +233,18 @@ def exact_quantiles(
     if not columns:
         return {}
     narrow = df.select(*dict.fromkeys(columns))
-    row = narrow.agg(*[F.count(value_of(narrow, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    counts = dict(zip(columns, row))
+    counts, proposed = {}, {}
+    for i in range(0, len(columns), INTERVALS_PER_SCAN):
+        batch = columns[i : i + INTERVALS_PER_SCAN]
+        found = sketch_quantiles(narrow, [(c, _number(narrow, c), _around(probs)) for c in batch])
+        for c, (n, pivots) in zip(batch, found):
+            counts[c], proposed[c] = n, pivots
     wanted: dict[str, list[int]] = {}
     for c in columns:
         if counts[c]:
             positions = [p * (counts[c] - 1) for p in probs]
             wanted[c] = [r for x in positions for r in (math.floor(x), math.ceil(x))]
-    values = order_statistics(narrow, wanted, counts, final)
+    values = order_statistics(narrow, wanted, counts, final, proposed)
     out: dict[str, dict[float, float | None]] = {}
     for c in columns:
         out[c] = {}
@@ -235,14 +261,14 @@ def exact_quantiles(
 def approximate_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 ) -> dict[str, dict[float, float | None]]:
-    """Sketch quantiles of all columns: one scan after the count."""
+    """Sketch quantiles of all columns from one scan."""
     if not columns:
         return {}
-    row = df.agg(*[F.count(value_of(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    filled = [c for c, n in zip(columns, row) if n]
-    values = sketch_quantiles(df, [(c, _number(df, c), probs) for c in filled]) if filled else []
-    found = {c: {p: float(v) for p, v in zip(probs, vs)} for c, vs in zip(filled, values)}
-    return {c: found.get(c, dict.fromkeys(probs)) for c in columns}
+    found = sketch_quantiles(df, [(c, _number(df, c), probs) for c in columns])
+    return {
+        c: {p: float(v) for p, v in zip(probs, values)} if n else dict.fromkeys(probs)
+        for c, (n, values) in zip(columns, found)
+    }
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact: bool = True):
