@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref, require_columns
+from ..session import materialize
 
 # Top bits of the hash; a class is cut into this many buckets to find its limit.
 BUCKET_BITS = 16
+# Up to this many classes the table of limits is broadcast, beyond it is joined.
+BROADCAST_STRATA = 10_000
 
 
 def _hash(key: Sequence[str], seed: int) -> Column:
@@ -83,6 +86,11 @@ def mark_test(
         mark = F.lit(False) if row is None else below(F.lit(row["limit_bucket"]), F.lit(row["limit_hash"]))
         return df.withColumn("is_test", mark)
     limits = test_limits(df, test, seed, key, ref(stratify))
+    few = limits.take(BROADCAST_STRATA + 1)
+    if len(few) <= BROADCAST_STRATA:
+        limits = F.broadcast(df.sparkSession.createDataFrame(few, limits.schema))
+    else:
+        limits = materialize(limits, "limits")
     joined = df.join(limits, ref(stratify).eqNullSafe(F.col("limit_stratum")), "left")
     mark = F.coalesce(below(F.col("limit_bucket"), F.col("limit_hash")), F.lit(False))
     return joined.select(*[ref(c) for c in df.columns], mark.alias("is_test"))

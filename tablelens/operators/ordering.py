@@ -40,7 +40,7 @@ def running_totals(df: DataFrame, order: Sequence[str], totals: dict[str, Column
     within = (
         Window.partitionBy(BLOCK).orderBy(*[ref(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return blocks.join(offsets, BLOCK).select(
+    return blocks.join(F.broadcast(offsets), BLOCK).select(
         *df.columns,
         *[
             (F.coalesce(F.sum(e).over(within), F.lit(0)) + F.col(f"__before_{n}")).alias(n)
@@ -97,12 +97,23 @@ def fill_along(
     same = F.col(BLOCK) == F.col("__carry_block")
     for i, p in enumerate(part_cols):
         same = same & p.eqNullSafe(F.col(f"__carry_{i}"))
+    if parts:
+        # Only the part at the edge of a block can continue from another block.
+        names = [f"__edge_{i}" for i in range(len(parts))]
+        packed = F.struct(*[p.alias(n) for p, n in zip(part_cols, names)])
+        edge = (F.min(packed) if forward else F.max(packed)).alias("__edge")
+        edges = blocks.groupBy(F.col(BLOCK).alias("__edge_block")).agg(edge).select("__edge_block", "__edge.*")
+        on_edge = F.col("__carry_block") == F.col("__edge_block")
+        for i, n in enumerate(names):
+            on_edge = on_edge & F.col(f"__carry_{i}").eqNullSafe(F.col(n))
+        carry = carry.join(F.broadcast(edges), on_edge, "left_semi")
 
     within = Window.partitionBy(BLOCK, *part_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     fills = (
         blocks.withColumn("__near", F.last("__anchor", ignorenulls=True).over(within))
         .where("__has_gap")
-        .join(carry, same, "left")
+        # At most one row per block, and there are no more blocks than shuffle partitions.
+        .join(F.broadcast(carry), same, "left")
         .select(
             *[ref(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
             F.coalesce("__near", "__carry").alias("__fill"),

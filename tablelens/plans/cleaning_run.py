@@ -154,9 +154,9 @@ def _row_wise(df: DataFrame, plain: DataFrame, step: Step) -> tuple[Column, Colu
 def clean(df: DataFrame, steps: Sequence[Step | dict]) -> tuple[DataFrame, DataFrame]:
     """Apply the steps in order; returns the cleaned table and one summary row per step.
 
-    Steps whose result later steps measure again (duplicate removal, fills
-    along an order) are written to shared storage once, so that their shuffle
-    is not repeated.
+    Steps whose result is read more than once (duplicate removal, fills along
+    an order) are written to shared storage once, so that their shuffle is not
+    repeated.
     """
     plan = [Step.of(s) for s in steps]
     schema = df.schema
@@ -181,9 +181,7 @@ def clean(df: DataFrame, steps: Sequence[Step | dict]) -> tuple[DataFrame, DataF
                 df = materialize(df, "filled")
         elif step.type == "drop_duplicates":
             df, rows = account.settle(df)
-            df = ops.drop_duplicates(df)
-            if n + 1 < len(plan):
-                df = materialize(df, "distinct")
+            df = materialize(ops.drop_duplicates(df), "distinct")
             account.affected[n] = rows - df.count()
         else:
             if step.type == "remove_outliers":

@@ -59,3 +59,22 @@ def test_running_totals(spark):
         want[k] = total
         total += n
     assert {r["k"]: r["before"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("strategy", ["ffill", "bfill"])
+def test_fill_within_many_parts_over_many_blocks(spark, strategy):
+    """Blocks that hold parts' ends and starts, and one part that spans blocks."""
+    rng = random.Random(6)
+    rows = [(0 if rng.random() < 0.5 else rng.randrange(60), i, i if rng.random() < 0.05 else None) for i in range(2000)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "p int, k int, v int")
+        got = {r["k"]: r["v"] for r in fill_missing(df, "v", strategy, order_by=["k"], partition_by=["p"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    last, want = {}, {}
+    for p, k, v in rows if strategy == "ffill" else reversed(rows):
+        last[p] = v if v is not None else last.get(p)
+        want[k] = last[p]
+    assert got == want
