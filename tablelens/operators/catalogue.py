@@ -48,10 +48,6 @@ def _ordering(sort: str | None, allowed: Sequence[str], key: str) -> list[Column
     return [*chosen, F.col(key).asc()]
 
 
-def _like(c: Column, text: str) -> Column:
-    return F.contains(F.lower(c), F.lower(F.lit(text)))
-
-
 def list_datasets(
     datasets: DataFrame,
     versions: DataFrame,
@@ -67,7 +63,7 @@ def list_datasets(
     """One page of an owner's datasets, filtered by name, dates and current status."""
     df = owned(datasets, user_id)
     if search:
-        df = df.where(_like(F.col("dataset_name"), search))
+        df = df.where(F.col("dataset_name").ilike(f"%{search}%"))
     if before is not None:
         df = df.where(F.col("created_at") <= F.lit(before))
     if after is not None:
@@ -96,7 +92,7 @@ def list_reports(
     """One page of the reports on an owner's datasets."""
     mine = owned(datasets, user_id)
     if search:
-        mine = mine.where(_like(F.col("dataset_name"), search))
+        mine = mine.where(F.col("dataset_name").ilike(f"%{search}%"))
     df = reports
     if status:
         df = df.where(F.col("status") == status.upper())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import TableError
-from ..functions.columns import is_missing, is_numeric, is_text, ref, require_columns, value_of
+from ..functions.columns import is_datetime, is_missing, is_numeric, is_text, ref, require_columns, value_of
 from ..functions.dates import DATE_LAYOUTS, parse_date
 from ..functions.text import strip_space, title_case
 from .ordering import fill_along
@@ -130,10 +130,14 @@ def cast_expr(df: DataFrame, column: str, target: str, formats: Sequence[str] |
     if target == "numeric":
         if is_numeric(dtype):
             return c
+        if is_datetime(dtype):
+            return c.cast("timestamp").cast("double")
         return F.trim(c).try_cast("double") if is_text(dtype) else c.cast("double")
     if target == "datetime":
         if is_text(dtype):
             return parse_date(c, formats or DATE_LAYOUTS)
+        if isinstance(dtype, T.BooleanType):
+            return F.lit(None).cast("timestamp")
         return c.cast("timestamp")
     if target == "boolean":
         if isinstance(dtype, T.BooleanType):

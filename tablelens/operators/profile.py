@@ -68,12 +68,17 @@ def _cell_bytes(df: DataFrame, name: str) -> Column:
     return F.lit(widths.get(type(dtype), 8)).cast("bigint")
 
 
-def size_estimate(df: DataFrame) -> DataFrame:
-    """Bytes of the data itself: text lengths plus fixed widths."""
+def data_bytes(df: DataFrame) -> Column:
+    """Aggregate: bytes of the data itself, text lengths plus fixed widths."""
     total = F.lit(0).cast("bigint")
     for name in df.columns:
         total = total + _cell_bytes(df, name)
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(total), F.lit(0)).alias("data_bytes"))
+    return F.coalesce(F.sum(total), F.lit(0))
+
+
+def size_estimate(df: DataFrame) -> DataFrame:
+    """Rows and bytes of a table."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), data_bytes(df).alias("data_bytes"))
 
 
 def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .. import TableError
 from ..functions.columns import is_float, is_missing, ref
 from ..functions.text import equality_key
-from ..operators.profile import size_estimate
+from ..operators.profile import data_bytes
+from . import delimited
 
 VERSION_SCHEMA = (
     "version_id string, dataset_id string, version_number int, storage_path string, file_size bigint, "
@@ -36,17 +37,20 @@ def _cell_text(df: DataFrame, name: str) -> Column:
     return F.coalesce(text, F.lit("-"))
 
 
+def digest_sum(df: DataFrame) -> Column:
+    """Aggregate: the sum of the row digests."""
+    digest = F.md5(F.concat_ws("|", *[_cell_text(df, n) for n in df.columns]))
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(28,0)")
+    return F.coalesce(F.sum(number).cast("string"), F.lit("0"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Content identity of a table, whatever the order of its rows.
 
     The row digests are added up, so the result needs one partial aggregation
     and no sort, and copies of a row count.
     """
-    digest = F.md5(F.concat_ws("|", *[_cell_text(df, n) for n in df.columns]))
-    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(28,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(number).cast("string"), F.lit("0")).alias("digest_sum")
-    )
+    return df.agg(F.count(F.lit(1)).alias("rows"), digest_sum(df).alias("digest_sum"))
 
 
 def _paths(root: str, dataset_id: str, number: int) -> tuple[str, str]:
@@ -91,13 +95,16 @@ def write_version(df: DataFrame, root: str, dataset_id: str, status: str = "CLEA
     path, catalogue = _paths(root, dataset_id, number)
     df.write.mode("overwrite").parquet(path)
     stored = spark.read.parquet(path)
-    record = size_estimate(stored).select(
+    totals = stored.agg(
+        F.count(F.lit(1)).alias("rows"), data_bytes(stored).alias("data_bytes"), digest_sum(stored).alias("digest_sum")
+    )
+    record = totals.select(
         F.lit(uuid.uuid4().hex).alias("version_id"),
         F.lit(dataset_id).alias("dataset_id"),
         F.lit(number).alias("version_number"),
         F.lit(path).alias("storage_path"),
         F.col("data_bytes").alias("file_size"),
-        fingerprint(stored).select("digest_sum").scalar().alias("checksum"),
+        F.col("digest_sum").alias("checksum"),
         F.col("rows").alias("rows_count"),
         F.lit(len(df.columns)).cast("bigint").alias("columns_count"),
         F.lit(status).alias("status"),
@@ -116,3 +123,18 @@ def read_version(spark: SparkSession, root: str, dataset_id: str, n: int | None
     if not 1 <= number <= current:
         raise TableError(f"dataset {dataset_id} has no version {number}")
     return spark.read.parquet(_paths(root, dataset_id, number)[0])
+
+
+def import_csv(
+    spark: SparkSession, path: str, root: str, dataset_id: str, sep: str | None = None, encoding: str | None = None
+) -> DataFrame:
+    """Read a CSV file once, check it, and store it as the dataset's next version.
+
+    Later work scans the stored columns; text is never parsed again.
+    """
+    df = delimited.read_csv(spark, path, sep, encoding)
+    number = write_version(df, root, dataset_id, "UPLOADED")
+    stored = spark.read.parquet(_paths(root, dataset_id, number)[0])
+    if stored.isEmpty():
+        raise TableError("the table has no rows")
+    return stored

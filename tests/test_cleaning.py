@@ -122,3 +122,13 @@ def test_boolean_is_not_numeric(spark):
         op.fill_missing(df, "b", "mean")
     with pytest.raises(TableError):
         op.remove_outliers(df, "b", "iqr")
+
+
+def test_casts_of_other_types(spark):
+    df = spark.sql("SELECT true AS b, date '1970-01-02' AS d, 5 AS n, 2.5D AS x")
+    assert op.cast_type(df, "b", "datetime").first()["b"] is None
+    assert op.cast_type(df, "b", "numeric").first()["b"] == 1.0
+    assert op.cast_type(df, "d", "numeric").first()["d"] == 86400.0
+    assert op.cast_type(df, "n", "numeric").dtypes[2] == ("n", "int")
+    assert op.cast_type(df, "x", "string").first()["x"] == "2.5"
+    assert op.cast_type(df, "n", "boolean").first()["n"] is False
