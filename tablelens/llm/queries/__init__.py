@@ -2,6 +2,6 @@
 
 from .registry import QUERIES, SQL
 
-from . import decontaminate, pii  # noqa: E402,F401  (registration)
+from . import decontaminate, pii, simhash  # noqa: E402,F401  (registration)
 
 __all__ = ["QUERIES", "SQL"]
