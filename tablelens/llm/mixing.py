@@ -125,36 +125,51 @@ def draw(name: Column) -> Column:
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(
-    docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, into: str = "mix",
-) -> DataFrame:
-    """``docs`` with ``into``: struct of topic, n_tokens, probability and sampled."""
+def _counted(
+    docs: DataFrame, into: str, id_col: str, text_col: str, topic_col: str | None
+) -> DataFrame:
+    """``docs`` with ``into``: struct of topic, n_tokens and the number drawn."""
     text = F.col(f"`{text_col}`")
     topic = F.col(f"`{topic_col}`") if topic_col else topic_of(F.coalesce(text, F.lit("")))
-    counted = docs.withColumn(into, F.struct(topic.alias("topic"), tokens_of(text).alias("n_tokens")))
-    cells = counted.groupBy(
-        F.col(f"`{source_col}`").alias("source"), F.col(f"`{lang_col}`").alias("lang"), F.col(into)["topic"].alias("topic")
-    ).agg(F.sum(F.col(into)["n_tokens"]).alias("tokens"))
-    raked = rake(cells, targets, budget, temperature)
+    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), text, F.lit(""))
+    return docs.withColumn(into, F.struct(topic.alias("topic"), tokens_of(text).alias("n_tokens"), draw(name).alias("drawn")))
+
+
+def _mixed(
+    counted: DataFrame, into: str, source_col: str, lang_col: str, targets: dict[str, DataFrame] | None, budget: float, temperature: float
+) -> DataFrame:
+    """``counted`` with ``into``: struct of topic, n_tokens, probability and sampled."""
+    m = F.col(into)
+    cells = counted.groupBy(F.col(f"`{source_col}`").alias("source"), F.col(f"`{lang_col}`").alias("lang"), m["topic"].alias("topic"))
+    raked = rake(cells.agg(F.sum(m["n_tokens"]).alias("tokens")), targets, budget, temperature)
     r = {c: fresh(counted, f"cell_{c}") for c in raked.columns}
     joined = counted.join(
         raked.withColumnsRenamed(r),
         F.col(f"`{source_col}`").eqNullSafe(F.col(r["source"]))
         & F.col(f"`{lang_col}`").eqNullSafe(F.col(r["lang"]))
-        & F.col(into)["topic"].eqNullSafe(F.col(r["topic"])),
+        & m["topic"].eqNullSafe(F.col(r["topic"])),
     )
-    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), text, F.lit(""))
     p = F.col(r["probability"])
-    return joined.withColumn(
-        into, F.struct(F.col(into)["topic"].alias("topic"), F.col(into)["n_tokens"].alias("n_tokens"), p.alias("probability"), (draw(name) < p).alias("sampled"))
-    ).select(*[F.col(f"`{c}`") for c in docs.columns], into)
+    result = F.struct(m["topic"].alias("topic"), m["n_tokens"].alias("n_tokens"), p.alias("probability"), (m["drawn"] < p).alias("sampled"))
+    return joined.withColumn(into, result).select(*[F.col(f"`{c}`") for c in counted.columns])
+
+
+def mix(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, into: str = "mix",
+) -> DataFrame:
+    """``docs`` with ``into``: struct of topic, n_tokens, probability and sampled."""
+    return _mixed(_counted(docs, into, id_col, text_col, topic_col), into, source_col, lang_col, targets, budget, temperature)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: its cell, tokens, probability (6 places) and whether it is sampled."""
+    """One row per document: its cell, tokens, probability (6 places) and whether it is sampled.
+
+    Texts are read once: what is counted of them is written without them.
+    """
+    counted = _counted(docs.select("doc_id", "text", "source", "lang"), "mix", "doc_id", "text", None).drop("text")
     m = F.col("mix")
-    return mix(docs.select("doc_id", "text", "source", "lang")).select(
+    return _mixed(materialize(counted, "counted"), "mix", "source", "lang", None, BUDGET, TEMPERATURE).select(
         "doc_id", "source", "lang", m["topic"].alias("topic"), m["n_tokens"].alias("n_tokens"),
         F.round(m["probability"], 6).alias("probability"), m["sampled"].alias("sampled"),
     )

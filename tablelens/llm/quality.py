@@ -25,12 +25,12 @@ documents pass.  Repeated labels of one document count once, the worst.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +54,8 @@ CLASS = np.array(
 )
 
 
-def features_of(raw: bytes) -> tuple[set[bytes], list[float]]:
-    """The distinct words of a text, with the symbols at their ends as words too, and its shape."""
+def features_of(raw: bytes) -> tuple[list[int], list[float]]:
+    """Hashes of the distinct words of a text, with the symbols at their ends as words too, and its shape."""
     words = raw.translate(FOLD).split()
     n = len(words)
     kinds = set(words)
@@ -75,14 +75,14 @@ def features_of(raw: bytes) -> tuple[set[bytes], list[float]]:
         float(share[1]), float(share[3]), float(share[5]), tails / max(1, len(kinds)), repeats,
         1.0 - len(kinds) / max(1.0, float(n)) if n > 50 else 0.0, math.log1p(n) / 10.0,
     ]
-    return out, shape
+    return [xxhash.xxh3_64_intdigest(w) for w in out], shape
 
 
 @dataclass
 class Model:
     """Weights of words, and of the regression on (sum of positive weights, sum of negative ones, shape)."""
 
-    weights: dict[bytes, float]
+    weights: dict[int, float]
     coefficients: np.ndarray
     prior: float
 
@@ -92,10 +92,14 @@ class Model:
         return float(np.clip(x @ self.coefficients, -12, 12) - self.prior)
 
 
-def _row(weights: dict[bytes, float], words: set[bytes], shape: list[float]) -> list[float]:
+def _row(weights: dict[int, float], words: list[int], shape: list[float]) -> list[float]:
     found = [weights[w] for w in words if w in weights]
-    up = sum(v for v in found if v > 0)
-    return [1.0, math.log1p(up), max(found, default=0.0), -math.log1p(-min(0.0, sum(v for v in found if v < 0))), *shape]
+    return _evidence_row(np.array(found, float), shape)
+
+
+def _evidence_row(found: np.ndarray, shape: list[float]) -> list[float]:
+    up, down = found[found > 0].sum(), -found[found < 0].sum()
+    return [1.0, math.log1p(up), max(0.0, found.max(initial=0.0)), -math.log1p(down), *shape]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
@@ -113,38 +117,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray
     return beta
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model | None:
-    """``rows``: texts with 1 for bad.  Half of them choose the words, the other half fit the regression, and in turn."""
-    if not 0 < sum(y for _, y in rows) < len(rows):
+def _weigh(words: list[np.ndarray], bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words (hashes, ascending) that tell bad from good reliably, and their log odds ratios."""
+    n = np.array([(bad == k).sum() for k in (0, 1)])
+    known, place = np.unique(np.concatenate(words), return_inverse=True)
+    of = np.repeat(bad, [len(w) for w in words])
+    count = [np.bincount(place[of == k], minlength=len(known)) for k in (0, 1)]
+    a, b = count[1] + 0.5, count[0] + 0.5
+    c, d = n[1] - count[1] + 0.5, n[0] - count[0] + 0.5
+    ratio = np.log(a * d / (b * c))
+    chosen = (a + b > MIN_DOCS) & (np.abs(ratio) >= np.maximum(MIN_RATIO, MIN_ERRORS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)))
+    return known[chosen], ratio[chosen]
+
+
+def fit(words: list[np.ndarray], shapes: list[list[float]], bad: np.ndarray) -> Model | None:
+    """``bad``: 1 or 0.  Half of the texts choose the words, the other half fit the regression, and in turn."""
+    if not 0 < bad.sum() < len(bad):
         return None
-    data = [(*features_of(raw), y) for raw, y in rows]
-
-    def weigh(part) -> dict[bytes, float]:
-        n = [sum(1 for *_, y in part if y == k) for k in (0, 1)]
-        count = [Counter(w for words, _, y in part if y == k for w in words) for k in (0, 1)]
-        out = {}
-        for w in count[0].keys() | count[1].keys():
-            a, b = count[1][w] + 0.5, count[0][w] + 0.5
-            if a + b < MIN_DOCS + 1:
-                continue
-            c, d = n[1] - count[1][w] + 0.5, n[0] - count[0][w] + 0.5
-            ratio = math.log(a * d / (b * c))
-            if abs(ratio) >= max(MIN_RATIO, MIN_ERRORS * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)):
-                out[w] = ratio
-        return out
-
-    halves = [data[0::2], data[1::2]]
-    crossed = []
-    for chosen, rest in (halves, halves[::-1]):
-        weights = weigh(chosen)
-        crossed += [(_row(weights, words, shape), y) for words, shape, y in rest]
-    x, y = np.array([r for r, _ in crossed]), np.array([y for _, y in crossed], float)
+    x, y = [], []
+    for k in (0, 1):
+        known, ratio = _weigh(words[k::2], bad[k::2]) if len(bad) > 1 else (np.empty(0, np.uint64), np.empty(0))
+        for w, shape in zip(words[1 - k :: 2], shapes[1 - k :: 2], strict=True):
+            at = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
+            found = ratio[at[known[at] == w]] if len(known) else np.empty(0)
+            x.append(_evidence_row(found, shape))
+        y.append(bad[1 - k :: 2])
+    y = np.concatenate(y).astype(float)
     rate = y.mean()
-    return Model(weigh(data), _logistic(x, y), math.log(rate / (1 - rate)))
+    known, ratio = _weigh(words, bad)
+    weights = dict(zip(known.tolist(), ratio.tolist(), strict=True))
+    return Model(weights, _logistic(np.array(x), y), math.log(rate / (1 - rate)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bad: Column, sample: int) -> list[tuple[bytes, int]]:
-    """About ``sample`` labelled texts, all that is labelled if it is less."""
+def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bad: Column, sample: int) -> Model | None:
+    """The model of about ``sample`` labelled texts, or of all that is labelled if it is less."""
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(bad.cast("int")).alias("bad"))
     marked = marked.where("bad IS NOT NULL")
     total = marked.count()
@@ -152,8 +158,20 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bad:
         marked = marked.where(F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(1 << 30)) < int((1 << 30) * sample / total))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), utf8(F.col(f"`{text_col}`")).alias("raw"))
     # The labels to learn from are at most about ``sample`` rows.
-    rows = texts.join(F.broadcast(marked), "id").select("raw", "bad", F.xxhash64("id", "raw").alias("place")).collect()
-    return [(bytes(r["raw"]), r["bad"]) for r in sorted(rows, key=lambda r: r["place"])]
+    rows = texts.join(F.broadcast(marked), "id").select("raw", "bad", F.xxhash64("id", "raw").alias("place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features_of(r.as_py()) for r in batch.column(0)]
+            words = [np.array(w, np.uint64).view(np.int64) for w, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64())), batch.column(1), batch.column(2)],
+                ["words", "shape", "bad", "place"],
+            )
+
+    table = rows.mapInArrow(run, "words array<long>, shape array<double>, bad int, place long").toArrow().sort_by("place")
+    words = [np.asarray(w.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64) for w in table["words"]]
+    return fit(words, table["shape"].to_pylist(), table["bad"].to_numpy().astype(int))
 
 
 def with_evidence(df: DataFrame, model: Model | None, into: str, text_col: str) -> DataFrame:
@@ -217,7 +235,7 @@ def classify(
 ) -> DataFrame:
     """``docs`` with ``into``: struct of evidence, site (posterior rate without the document) and p_bad."""
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1) if bad is None else bad
-    model = fit(_sample(docs, labels, id_col, text_col, bad, sample))
+    model = _learn(docs, labels, id_col, text_col, bad, sample)
     prior = model.prior if model else 0.0
     p_alone = lambda e: 1 / (1 + F.exp(-(e + prior)))
     sites = with_evidence(

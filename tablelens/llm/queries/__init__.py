@@ -2,6 +2,6 @@
 
 from .registry import QUERIES, SQL
 
-from . import decontaminate, mixing, pii, quality, simhash  # noqa: E402,F401  (registration)
+from . import balltree, decontaminate, language, mixing, pii, quality, repeats, simhash  # noqa: E402,F401  (registration)
 
 __all__ = ["QUERIES", "SQL"]
