@@ -162,13 +162,13 @@ class RunLengthIndex:
         packed = np.zeros(n, np.uint64)
         for k in range(8):
             packed = (packed << np.uint64(8)) | padded[k : k + n]
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)
         rank = self._ranks(packed, order)
         self.levels, size = [(8, rank)], 8
         while rank[order[-1]] < n - 1:
             key = rank.astype(np.int64) * (n + 1)
             key[:-size] += rank[size:] + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = self._ranks(key, order)
             size *= 2
             self.levels.append((size, rank))
