@@ -29,7 +29,7 @@ from .common import utf8
 UNKNOWN = "und"
 BUCKETS = 1 << 14
 DIM = 24
-PER_LANGUAGE = 800
+PER_LANGUAGE = 500
 EPOCHS, BATCH, RATE = 12, 32, 0.5
 MAX_ERROR = 0.01
 # Bytes hashed at a time.
@@ -134,10 +134,13 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS,
             model.bias -= rate * error.sum(axis=0)
             used = np.flatnonzero(x.any(axis=0))
             model.embedding[used] -= rate * x[:, used].T @ back
-    parts = [dense(kept_out[lo : lo + 256]) for lo in range(0, len(kept_out), 256)]
-    if not parts:
+    if not kept_out:
         return model
-    z, y = np.concatenate([model.logits(x) for x, _ in parts]), np.concatenate([y for _, y in parts])
+    found = []
+    for lo in range(0, len(kept_out), BATCH):
+        x, y = dense(kept_out[lo : lo + BATCH])
+        found.append((model.logits(x), y))
+    z, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     trial = np.geomspace(0.05, 5, 60)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in trial]
     model.temperature = float(trial[int(np.argmin(loss))])
@@ -171,9 +174,9 @@ def learn(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE, bu
                 ["lang", "place", "hit", "often"],
             )
 
-    rows = drawn.mapInArrow(run, "lang string, place long, hit array<int>, often array<float>").toArrow().to_pydict()
-    order = sorted(range(len(rows["place"])), key=lambda k: rows["place"][k])
-    return fit([(rows["lang"][k], np.array(rows["hit"][k], np.int64), np.array(rows["often"][k])) for k in order], buckets)
+    rows = drawn.mapInArrow(run, "lang string, place long, hit array<int>, often array<float>").toArrow().sort_by("place")
+    arrays = lambda c: [v.values.to_numpy(zero_copy_only=False) for v in c]
+    return fit(list(zip(rows["lang"].to_pylist(), arrays(rows["hit"]), arrays(rows["often"]), strict=True)), buckets)
 
 
 _PREDICTED = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
