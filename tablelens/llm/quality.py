@@ -34,13 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, utf8
+from .common import fresh, materialize, utf8
 
 SAMPLE = 12_000
 # A word counts as evidence if its log odds ratio is this many standard errors from 0, and at least so large.
 MIN_ERRORS, MIN_RATIO, MIN_DOCS = 4.0, 1.0, 5
 # Bound of the site term, so that a site alone cannot outweigh clear evidence.
 SITE_BOUND = 3.0
+# Rows of the table of sites up to which it is sent to all tasks.
+BROADCAST_SITES = 100_000
 # Above this probability of being bad a document is rejected; clean ones with little text lie between.
 MAX_BAD = 0.7
 
@@ -244,7 +246,9 @@ def classify(
     ).select("host", "path", p_alone(F.col("evidence")).alias("p"))
     known = site_posteriors(sites)
     s = {c: fresh(docs, f"site_{c}") for c in known.columns}
-    known = known.withColumnsRenamed(s)
+    known = materialize(known.withColumnsRenamed(s), "sites")
+    if known.count() <= BROADCAST_SITES:  # else a join by site, whose large groups Spark splits
+        known = F.broadcast(known)
     e = fresh(docs, "evidence")
     scored = with_evidence(docs, model, e, text_col)
     both = scored.join(
