@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize, utf8
 
 SAMPLE = 12_000
-# A word counts as evidence if its log odds ratio is this many standard errors from 0, and at least so large.
-MIN_ERRORS, MIN_RATIO, MIN_DOCS = 4.0, 1.0, 5
+# A word counts as evidence from this likelihood ratio statistic, log odds ratio and number of documents on.
+MIN_GAIN, MIN_RATIO, MIN_DOCS = 18.0, 1.0, 5
 # Bound of the site term, so that a site alone cannot outweigh clear evidence.
 SITE_BOUND = 3.0
 # Rows of the table of sites up to which it is sent to all tasks.
@@ -125,10 +125,14 @@ def _weigh(words: list[np.ndarray], bad: np.ndarray) -> tuple[np.ndarray, np.nda
     known, place = np.unique(np.concatenate(words), return_inverse=True)
     of = np.repeat(bad, [len(w) for w in words])
     count = [np.bincount(place[of == k], minlength=len(known)) for k in (0, 1)]
-    a, b = count[1] + 0.5, count[0] + 0.5
-    c, d = n[1] - count[1] + 0.5, n[0] - count[0] + 0.5
-    ratio = np.log(a * d / (b * c))
-    chosen = (a + b > MIN_DOCS) & (np.abs(ratio) >= np.maximum(MIN_RATIO, MIN_ERRORS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)))
+    having, total = count[0] + count[1], n.sum()
+    gain = np.zeros(len(known))  # likelihood ratio statistic of the word's two-by-two table
+    for k in (0, 1):
+        for seen, margin in ((count[k], having), (n[k] - count[k], total - having)):
+            expected = margin * n[k] / total
+            gain += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
+    ratio = np.log((count[1] + 0.5) * (n[0] - count[0] + 0.5) / ((count[0] + 0.5) * (n[1] - count[1] + 0.5)))
+    chosen = (having >= MIN_DOCS) & (gain >= MIN_GAIN) & (np.abs(ratio) >= MIN_RATIO)
     return known[chosen], ratio[chosen]
 
 

@@ -133,6 +133,9 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Damaged("header line without colon")
         fields[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+    missing = [n for n in ("warc-type", "warc-record-id", "warc-date") if n not in fields]
+    if missing:
+        raise Damaged(f"no {missing[0]}")
     if not fields.get("content-length", "").isdigit():
         raise Damaged("no content length")
     begin = head_end + len(END)
