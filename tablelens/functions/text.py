@@ -15,8 +15,8 @@ def strip_space(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Capitalise each run of letters; ``initcap`` looks at blanks only."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    """Capitalise each run of cased letters; ``initcap`` looks at blanks only."""
+    runs = F.regexp_extract_all(c, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), 1)
     return F.array_join(F.transform(runs, F.initcap), "")
 
 

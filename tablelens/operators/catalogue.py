@@ -167,24 +167,20 @@ def recent_activity(
     Each kind is reduced to its own ``k`` newest rows of the given datasets
     before the lists meet.
     """
-    none = F.lit(None).cast("int")
-    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    facts = {"version": "int", "bytes": "bigint", "rows_removed": "bigint", "cells_filled": "bigint", "findings": "int"}
     kinds = (
-        ("UPLOAD", versions, F.col("version_number").cast("int"),
-         text("Version ", F.col("version_number").cast("string"), " saved (", F.col("file_size").cast("string"), " bytes)")),
-        ("CLEAN", jobs, none,
-         text("Dropped ", F.col("rows_removed").cast("string"), " rows, filled ",
-              F.col("missing_handled").cast("string"), " nulls")),
-        ("EDA", eda, none, text("Statistics computed")),
-        ("INSIGHTS", insights, none, text(F.size("insights").cast("string"), " findings")),
+        ("UPLOAD", versions, {"version": F.col("version_number"), "bytes": F.col("file_size")}),
+        ("CLEAN", jobs, {"rows_removed": F.col("rows_removed"), "cells_filled": F.col("missing_handled")}),
+        ("EDA", eda, {}),
+        ("INSIGHTS", insights, {"findings": F.size("insights")}),
     )
     names = datasets.select("dataset_id", "dataset_name")
-    newest = [F.desc("timestamp"), F.asc("type"), F.asc("dataset_id"), F.desc("version"), F.asc("description")]
+    newest = [F.desc("timestamp"), F.asc("type"), F.asc("dataset_id"), F.desc("version"), *[F.asc(n) for n in list(facts)[1:]]]
     out = None
-    for kind, df, version, description in kinds:
+    for kind, df, known in kinds:
         rows = df.select(
-            F.lit(kind).alias("type"), "dataset_id", version.alias("version"), description.alias("description"),
-            F.col("created_at").alias("timestamp"),
+            F.lit(kind).alias("type"), "dataset_id", F.col("created_at").alias("timestamp"),
+            *[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in facts.items()],
         ).join(names, "dataset_id").orderBy(*newest).limit(k)
         out = rows if out is None else out.unionByName(rows)
     return out.orderBy(*newest).limit(k)

@@ -31,8 +31,8 @@ def replace_column(df: DataFrame, name: str, expr: Column) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """One row per distinct row; missing cells are equal to each other."""
-    return df.dropDuplicates()
+    """One row per distinct row; missing cells are equal to each other, so NaN becomes null."""
+    return df.select(*[value_of(df, c).alias(c) for c in df.columns]).dropDuplicates()
 
 
 def drop_missing(df: DataFrame, column: str) -> DataFrame:
@@ -42,14 +42,16 @@ def drop_missing(df: DataFrame, column: str) -> DataFrame:
 
 
 def _fill_with(df: DataFrame, column: str, value: Any) -> DataFrame:
-    """Fill with one value; a value the column type cannot hold turns it into text."""
+    """Fill with one value; a number widens a numeric column, any other value that does not fit turns it into text."""
     dtype = df.schema[column].dataType
+    if is_numeric(dtype) and isinstance(value, float) and not value.is_integer():
+        dtype = T.DoubleType()
     fits = is_text(dtype)
     if not fits and value != "":
         probe = df.sparkSession.range(1).select(F.lit(value).cast("string").try_cast(dtype).isNotNull()).first()
         fits = bool(probe[0])
     if fits:
-        expr = F.coalesce(value_of(df, column), F.lit(value).cast("string").cast(dtype))
+        expr = F.coalesce(value_of(df, column).cast(dtype), F.lit(value).cast("string").cast(dtype))
     else:
         expr = F.coalesce(value_of(df, column).cast("string"), F.lit(str(value)))
     return replace_column(df, column, expr)
@@ -132,7 +134,9 @@ def cast_expr(df: DataFrame, column: str, target: str, formats: Sequence[str] |
             return c
         if is_datetime(dtype):
             return c.cast("timestamp").cast("double")
-        return F.trim(c).try_cast("double") if is_text(dtype) else c.cast("double")
+        # Spark also reads the suffixes of its literals, as in 12D.
+        number = F.when(~F.trim(c).rlike("[dDfF]$"), F.trim(c).try_cast("double")) if is_text(dtype) else c.cast("double")
+        return number
     if target == "datetime":
         if is_text(dtype):
             return parse_date(c, formats or DATE_LAYOUTS)

@@ -249,7 +249,7 @@ def describe_datetime(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def correlations(
     df: DataFrame, columns: Sequence[str] | None = None, threshold: float = CORRELATION_THRESHOLD
 ) -> DataFrame:
-    """Pearson coefficients of column pairs in column order, from ``threshold`` up.
+    """Pearson coefficients of column pairs in column order, from ``threshold`` up; undefined ones are left out.
 
     All pairs of a chunk are aggregated in one scan; a chunk bounds the size of
     the generated code for very wide tables.
@@ -280,7 +280,7 @@ def correlations(
         ]
         part = wide.select(F.inline(F.array(*rows)))
         out = part if out is None else out.unionByName(part)
-    return out.where(F.abs("coefficient") >= threshold)
+    return out.where((F.abs("coefficient") >= threshold) & ~F.isnan("coefficient"))
 
 
 def correlation_matrix(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -193,12 +193,14 @@ def dash_storage(spark, sf_dir):
 @query(
     "dash_activity",
     f"""WITH {CATALOGUE}, a AS (
-  SELECT 'UPLOAD' AS type, dataset_id, version_number AS version, 'Version ' || version_number || ' saved (' || file_size || ' bytes)' AS description, created_at AS "timestamp" FROM versions
-  UNION ALL SELECT 'CLEAN', dataset_id, NULL, 'Dropped ' || rows_removed || ' rows, filled ' || missing_handled || ' nulls', created_at FROM jobs
-  UNION ALL SELECT 'EDA', dataset_id, NULL, 'Statistics computed', created_at FROM eda
-  UNION ALL SELECT 'INSIGHTS', dataset_id, NULL, '2 findings', created_at FROM insights)
-SELECT type, dataset_id, version, description, {_STAMP.format(c='"timestamp"')}, dataset_name FROM a JOIN (SELECT dataset_id, dataset_name FROM owned) USING (dataset_id)
-ORDER BY a."timestamp" DESC, type, dataset_id, version DESC NULLS LAST, description LIMIT 10""",
+  SELECT 'UPLOAD' AS type, dataset_id, version_number::INTEGER AS version, file_size::BIGINT AS bytes, NULL::BIGINT AS rows_removed,
+         NULL::BIGINT AS cells_filled, NULL::INTEGER AS findings, created_at AS "timestamp" FROM versions
+  UNION ALL SELECT 'CLEAN', dataset_id, NULL, NULL, rows_removed, missing_handled, NULL, created_at FROM jobs
+  UNION ALL SELECT 'EDA', dataset_id, NULL, NULL, NULL, NULL, NULL, created_at FROM eda
+  UNION ALL SELECT 'INSIGHTS', dataset_id, NULL, NULL, NULL, NULL, 2, created_at FROM insights)
+SELECT type, dataset_id, version, bytes, rows_removed, cells_filled, findings, {_STAMP.format(c='"timestamp"')}, dataset_name
+FROM a JOIN (SELECT dataset_id, dataset_name FROM owned) USING (dataset_id)
+ORDER BY a."timestamp" DESC, type, dataset_id, version DESC NULLS LAST, bytes, rows_removed, cells_filled, findings LIMIT 10""",
 )
 def dash_activity(spark, sf_dir):
     d, t = mine(spark, sf_dir)
