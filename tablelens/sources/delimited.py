@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,8 @@ from .. import TableError
 from ..functions.columns import ref
 from ..operators.profile import size_estimate
 
-# Delimiters and encodings in the order in which they are tried.
+# Delimiters in the order in which they are tried.
 DELIMITERS = (",", ";", "\t")
-ENCODINGS = ("utf-8", "cp1252", "latin-1")
 
 # Cell texts that count as missing.
 MISSING_TEXTS = (
@@ -23,21 +23,27 @@ MISSING_TEXTS = (
 )
 # Bytes that cp1252 leaves undefined.
 UNDEFINED_CP1252 = "[\\u0081\\u008D\\u008F\\u0090\\u009D]"
-SNIFF_LINES = 1000
+RECORD = "__record"
 
 
 def detect_encoding(lines: DataFrame) -> str:
-    """First encoding that can decode the whole file; ``lines`` come from the text source.
+    """First of utf-8, cp1252 and latin-1 that can decode the whole file; ``lines`` come from the text source."""
+    row = lines.agg(*_undecodable()).first()
+    return _encoding(row)
 
-    Every line is checked on the executors, and the search stops at the first
-    line that does not decode.
-    """
-    if lines.where(~F.is_valid_utf8("value")).isEmpty():
-        return "utf-8"
+
+def _undecodable() -> list[Column]:
     as_latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    if lines.where(as_latin.rlike(UNDEFINED_CP1252)).isEmpty():
-        return "cp1252"
-    return "latin-1"  # decodes any byte
+    return [
+        F.count_if(~F.is_valid_utf8("value")).alias("not_utf8"),
+        F.count_if(as_latin.rlike(UNDEFINED_CP1252)).alias("not_cp1252"),
+    ]
+
+
+def _encoding(row) -> str:
+    if not row["not_utf8"]:
+        return "utf-8"
+    return "cp1252" if not row["not_cp1252"] else "latin-1"  # latin-1 decodes any byte
 
 
 def charset(encoding: str) -> str:
@@ -65,30 +71,99 @@ def _fields(line: str, sep: str) -> list[str]:
     return next(csv.reader([line], delimiter=sep))
 
 
-def _sample(lines: DataFrame, encoding: str, n: int) -> list[str]:
-    """The first non-blank lines, decoded well enough to find delimiters and names."""
-    value = F.col("value") if encoding == "utf-8" else F.decode(F.col("value").cast("binary"), charset(encoding))
-    text = lines.select((_as_cp1252(value) if encoding == "cp1252" else value).alias("value"))
-    return [r[0] for r in text.where(F.length(F.trim("value")) > 0).take(n)]
+def _first_line(lines: DataFrame) -> bytes:
+    """The first line that is not blank, as it stands in the file."""
+    row = lines.where(F.length(F.trim("value")) > 0).select(F.col("value").cast("binary")).first()
+    if row is None:
+        raise TableError("the file has no header")
+    return bytes(row[0])
+
+
+def _header(first: bytes, sep: str, encoding: str) -> list[str]:
+    return _fields(first.decode(encoding).lstrip("\ufeff"), sep)
+
+
+def _without_quoted(record: Column, sep: str) -> Column:
+    """The record without the cells in quotes; a quote opens a cell only at its beginning."""
+    plain = F.replace(F.regexp_replace(record, "^\ufeff", ""), F.lit('""'), F.lit(""))
+    return F.regexp_replace(plain, f'(?<=^|{sep})"[^"]*"', "")
+
+
+def _cells(record: Column, sep: str) -> Column:
+    plain = _without_quoted(record, sep)
+    return F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
+
 
+@dataclass(frozen=True)
+class Layout:
+    """How a file is to be read."""
 
-def detect_delimiter(sample: Sequence[str]) -> str:
-    """First delimiter that splits the header and never yields more cells than it; comma otherwise."""
-    for sep in DELIMITERS:
-        width = len(_fields(sample[0], sep))
-        if width > 1 and all(len(_fields(line, sep)) <= width for line in sample[1:]):
-            return sep
-    return ","
+    encoding: str
+    sep: str
+    header: list[str]
+    multi_line: bool
+
+
+def detect_layout(
+    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multi_line: bool = False
+) -> Layout:
+    """Encoding, delimiter and line breaks inside quotes, judged on the whole file by one scan of its lines.
+
+    The delimiter is the first that splits the header while no record has more
+    cells than the header; comma if none splits it.  If a cell in quotes is
+    open at the end of a line, records are counted instead of lines.  Records
+    with more cells than the header are an error, as reading would lose them.
+    """
+    lines = spark.read.text(path)
+    first = _first_line(lines)
+    tried = [sep] if sep else list(DELIMITERS)
+    width = {d: len(_fields(first.decode("latin-1").removeprefix("\u00ef\u00bb\u00bf"), d)) for d in tried}
+    value = F.col("value")
+    counts = list(_undecodable())
+    for i, d in enumerate(tried):
+        counts.append(F.count_if(_cells(value, d) > width[d]).alias(f"surplus{i}"))
+        counts.append(F.count_if(_without_quoted(value, d).rlike(f'(?<=^|{d})"')).alias(f"open{i}"))
+    row = lines.agg(*counts).first()
+    encoding = encoding or _encoding(row)
+    problem = None
+    for i, d in enumerate(tried):
+        if width[d] == 1 and not (sep or d == tried[0] and max(width.values()) == 1):
+            continue
+        header = _header(first, d, encoding)
+        broken = multi_line or row[f"open{i}"] > 0
+        surplus = _surplus_records(spark, path, d, encoding, len(header)) if broken else row[f"surplus{i}"]
+        if not surplus:
+            return Layout(encoding, d, header, broken)
+        problem = problem or f"{surplus} records have more than {len(header)} cells"
+    raise TableError(problem)
+
+
+def _surplus_records(spark: SparkSession, path: str, sep: str, encoding: str, width: int) -> int:
+    """Records, line breaks inside quotes included, with more cells than the header.
+
+    The reader is asked for one cell more and gives back the text of every
+    record with another number of cells; those are counted.
+    """
+    names = [f"c{i}" for i in range(width + 1)]
+    schema = ", ".join(f"{n} string" for n in [*names, RECORD])
+    records = _read(spark, path, schema, sep, encoding, True, columnNameOfCorruptRecord=RECORD)
+    # All columns are asked for, because the reader counts only the cells that are.
+    seen = records.select(F.struct(*names).alias("cells"), RECORD)
+    full = F.col(f"cells.c{width}").isNotNull()
+    many = F.coalesce(_cells(F.col(RECORD), sep) > width, F.lit(True))
+    return seen.where(full | many | F.col("cells").isNull()).count()
+
+
+def _read(spark: SparkSession, path: str, schema: str, sep: str, encoding: str, multi_line: bool, **options) -> DataFrame:
+    return spark.read.csv(
+        path, schema=schema, header=True, sep=sep, encoding=charset(encoding), quote='"', escape='"',
+        multiLine=multi_line, enforceSchema=True, **options,
+    )
 
 
 def raw_header(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> list[str]:
     """The header cells as they stand in the file; Spark would rename blank and repeated ones."""
-    lines = spark.read.text(path)
-    encoding = encoding or detect_encoding(lines)
-    sample = _sample(lines, encoding, SNIFF_LINES if sep is None else 1)
-    if not sample:
-        raise TableError("the file has no header")
-    return _fields(sample[0].lstrip("﻿"), sep or detect_delimiter(sample))
+    return detect_layout(spark, path, sep, encoding).header
 
 
 def check_header(header: Sequence[str]) -> None:
@@ -148,23 +223,16 @@ def read_csv(
     """Read CSV, finding encoding and delimiter unless they are given.
 
     Cells are read as text with the raw header as column names, missing texts
-    become null, and types are inferred from all rows.  ``multi_line`` allows
-    line breaks inside quotes but makes single files unsplittable.
+    become null, and types are inferred from all rows.  Line breaks inside
+    quotes are found (or announced by ``multi_line``); they make single files
+    unsplittable.  Records with fewer cells than the header end in nulls, those
+    with more are an error.
     """
-    lines = spark.read.text(path)
-    encoding = encoding or detect_encoding(lines)
-    sample = _sample(lines, encoding, SNIFF_LINES)
-    if not sample:
-        raise TableError("the file has no header")
-    sep = sep or detect_delimiter(sample)
-    header = _fields(sample[0].lstrip("﻿"), sep)
-    check_header(header)
-    schema = ", ".join(f"`{h.replace('`', '``')}` string" for h in header)
-    df = spark.read.csv(
-        path, schema=schema, header=True, sep=sep, encoding=charset(encoding), quote='"', escape='"', multiLine=multi_line,
-        enforceSchema=True,
-    )
-    if encoding == "cp1252":
+    layout = detect_layout(spark, path, sep, encoding, multi_line)
+    check_header(layout.header)
+    schema = ", ".join(f"`{h.replace('`', '``')}` string" for h in layout.header)
+    df = _read(spark, path, schema, layout.sep, layout.encoding, layout.multi_line)
+    if layout.encoding == "cp1252":
         df = df.select(*[_as_cp1252(ref(n)).alias(n) for n in df.columns])
     if infer:
         return infer_types(df)

@@ -1,8 +1,10 @@
 """Versions of a dataset as Parquet tables, with an append-only catalogue of them.
 
-Layout below ``root``: ``data/dataset_id=<id>/version_number=<n>`` holds the
-rows and ``catalogue/dataset_versions`` one row per version.  Nothing is
-updated in place; the current version is the one with the largest number.
+Layout below ``root``: ``data/dataset_id=<id>/<version id>`` holds the rows
+and ``catalogue/dataset_versions`` one row per version.  Nothing is updated in
+place and no folder is used twice; the current version is the one with the
+largest number.  Writers that took the same number at the same time get
+numbers in the order of their catalogue rows.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import TableError
@@ -44,28 +46,37 @@ def digest_sum(df: DataFrame) -> Column:
     return F.coalesce(F.sum(number).cast("string"), F.lit("0"))
 
 
+def schema_digest(df: DataFrame) -> Column:
+    """Digest of the column names and types in order."""
+    return F.md5(F.lit("|".join(f"{len(n)}:{n}:{t}" for n, t in df.dtypes)))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Content identity of a table, whatever the order of its rows.
+    """Identity of a table, whatever the order of its rows: their content, and the names and types of its columns.
 
     The row digests are added up, so the result needs one partial aggregation
     and no sort, and copies of a row count.
     """
-    return df.agg(F.count(F.lit(1)).alias("rows"), digest_sum(df).alias("digest_sum"))
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), digest_sum(df).alias("digest_sum"), schema_digest(df).alias("schema_digest")
+    )
 
 
-def _paths(root: str, dataset_id: str, number: int) -> tuple[str, str]:
-    root = root.rstrip("/")
-    return f"{root}/data/dataset_id={dataset_id}/version_number={number}", f"{root}/catalogue/dataset_versions"
+def _catalogue(root: str) -> str:
+    return f"{root.rstrip('/')}/catalogue/dataset_versions"
 
 
 def _records(spark: SparkSession, root: str) -> DataFrame:
-    """The catalogue as written; empty before the first version."""
+    """The catalogue, numbered per dataset from 1; empty before the first version."""
     try:
-        return spark.read.schema(VERSION_SCHEMA).parquet(_paths(root, "", 0)[1])
+        written = spark.read.schema(VERSION_SCHEMA).parquet(_catalogue(root))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], VERSION_SCHEMA)
+    # One row per version of a dataset.
+    order = Window.partitionBy("dataset_id").orderBy("version_number", "created_at", "version_id")
+    return written.withColumn("version_number", F.row_number().over(order))
 
 
 def read_catalogue(spark: SparkSession, root: str) -> DataFrame:
@@ -92,26 +103,27 @@ def write_version(df: DataFrame, root: str, dataset_id: str, status: str = "CLEA
         raise TableError(f"unknown status: {status}")
     spark = df.sparkSession
     number = (current_version(spark, root, dataset_id) or 0) + 1
-    path, catalogue = _paths(root, dataset_id, number)
-    df.write.mode("overwrite").parquet(path)
+    version_id = uuid.uuid4().hex
+    path = f"{root.rstrip('/')}/data/dataset_id={dataset_id}/{version_id}"
+    df.write.mode("errorifexists").parquet(path)
     stored = spark.read.parquet(path)
     totals = stored.agg(
-        F.count(F.lit(1)).alias("rows"), data_bytes(stored).alias("data_bytes"), digest_sum(stored).alias("digest_sum")
+        F.count(F.lit(1)).alias("rows"), data_bytes(stored).alias("data_bytes"), F.concat_ws("-", schema_digest(stored), digest_sum(stored)).alias("checksum"),
     )
     record = totals.select(
-        F.lit(uuid.uuid4().hex).alias("version_id"),
+        F.lit(version_id).alias("version_id"),
         F.lit(dataset_id).alias("dataset_id"),
         F.lit(number).alias("version_number"),
         F.lit(path).alias("storage_path"),
         F.col("data_bytes").alias("file_size"),
-        F.col("digest_sum").alias("checksum"),
+        "checksum",
         F.col("rows").alias("rows_count"),
         F.lit(len(df.columns)).cast("bigint").alias("columns_count"),
         F.lit(status).alias("status"),
         F.current_timestamp().alias("created_at"),
     )
-    record.write.mode("append").parquet(catalogue)
-    return number
+    record.write.mode("append").parquet(_catalogue(root))
+    return _records(spark, root).where(F.col("version_id") == version_id).first()["version_number"]
 
 
 def read_version(spark: SparkSession, root: str, dataset_id: str, n: int | None = None) -> DataFrame:
@@ -122,19 +134,20 @@ def read_version(spark: SparkSession, root: str, dataset_id: str, n: int | None
     number = current if n is None else n
     if not 1 <= number <= current:
         raise TableError(f"dataset {dataset_id} has no version {number}")
-    return spark.read.parquet(_paths(root, dataset_id, number)[0])
+    mine = (F.col("dataset_id") == dataset_id) & (F.col("version_number") == number)
+    return spark.read.parquet(_records(spark, root).where(mine).first()["storage_path"])
 
 
 def import_csv(
     spark: SparkSession, path: str, root: str, dataset_id: str, sep: str | None = None, encoding: str | None = None
 ) -> DataFrame:
-    """Read a CSV file once, check it, and store it as the dataset's next version.
+    """Read a CSV file, check it, and store it as the dataset's next version.
+
+    A file that fails a check leaves no version behind.
 
     Later work scans the stored columns; text is never parsed again.
     """
     df = delimited.read_csv(spark, path, sep, encoding)
-    number = write_version(df, root, dataset_id, "UPLOADED")
-    stored = spark.read.parquet(_paths(root, dataset_id, number)[0])
-    if stored.isEmpty():
+    if df.isEmpty():
         raise TableError("the table has no rows")
-    return stored
+    return read_version(spark, root, dataset_id, write_version(df, root, dataset_id, "UPLOADED"))

@@ -30,6 +30,41 @@ def test_csv(spark, tmp_path, name, data, header, want):
     assert rows(delimited.read_csv(spark, str(path))) == sorted(want, key=str)
 
 
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_text('id;note;n\n1;"two\nlines; one ""cell""";3\n2;5" pipe;4\n3;short\n')
+    got = rows(delimited.read_csv(spark, str(path)))
+    assert got == sorted([(1, 'two\nlines; one "cell"', 3), (2, '5" pipe', 4), (3, "short", None)], key=str)
+
+
+@pytest.mark.parametrize("surplus", ["1500,v,EXTRA", "1500,v,,EXTRA", '1500,"v\nw",,EXTRA', '1500,"v\nw",EXTRA'])
+def test_csv_surplus_cells_are_an_error(spark, tmp_path, surplus):
+    path = tmp_path / "surplus.csv"
+    path.write_text("id,v\n" + "\n".join(surplus if i == 1500 else f"{i},v{i}" for i in range(3000)) + "\n")
+    with pytest.raises(TableError, match="^1 records"):
+        versions.import_csv(spark, str(path), scratch_path(spark, "v"), "d")
+
+
+def test_csv_delimiter_is_judged_on_all_lines(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_text("a,b;c\n" + "x,y;1\n" * 1500 + "1,2,3;4\n")
+    assert delimited.read_csv(spark, str(path)).columns == ["a,b", "c"]
+
+
+def test_failed_import_leaves_no_version(spark, tmp_path):
+    path, root = tmp_path / "none.csv", scratch_path(spark, "v")
+    path.write_text("a,b\n")
+    with pytest.raises(TableError):
+        versions.import_csv(spark, str(path), root, "d")
+    assert versions.current_version(spark, root, "d") is None
+
+
+def test_fingerprint_knows_names_and_types(spark):
+    a = spark.createDataFrame([(1, "x")], "a int, b string")
+    b = spark.createDataFrame([("1", "x")], "zz string, yy string")
+    assert versions.fingerprint(a).first() != versions.fingerprint(b).first()
+
+
 @pytest.mark.parametrize("header", ["a,,c", "a, a,c", "a,Unnamed: 1,c", "  ,b,c"])
 def test_bad_headers(spark, tmp_path, header):
     path = tmp_path / "bad.csv"
