@@ -195,7 +195,7 @@ def train_champion(
             pred = model.transform(unseen)
             measures[name] = _measure(pred, problem, len(labels))
             if cv:
-                score = float(np.mean(cross_validate(train, roles, name, problem, 3, seed, key or df_key(roles), **settings)))
+                score = float(np.mean(cross_validate(train, roles, name, problem, 3, seed, key, **settings)))
             else:
                 score = measures[name]["f1" if problem == "classification" else "r2"]
             board.append({"algorithm": name, "score": score})

@@ -8,102 +8,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref, require_columns
-from ..session import materialize
+from ..operators.hash_order import key_hash, mark_first, with_copy_number
 
-# Top bits of the hash; a class is cut into this many buckets to find its limit.
-BUCKET_BITS = 16
-# Up to this many classes the table of limits is broadcast, beyond it is joined.
-BROADCAST_STRATA = 10_000
 
-
-def _hash(key: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[ref(c) for c in key])
-
-
-def _bucket(h: Column) -> Column:
-    """Top bits of the hash as an unsigned number."""
-    return F.shiftrightunsigned(h, 64 - BUCKET_BITS)
-
-
-def test_limits(df: DataFrame, test: float, seed: int, key: Sequence[str], stratum: Column) -> DataFrame:
-    """Per stratum the bucket and hash up to which its rows are test rows.
-
-    ``ceil(test * n)`` rows are shared out by largest remainder.  The limit is
-    found from bucket counts, and only the one bucket per stratum that holds it
-    is ordered, so even a stratum with a third of all rows is never sorted as a
-    whole.
-    """
-    hashed = df.select(stratum.alias("stratum"), _hash(key, seed).alias("h")).withColumn("bucket", _bucket(F.col("h")))
-    counts = hashed.groupBy("stratum", "bucket").count()
-    sizes = counts.groupBy("stratum").agg(F.sum("count").alias("n"))
+def _quotas(df: DataFrame, test: float, stratum: Column) -> DataFrame:
+    """``ceil(test * n)`` rows shared out to the strata by largest remainder."""
+    sizes = df.select(stratum.alias("q")).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).scalar()
     wanted = F.ceil(total * F.lit(test))
     share = F.col("n") * wanted / total
-    base = sizes.select("stratum", share.alias("share"), F.floor(share).alias("base"), wanted.alias("wanted"))
+    base = sizes.select("q", share.alias("share"), F.floor(share).alias("base"), wanted.alias("wanted"))
     left = F.col("wanted") - base.agg(F.sum("base")).scalar()
     # One row per stratum.
-    by_remainder = Window.partitionBy(F.lit(0)).orderBy((F.col("share") - F.col("base")).desc(), "stratum")
-    quota = base.select(
-        F.col("stratum").alias("q"), (F.col("base") + (F.row_number().over(by_remainder) <= left).cast("int")).alias("quota")
-    )
-    upward = Window.partitionBy("stratum").orderBy("bucket")
-    reached = (
-        counts.withColumn("upto", F.sum("count").over(upward))
-        .withColumn("before", F.col("upto") - F.col("count"))
-        .join(quota, F.col("stratum").eqNullSafe(F.col("q")))
-        .where((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("upto")))
-        .select("stratum", "bucket", (F.col("quota") - F.col("before")).alias("place"))
-    )
-    at_limit = hashed.join(
-        reached.withColumnRenamed("stratum", "s").withColumnRenamed("bucket", "b"),
-        F.col("stratum").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")),
-    )
-    order = Window.partitionBy("stratum", "bucket").orderBy("h")
-    return (
-        at_limit.withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") == F.col("place"))
-        .select(F.col("s").alias("limit_stratum"), F.col("b").alias("limit_bucket"), F.col("h").alias("limit_hash"))
-    )
+    by_remainder = Window.partitionBy(F.lit(0)).orderBy((F.col("share") - F.col("base")).desc(), "q")
+    return base.select("q", (F.col("base") + (F.row_number().over(by_remainder) <= left).cast("int")).alias("quota"))
 
 
 def mark_test(
-    df: DataFrame, test: float = 0.2, seed: int = 42, stratify: str | None = None, key: Sequence[str] | None = None
+    df: DataFrame, test: float = 0.2, seed: int = 42, stratify: str | None = None, key: Sequence[str] | None = None,
+    group_key: bool = False,
 ) -> DataFrame:
-    """Add ``is_test``; ``ceil(test * n)`` rows are true, in proportion per class.
+    """Add ``is_test``; exactly ``ceil(test * n)`` rows are true, in proportion per class.
 
-    ``key`` should identify a row.  Rows with equal keys stay together, so
-    copies never leak from training into test data.
+    Rows are chosen by the hash of ``key``, which should identify a row; rows
+    that share the key at the limit are told apart by all their columns.  With
+    ``group_key`` they stay together instead, and there may be more test rows.
     """
     key = list(key or df.columns)
     require_columns(df, key + ([stratify] if stratify else []))
-    h = _hash(key, seed)
-
-    def below(bucket: Column, limit: Column) -> Column:
-        return (_bucket(h) < bucket) | ((_bucket(h) == bucket) & (h <= limit))
-
-    if stratify is None:
-        row = test_limits(df, test, seed, key, F.lit(0)).first()
-        mark = F.lit(False) if row is None else below(F.lit(row["limit_bucket"]), F.lit(row["limit_hash"]))
-        return df.withColumn("is_test", mark)
-    limits = test_limits(df, test, seed, key, ref(stratify))
-    few = limits.take(BROADCAST_STRATA + 1)
-    if len(few) <= BROADCAST_STRATA:
-        limits = F.broadcast(df.sparkSession.createDataFrame(few, limits.schema))
-    else:
-        limits = materialize(limits, "limits")
-    joined = df.join(limits, ref(stratify).eqNullSafe(F.col("limit_stratum")), "left")
-    mark = F.coalesce(below(F.col("limit_bucket"), F.col("limit_hash")), F.lit(False))
-    return joined.select(*[ref(c) for c in df.columns], mark.alias("is_test"))
+    quota = _quotas(df, test, ref(stratify) if stratify else F.lit(0))
+    return mark_first(df, quota, "is_test", key, seed, ref(stratify) if stratify else None, group_key)
 
 
 def split(
-    df: DataFrame, test: float = 0.2, seed: int = 42, stratify: str | None = None, key: Sequence[str] | None = None
+    df: DataFrame, test: float = 0.2, seed: int = 42, stratify: str | None = None, key: Sequence[str] | None = None,
+    group_key: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Training and test rows."""
-    marked = mark_test(df, test, seed, stratify, key)
+    marked = mark_test(df, test, seed, stratify, key, group_key)
     return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
 
 
 def with_folds(df: DataFrame, folds: int = 3, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
-    """Add ``fold`` from the key hash; copies of a row share a fold."""
-    return df.withColumn("fold", F.pmod(_hash(list(key or df.columns), seed + 1), F.lit(folds)).cast("int"))
+    """Add ``fold``: from the hash of the key, or without a key such that equal rows go round the folds."""
+    if key:
+        return df.withColumn("fold", F.pmod(key_hash(list(key), seed + 1), F.lit(folds)).cast("int"))
+    fold = F.pmod(F.pmod(key_hash(df.columns, seed + 1), F.lit(folds)) + F.col("__copy"), F.lit(folds)).cast("int")
+    return with_copy_number(df, "__copy").select(*[ref(c) for c in df.columns], fold.alias("fold"))

@@ -20,6 +20,7 @@ from ..functions.columns import (
 )
 from ..functions.dates import iso_text, whole_days
 from .frequency import literal_rows, most_frequent, value_summary
+from .hash_order import mark_first
 from .profile import as_timestamp, date_columns, missing_by_column, table_profile, with_quality
 from .quantiles import quantiles
 
@@ -39,13 +40,13 @@ PAIRS_PER_SCAN = 100
 def sample_exact(df: DataFrame, n: int = SAMPLE_ROWS, key: Sequence[str] = (), seed: int = SAMPLE_SEED) -> DataFrame:
     """A repeatable sample of exactly ``n`` rows, or all rows if there are fewer.
 
-    Rows are taken in the order of a hash of their key.  Every task keeps its
-    own ``n`` smallest, so no full sort takes place.
+    Rows are taken in the order of a hash of their key, up to a limit that
+    bucket counts give; rows beyond it never leave their task.
     """
     names = list(key or df.columns)
     require_columns(df, names)
-    place = F.xxhash64(F.lit(seed), *[ref(c) for c in names])
-    return df.orderBy(place, *[ref(c) for c in names]).limit(n)
+    quota = df.agg(F.lit(0).alias("q"), F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
+    return mark_first(df, quota, "__sampled", names, seed).where("__sampled").drop("__sampled")
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -55,9 +56,9 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def classify_columns(df: DataFrame, sample: int = 10) -> DataFrame:
+def classify_columns(df: DataFrame) -> DataFrame:
     """numeric / datetime / categorical per column; booleans are categorical."""
-    dates = set(date_columns(df, sample))
+    dates = set(date_columns(df))
     rows = []
     for i, f in enumerate(df.schema.fields):
         kind = "numeric" if is_numeric(f.dataType) else "datetime" if f.name in dates else "categorical"
@@ -65,9 +66,9 @@ def classify_columns(df: DataFrame, sample: int = 10) -> DataFrame:
     return literal_rows(df.sparkSession, rows, "position int, column string, kind string")
 
 
-def categorical_columns(df: DataFrame, sample: int = 10) -> list[str]:
+def categorical_columns(df: DataFrame) -> list[str]:
     open_ = [f.name for f in df.schema.fields if not is_numeric(f.dataType) and not is_datetime(f.dataType)]
-    dates = set(date_columns(df, sample, open_))
+    dates = set(date_columns(df, open_))
     return [c for c in open_ if c not in dates]
 
 

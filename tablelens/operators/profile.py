@@ -32,6 +32,8 @@ CATEGORY_SHARE = 0.05
 
 # Rows in which sample values are looked for first.
 OPENING_ROWS = 1000
+# Text columns that one scan judges as dates.
+DATE_BATCH = 50
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -102,27 +104,22 @@ def unique_by_column(df: DataFrame, exact: bool = True, columns: Sequence[str] |
     return per_column(df, columns, lambda c: {"unique_count": F.approx_count_distinct(value_of(df, c))})
 
 
-def date_columns(df: DataFrame, sample: int = 10, candidates: Sequence[str] | None = None) -> list[str]:
-    """Date columns, and text columns whose first non-missing values all parse.
+def date_columns(df: DataFrame, candidates: Sequence[str] | None = None) -> list[str]:
+    """Date columns, and text columns with values of which all parse.
 
-    ``take`` stops at the first partitions that yield the values, so no column
-    is scanned; at most ``sample`` cells per text column reach the driver.
+    One scan judges all cells; only two numbers per text column reach the driver.
     """
     names = list(candidates if candidates is not None else df.columns)
     found = [n for n in names if is_datetime(df.schema[n].dataType)]
     texts = [n for n in names if is_text(df.schema[n].dataType)]
-    cells = []
-    first = df.select(*[ref(n) for n in texts]).take(sample) if texts else []
-    for i, n in enumerate(texts):
-        head = [r[i] for r in first if r[i] is not None]
-        if len(head) < len(first):
-            head = [r[0] for r in df.where(ref(n).isNotNull()).select(ref(n)).take(sample)]
-        cells += [{"column": n, "value": v} for v in head]
-    if cells:
-        parsed = literal_rows(df.sparkSession, cells, "column string, value string").groupBy("column").agg(
-            F.bool_and(parse_date(F.col("value")).isNotNull()).alias("all_dates")
-        )
-        found += [r["column"] for r in parsed.where("all_dates").collect()]
+    for start in range(0, len(texts), DATE_BATCH):
+        batch = texts[start : start + DATE_BATCH]
+        counts = []
+        for i, n in enumerate(batch):
+            counts.append(F.count(ref(n)).alias(f"n{i}"))
+            counts.append(F.count_if(ref(n).isNotNull() & parse_date(ref(n)).isNull()).alias(f"bad{i}"))
+        row = df.agg(*counts).first()
+        found += [n for i, n in enumerate(batch) if row[f"n{i}"] and not row[f"bad{i}"]]
     return [n for n in names if n in found]
 
 
@@ -144,9 +141,9 @@ def _category_or_text(unique: Column, rows: Column) -> Column:
     return F.when(few, "categorical").otherwise("text")
 
 
-def semantic_types(df: DataFrame, sample: int = 10) -> DataFrame:
+def semantic_types(df: DataFrame) -> DataFrame:
     """boolean / numeric / datetime / categorical / text per column."""
-    fixed = _fixed_types(df, date_columns(df, sample))
+    fixed = _fixed_types(df, date_columns(df))
     schema = "position int, column string, dtype string"
     known = [{"position": df.columns.index(n), "column": n, "dtype": t} for n, t in fixed.items()]
     out = literal_rows(df.sparkSession, known, schema)
@@ -177,15 +174,20 @@ def sample_values(
 ) -> DataFrame:
     """The first ``n`` distinct non-missing values per column in row order, as text.
 
-    Columns that show ``n`` values within the first rows are done with those.
-    Only the others, with few distinct or many missing values, are grouped over
-    the whole table, where their few values collapse before the shuffle.
+    Values of rows with equal keys come in their own order, as do all values
+    without ``order_by``.  Columns that show ``n`` values within the first rows,
+    taken up to the end of the last key, are done with those.  Only the others,
+    with few distinct or many missing values, are grouped over the whole table,
+    where their few values collapse before the shuffle.
     """
     require_columns(df, order_by)
     columns = list(columns or df.columns)
     needed = df.select(*dict.fromkeys([*order_by, *columns]))
-    opening = needed.orderBy(*[ref(c) for c in order_by]) if order_by else needed
-    opening = opening.limit(OPENING_ROWS)
+    if not order_by:
+        return _first_values(needed, n, order_by, columns)
+    keys = [ref(c) for c in order_by]
+    last = needed.select(*keys).orderBy(*keys).limit(OPENING_ROWS).agg(F.max(F.struct(*keys)))
+    opening = needed.where(F.struct(*keys) <= last.scalar())
     row = opening.agg(*[F.count_distinct(value_of(needed, c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     early = [c for c, found in zip(columns, row) if found >= n]
     late = [c for c in columns if c not in early]

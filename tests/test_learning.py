@@ -53,9 +53,35 @@ def test_split_is_exact_repeatable_and_complete(points, stratify):
         assert all(abs(got[s] - 0.2 * n[s]) < 1 for s in n)
 
 
+@pytest.mark.parametrize("stratify", [None, "side"])
+@pytest.mark.parametrize("key", [None, ["k"], ["side"]])
+def test_split_is_exact_with_copies(spark, stratify, key):
+    data = [(0, "a", None)] * 100 + [(i % 7, "ab"[i % 2], 1.5) for i in range(201)]
+    df = spark.createDataFrame(data, "k int, side string, x double")
+    marked = split.mark_test(df, 0.2, 42, stratify, key)
+    assert sorted(map(str, (tuple(r)[:3] for r in marked.collect()))) == sorted(map(str, data))
+    train, test = split.split(df, 0.2, 42, stratify, key)
+    assert (train.count(), test.count()) == (301 - 61, 61)
+
+
+def test_equal_rows_are_split_and_folded(spark):
+    df = spark.createDataFrame([(1,)] * 250, "k int")
+    train, test = split.split(df)
+    assert (train.count(), test.count()) == (200, 50)
+    sizes = [r["count"] for r in split.with_folds(df, 3).groupBy("fold").count().collect()]
+    assert sorted(sizes) == [83, 83, 84]
+    assert split.mark_test(df.limit(0)).count() == 0
+
+
+def test_search_on_few_distinct_rows(spark):
+    df = spark.createDataFrame([(float(i % 2), "yes" if i % 2 else "no") for i in range(400)], "size double, answer string")
+    champion = search.train_champion(df, "answer", trees=2, rounds=2)
+    assert (champion.training_rows, champion.testing_rows, champion.score) == (320, 80, 1.0)
+
+
 def test_copies_stay_together(spark):
     df = spark.createDataFrame([(i % 10,) for i in range(300)], "k int")
-    train, test = split.split(df, 0.2, 1, None, ["k"])
+    train, test = split.split(df, 0.2, 1, None, ["k"], group_key=True)
     assert not {r[0] for r in train.collect()} & {r[0] for r in test.collect()}
 
 

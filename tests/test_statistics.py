@@ -82,6 +82,22 @@ def test_text_dates_need_all_sampled_values(spark):
     assert kinds == {"a": "datetime", "b": "categorical", "c": "categorical", "flag": "categorical"}
 
 
+def test_dates_are_judged_on_all_rows(spark):
+    texts = [f"2024-01-{1 + i % 28:02d}" for i in range(999)]
+    df = spark.createDataFrame([(t, t, t) for t in texts] + [("n/k", texts[0], None)], "late string, good string, gap string")
+    assert profile.date_columns(df.coalesce(1)) == ["good", "gap"]
+
+
+def test_sample_values_with_equal_keys(spark):
+    df = spark.createDataFrame([(1, f"v{i:05d}") for i in range(5000, 0, -1)] + [(0, "w")], "k int, v string")
+    got = [r["value"] for r in profile.sample_values(df, 5, ["k"], ["v"]).orderBy("rank").collect()]
+    assert got == ["w", "v00001", "v00002", "v00003", "v00004"]
+
+
+def test_sample_of_equal_rows(spark):
+    assert explore.sample_exact(spark.range(0, 300000, 1, 4).selectExpr("1 AS a"), 250001).count() == 250001
+
+
 def test_sample_is_exact_and_repeatable(spark):
     df = spark.range(1000)
     first = {r[0] for r in explore.sample_exact(df, 100, ["id"]).collect()}
