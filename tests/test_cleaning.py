@@ -8,44 +8,47 @@ from tablelens.operators import cleaning as op
 from tablelens.plans import cleaning_run as run
 
 
-def rows(df, order="id"):
-    return [tuple(r) for r in df.orderBy(order).collect()]
+def rows(df, order=None):
+    return [tuple(r) for r in df.orderBy(order or df.columns[0]).collect()]
 
 
-def test_golden_dirty_table(dirty5):
+def test_sequence_by_hand(harvest):
+    # Quartiles 45 and 49, so yields outside 39 to 55 are outliers; the median of the five that stay is 46.
     steps = [
-        {"type": "clean_text", "column": "name", "strategy": "trim"},
-        {"type": "remove_outliers", "column": "score", "strategy": "iqr"},
+        {"type": "clean_text", "column": "crop", "strategy": "trim"},
+        {"type": "remove_outliers", "column": "kilos", "strategy": "iqr"},
         {"type": "drop_duplicates"},
-        {"type": "fill_missing", "column": "score", "strategy": "median"},
+        {"type": "fill_missing", "column": "kilos", "strategy": "median"},
     ]
-    cleaned, summary = run.clean(dirty5, steps)
-    assert rows(cleaned) == [(1, "Alice", 95.0), (2, "Bob", 93.5), (3, "Charlie", 92.0)]
-    assert [r["affected"] for r in summary.orderBy("step").collect()] == [1, 1, 1, 1]
+    cleaned, summary = run.clean(harvest, steps)
+    assert rows(cleaned) == [
+        (10, "rye", 40.0), (11, "oat", 44.0), (12, "oat", 46.0), (13, "rye", 46.0), (14, "barley", 50.0), (16, "wheat", 48.0),
+    ]
+    assert [r["affected"] for r in summary.orderBy("step").collect()] == [2, 1, 1, 1]
     rolled = run.job_rollup(summary).first().asDict()
     assert rolled == {"rows_removed": 2, "duplicates_removed": 1, "missing_handled": 1, "outliers_handled": 1}
 
 
-def test_golden_null_in_duplicate(spark):
-    df = spark.createDataFrame([(1, "Alice", 95), (2, "Bob", None), (2, "Bob", None), (3, "Charlie", 91)], "id int, name string, score int")
-    cleaned, summary = run.clean(df, [{"type": "drop_duplicates"}, {"type": "fill_missing", "column": "score", "strategy": "mean"}])
-    assert rows(cleaned) == [(1, "Alice", 95.0), (2, "Bob", 93.0), (3, "Charlie", 91.0)]
+def test_null_in_duplicate(spark):
+    df = spark.createDataFrame([("elm", None), ("ash", 6), ("elm", None), ("oak", 10), ("fir", 20)], "tree string, age int")
+    cleaned, summary = run.clean(df, [{"type": "drop_duplicates"}, {"type": "fill_missing", "column": "age", "strategy": "mean"}])
+    assert rows(cleaned) == [("ash", 6.0), ("elm", 12.0), ("fir", 20.0), ("oak", 10.0)]
     assert [r["affected"] for r in summary.orderBy("step").collect()] == [1, 1]
 
 
-def test_preview_writes_nothing_and_warns(dirty5):
-    df = dirty5.withColumn("none", F.lit(None).cast("string"))
-    out = run.preview(df, [{"type": "drop_duplicates"}], order_by=["id"])
+def test_preview_writes_nothing_and_warns(harvest):
+    df = harvest.withColumn("none", F.lit(None).cast("string"))
+    out = run.preview(df, [{"type": "drop_duplicates"}], order_by=["plot"])
     stages = {r["stage"]: r for r in out["stages"].collect()}
-    assert (stages["before"]["rows"], stages["after"]["rows"]) == (5, 4)
+    assert (stages["before"]["rows"], stages["after"]["rows"]) == (8, 7)
     assert (stages["before"]["duplicate_rows"], stages["after"]["duplicate_rows"]) == (1, 0)
     assert [r["column"] for r in out["warnings"].collect()] == ["none"]
-    assert out["original_sample"].count() == 5 and out["cleaned_sample"].count() == 4
+    assert out["original_sample"].count() == 8 and out["cleaned_sample"].count() == 7
 
 
-def test_cleaning_twice_changes_nothing(dirty5):
-    steps = [{"type": "drop_duplicates"}, {"type": "clean_text", "column": "name", "strategy": "trim"}]
-    once, _ = run.clean(dirty5, steps)
+def test_cleaning_twice_changes_nothing(harvest):
+    steps = [{"type": "drop_duplicates"}, {"type": "clean_text", "column": "crop", "strategy": "trim"}]
+    once, _ = run.clean(harvest, steps)
     twice, summary = run.clean(once, steps)
     assert rows(once) == rows(twice)
     assert {r["affected"] for r in summary.collect()} == {0}
@@ -96,24 +99,24 @@ def test_zscore_leaves_a_constant_column_and_nulls(spark):
     assert op.remove_outliers(df.limit(0), "x", "iqr").count() == 0
 
 
-def test_validation_follows_the_schema(dirty5):
+def test_validation_follows_the_schema(harvest):
     ok = run.validate(
-        dirty5.schema,
-        [{"type": "cast_type", "column": "name", "target_type": "numeric"}, {"type": "fill_missing", "column": "name", "strategy": "mean"}],
+        harvest.schema,
+        [{"type": "cast_type", "column": "crop", "target_type": "numeric"}, {"type": "fill_missing", "column": "crop", "strategy": "mean"}],
     )
     assert ok == [None, None]
     bad = [
-        {"type": "fill_missing", "column": "score", "strategy": "average"},
-        {"type": "fill_missing", "column": "score", "strategy": "ffill"},
-        {"type": "clean_text", "column": "score", "strategy": "trim"},
-        {"type": "remove_outliers", "column": "name", "strategy": "iqr"},
+        {"type": "fill_missing", "column": "kilos", "strategy": "average"},
+        {"type": "fill_missing", "column": "kilos", "strategy": "ffill"},
+        {"type": "clean_text", "column": "kilos", "strategy": "trim"},
+        {"type": "remove_outliers", "column": "crop", "strategy": "iqr"},
         {"type": "cast_type", "column": "gone", "target_type": "string"},
         {"type": "shuffle_rows"},
     ]
-    assert all(run.validate(dirty5.schema, bad))
+    assert all(run.validate(harvest.schema, bad))
     for step in bad:
         with pytest.raises(TableError):
-            run.clean(dirty5, [step])
+            run.clean(harvest, [step])
 
 
 def test_boolean_is_not_numeric(spark):

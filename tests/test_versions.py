@@ -80,23 +80,23 @@ def test_header_without_rows(spark, tmp_path):
         delimited.validate_headers(delimited.read_csv(spark, str(path)), ["a", "b"])
 
 
-def test_versions_and_fingerprint(spark, basic4):
+def test_versions_and_fingerprint(spark, shelves):
     root = scratch_path(spark, "v")
     with pytest.raises(TableError):
         versions.read_version(spark, root, "d")
-    assert versions.write_version(basic4, root, "d", "UPLOADED") == 1
-    assert versions.write_version(basic4.where("id > 1"), root, "d") == 2
-    assert versions.write_version(basic4, root, "other") == 1
-    assert versions.read_version(spark, root, "d").count() == 3
-    assert versions.read_version(spark, root, "d", 1).count() == 4
+    assert versions.write_version(shelves, root, "d", "UPLOADED") == 1
+    assert versions.write_version(shelves.where("shelf > 1"), root, "d") == 2
+    assert versions.write_version(shelves, root, "other") == 1
+    assert versions.read_version(spark, root, "d").count() == 4
+    assert versions.read_version(spark, root, "d", 1).count() == 5
     with pytest.raises(TableError):
         versions.read_version(spark, root, "d", 3)
     current = versions.read_catalogue(spark, root).where("is_current")
-    assert {(r["dataset_id"], r["version_number"], r["rows_count"]) for r in current.collect()} == {("d", 2, 3), ("other", 1, 4)}
+    assert {(r["dataset_id"], r["version_number"], r["rows_count"]) for r in current.collect()} == {("d", 2, 4), ("other", 1, 5)}
 
-    same = versions.fingerprint(basic4.orderBy(F.desc("id")).repartition(3)).first()
-    assert same == versions.fingerprint(basic4).first()
-    assert versions.fingerprint(basic4.withColumn("age", F.col("age") + 1)).first() != same
+    same = versions.fingerprint(shelves.orderBy(F.desc("shelf")).repartition(3)).first()
+    assert same == versions.fingerprint(shelves).first()
+    assert versions.fingerprint(shelves.withColumn("height", F.col("height") + 1)).first() != same
 
 
 def test_fingerprint_sees_cell_borders(spark):
@@ -105,9 +105,9 @@ def test_fingerprint_sees_cell_borders(spark):
     assert versions.fingerprint(a).first() != versions.fingerprint(b).first()
 
 
-def test_diff_of_equal_versions_is_zero(basic4):
-    assert tuple(diff.row_changes(basic4, basic4).first()) == (0, 0, 0)
-    m = diff.diff_metrics(basic4, basic4).first()
+def test_diff_of_equal_versions_is_zero(shelves):
+    assert tuple(diff.row_changes(shelves, shelves).first()) == (0, 0, 0)
+    m = diff.diff_metrics(shelves, shelves).first()
     assert all(m[f"{n}_difference"] == 0 for n in ("rows", "columns", "missing", "duplicates", "quality"))
 
 
@@ -120,14 +120,14 @@ def test_diff_nulls_and_numbers(spark):
     assert tuple(diff.row_changes(v1, v2).first()) == (1, 1, 0)
 
 
-def test_diff_is_symmetric_and_handles_other_widths(spark, basic4):
-    other = basic4.withColumn("score", F.col("score") + F.when(F.col("id") == 2, 1).otherwise(0))
-    assert rows(diff.rows_added(basic4, other)) == rows(diff.rows_removed(other, basic4))
-    narrow = basic4.select("id", "name")
-    assert tuple(diff.row_changes(basic4, narrow).first())[:2] == (4, 4)
-    assert diff.rows_added(basic4, narrow).count() == 4
-    text = basic4.withColumn("id", F.col("id").cast("string"))
-    assert diff.rows_added(basic4, text).count() == 4
+def test_diff_is_symmetric_and_handles_other_widths(spark, shelves):
+    other = shelves.withColumn("books", F.col("books") + F.when(F.col("shelf") == 2, 1).otherwise(0))
+    assert rows(diff.rows_added(shelves, other)) == rows(diff.rows_removed(other, shelves))
+    narrow = shelves.select("shelf", "subject")
+    assert tuple(diff.row_changes(shelves, narrow).first())[:2] == (5, 5)
+    assert diff.rows_added(shelves, narrow).count() == 5
+    text = shelves.withColumn("shelf", F.col("shelf").cast("string"))
+    assert diff.rows_added(shelves, text).count() == 5
 
 
 def test_long_texts_compare_whole(spark):
