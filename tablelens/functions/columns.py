@@ -76,9 +76,6 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_text(f.dataType)]
 
 
-def fields_of(row: Column, names: Sequence[str]) -> list[Column]:
-    return [row[n].alias(n) for n in names]
-
 
 def per_column(
     df: DataFrame,

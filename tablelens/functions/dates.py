@@ -34,14 +34,3 @@ def iso_text(c: Column) -> Column:
     whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     exact = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return F.when(F.unix_micros(c) % 1_000_000 == 0, whole).otherwise(exact)
-
-
-def date_parts(c: Column) -> dict[str, Column]:
-    """Calendar features of a timestamp; Monday is day 0."""
-    day = F.weekday(c)
-    return {
-        "year": F.year(c),
-        "month": F.month(c),
-        "day_of_week": day,
-        "is_weekend": (day >= 5).cast("int"),
-    }

@@ -38,7 +38,8 @@ TOP_FEATURES = 20
 
 
 def candidate(
-    name: str, problem: str, seed: int = 42, classes: int = 2, rows: int = 1, trees: int = TREES, rounds: int = ROUNDS
+    name: str, problem: str, seed: int = 42, classes: int = 2, rows: int = 1, trees: int = TREES, rounds: int = ROUNDS,
+    depth: int = FOREST_DEPTH,
 ):
     """An unfitted estimator of one candidate."""
     if name not in CANDIDATES[problem]:
@@ -46,7 +47,7 @@ def candidate(
     cols = {"featuresCol": "features", "labelCol": "label"}
     if name == "random_forest":
         forest = RandomForestClassifier if problem == "classification" else RandomForestRegressor
-        return forest(numTrees=trees, maxDepth=FOREST_DEPTH, seed=seed, **cols)
+        return forest(numTrees=trees, maxDepth=depth, seed=seed, **cols)
     if name == "gradient_boosting":
         settings = {"maxIter": rounds, "maxDepth": BOOST_DEPTH, "stepSize": STEP, "seed": seed}
         if problem == "regression":
@@ -161,6 +162,7 @@ def train_champion(
     key: Sequence[str] | None = None,
     trees: int = TREES,
     rounds: int = ROUNDS,
+    depth: int = FOREST_DEPTH,
 ) -> Champion:
     """Fit every candidate on 80 % of the rows, keep the best on the rest, refit it on all.
 
@@ -186,7 +188,7 @@ def train_champion(
     train, test = train.persist(), test.persist()
     try:
         n_train, n_test = train.count(), test.count()
-        settings = {"classes": max(len(labels), 2), "rows": n_train, "trees": trees, "rounds": rounds}
+        settings = {"classes": max(len(labels), 2), "rows": n_train, "trees": trees, "rounds": rounds, "depth": depth}
         preparation = prepare.fit_preparation(train, roles)
         seen, unseen = preparation.transform(train).persist(), preparation.transform(test).persist()
         board, best, measures = [], None, {}

@@ -98,10 +98,6 @@ def row_changes(v1: DataFrame, v2: DataFrame, null_as_empty: bool = False) -> Da
     return m.select("added_rows", "removed_rows", F.greatest(F.lit(0), drift).cast("bigint").alias("changed_rows"))
 
 
-def rows_changed(v1: DataFrame, v2: DataFrame, null_as_empty: bool = False) -> DataFrame:
-    """``changed_rows`` alone."""
-    return row_changes(v1, v2, null_as_empty).select("changed_rows")
-
 
 def diff_metrics(v1: DataFrame, v2: DataFrame) -> DataFrame:
     """Rows, columns, missing cells, duplicates and quality of both versions, and the differences."""

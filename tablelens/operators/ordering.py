@@ -128,8 +128,3 @@ def fill_along(
         *[F.col("__fill").alias(c) if c == column else ref(c) for c in df.columns]
     )
     return df.where(~is_missing(df, column)).unionByName(filled)
-
-
-def nearest_fill_count(before: DataFrame, column: str) -> Column:
-    """Cells a fill looks at: the missing ones."""
-    return F.count_if(is_missing(before, column))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as op
-from ..operators.diff import row_presence  # noqa: F401
 from ..plans import cleaning_run as run
 from ..operators.frequency import literal_rows
 from .registry import query
