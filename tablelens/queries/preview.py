@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import preview as op
+from ..session import materialize
 from .registry import query
 from .tables import GAP_ORDERS, gap_orders, read
 
@@ -23,16 +25,19 @@ def prev_filter_any(spark, sf_dir):
 @query(
     "prev_sort",
     f"""WITH {GAP_ORDERS}
-SELECT row_number() OVER (ORDER BY priority DESC NULLS LAST, o_orderkey)::BIGINT AS place, o_orderkey, priority FROM gap_orders QUALIFY place <= 1000""",
+SELECT row_number() OVER (ORDER BY priority DESC NULLS LAST, o_orderkey)::BIGINT AS place, o_orderkey, priority FROM gap_orders""",
 )
 def prev_sort(spark, sf_dir):
-    """The first 1,000 places of a descending sort (a top-k report)."""
+    """Every row with its place in a descending sort of the whole table."""
     df = gap_orders(spark, sf_dir).select("o_orderkey", "priority")
-    first = op.sort_by(df, "priority:desc", ["o_orderkey"]).limit(1000)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy(*op.sort_order(df, "priority:desc", ["o_orderkey"]))
-    return first.select(F.row_number().over(w).cast("bigint").alias("place"), "o_orderkey", "priority")
+    # Ids count up within each range of the sort; rows of the earlier ranges are added to them.
+    ranges = materialize(
+        op.sort_by(df, "priority:desc", ["o_orderkey"]).withColumn("id", F.monotonically_increasing_id()), "sorted"
+    ).withColumn("range", F.shiftright("id", 33))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("range")
+    offsets = ranges.groupBy("range").count().select("range", (F.sum("count").over(earlier) - F.col("count")).alias("offset"))
+    place = F.col("offset") + F.col("id") % (1 << 33) + 1
+    return ranges.join(F.broadcast(offsets), "range").select(place.alias("place"), "o_orderkey", "priority")
 
 
 @query(
