@@ -1,6 +1,7 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt into shards by a hash of their id.  A shard's tree splits
+Equal rows (id and vector) are one with a count.  These are dealt into shards
+by a hash of both, so neither copies nor an id of many vectors fill a shard.  A shard's tree splits
 its vectors between two far ones until a leaf holds at most ``leaf``; a node
 knows the centre c and radius r of its ball, and no vector in it has a larger
 inner product with q than  q.c + |q| r.  A block of queries goes down the
@@ -18,8 +19,8 @@ a bounded size, however long the table is.
 Components become floor(256 x) in double precision.  Vectors that are null,
 or hold null or non-finite components, take no part, nor do rows without id.
 Only vectors of equal length are compared.  Ties go to the smaller id.  Rows
-that repeat an id are the same vector's rows: they are no candidates for each
-other, and a repeated query row gives one result.
+of one id are no candidates for each other.  Copies count as rows, as in SQL: a
+candidate takes a rank for each pair of a row of the query id and a row of it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 import math
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -53,8 +54,8 @@ class BallTree:
     """Nodes in order of creation; the vectors of a node are consecutive."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.order = np.argsort(ids, kind="stable")  # where the vectors were before
+        self.ids, self.vectors = ids[self.order], vectors[self.order]
         self.begin, self.end, self.left = [], [], []
         self.centre, self.radius = [], []
         self._grow(0, len(ids), leaf)
@@ -71,7 +72,7 @@ class BallTree:
             b = part[np.argmax(((part - a) ** 2).sum(axis=1))]
             side = part @ (b - a)
             cut = np.argsort(side, kind="stable")
-            self.vectors[lo:hi], self.ids[lo:hi] = part[cut], self.ids[lo:hi][cut]
+            self.vectors[lo:hi], self.ids[lo:hi], self.order[lo:hi] = part[cut], self.ids[lo:hi][cut], self.order[lo:hi][cut]
             middle = lo + (hi - lo) // 2
             self.left[node] = self._node(lo, middle)
             self._node(middle, hi)
@@ -89,8 +90,13 @@ class BallTree:
 
     def search(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Per query the k best scores (-inf where there are fewer or all others are below ``floor``) and their ids."""
+        score, best, _ = self.search_places(ids, queries, floor, k)
+        return score, best
+
+    def search_places(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``search``, and the places of the vectors as they were given."""
         n = len(ids)
-        score, best = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        score, best, where = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max), np.zeros((n, k), np.int64)
         norm = np.sqrt((queries**2).sum(axis=1))
         centre, radius = np.array(self.centre), np.array(self.radius)
 
@@ -117,7 +123,9 @@ class BallTree:
             order = np.lexsort((names, -both), axis=1)[:, :k]
             score[which] = np.take_along_axis(both, order, axis=1)
             best[which] = np.take_along_axis(names, order, axis=1)
-        return score, best
+            places = np.concatenate([where[which], np.broadcast_to(self.order[lo:hi], here.shape)], axis=1)
+            where[which] = np.take_along_axis(places, order, axis=1)
+        return score, best, where
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,22 +141,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64, copy=True)
 
 
-_FOUND = "query long, vec_id long, score double"
+_FOUND = "query long, vec_id long, score double, n long"
 
 
 def _searched(queries: DataFrame, shards: DataFrame, k: int, leaf: int) -> DataFrame:
     """Best k per query and shard; both sides carry ``place``, what meets in it is one block and one shard."""
 
     def run(q: pa.Table, s: pa.Table) -> pa.Table:
-        names = ["query", "vec_id", "score"]
+        names = ["query", "vec_id", "score", "n"]
         if not len(q) or not len(s):
-            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], names)
         tree = BallTree(s["id"].to_numpy(), _matrix(s["v"]), leaf)
         ids = q["query"].to_numpy()
-        score, best = tree.search(ids, _matrix(q["q"]), q["floor"].to_numpy(), k)
+        score, best, where = tree.search_places(q["query_id"].to_numpy(), _matrix(q["q"]), q["floor"].to_numpy(), k)
         found = np.isfinite(score)
         return pa.Table.from_arrays(
-            [pa.array(np.repeat(ids, k).reshape(-1, k)[found]), pa.array(best[found]), pa.array(score[found])], names
+            [pa.array(np.repeat(ids, k).reshape(-1, k)[found]), pa.array(best[found]), pa.array(score[found]), pa.array(s["n"].to_numpy()[where[found]])], names
         )
 
     return queries.groupBy("place").cogroup(shards.groupBy("place")).applyInArrow(run, _FOUND)
@@ -159,7 +167,8 @@ def top_k(
     shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF, scale: int = SCALE,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest scores among all rows but its own."""
-    rows = materialize(scaled(vectors, id_col, vector_col, scale), "vectors")
+    one = scaled(vectors, id_col, vector_col, scale).groupBy("id", "v", "dim").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(one.withColumn("number", F.monotonically_increasing_id()), "vectors")
     sizes = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()}
     out = None
     for dim, (n, n_queries) in sorted(sizes.items()):  # one entry per vector length
@@ -167,30 +176,37 @@ def top_k(
             continue
         shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(n_queries / block))
         part = rows.where(F.col("dim") == dim).withColumns({
-            "shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"),
-            "block": F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks)).cast("int"),
+            "shard": F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"),
+            "block": F.pmod(F.xxhash64(F.lit(3), "id", "v"), F.lit(blocks)).cast("int"),
         })
-        queries = part.where(is_query).dropDuplicates(["id"])
+        queries = part.where(is_query)
         place = lambda s, b: F.concat_ws("-", s, b)
-        copies = part.withColumn("place", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: place(F.col("shard"), b)))).select("place", "id", "v")
+        copies = part.withColumn("place", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: place(F.col("shard"), b)))).select("place", "id", "v", "n")
         home = F.pmod(F.col("block"), F.lit(shards))
-        first = queries.select(place(home, F.col("block")).alias("place"), F.col("id").alias("query"), F.col("v").alias("q"), F.lit(-math.inf).alias("floor"))
+        first = queries.select(place(home, F.col("block")).alias("place"), F.col("number").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q"), F.lit(-math.inf).alias("floor"))
         tried = materialize(_searched(first, copies.join(first.select("place").distinct(), "place", "left_semi"), k, leaf), "first-shard")
         floors = tried.groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
         rest = (
-            queries.join(floors.withColumnRenamed("query", "asked"), F.col("id") == F.col("asked"), "left")
+            queries.join(floors.withColumnRenamed("query", "asked"), F.col("number") == F.col("asked"), "left")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
             .where(F.col("other") != home)
-            .select(place(F.col("other"), F.col("block")).alias("place"), F.col("id").alias("query"), F.col("v").alias("q"), F.coalesce("least", F.lit(-math.inf)).alias("floor"))
+            .select(place(F.col("other"), F.col("block")).alias("place"), F.col("number").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q"), F.coalesce("least", F.lit(-math.inf)).alias("floor"))
         )
         found = tried.union(_searched(rest, copies, k, leaf)) if shards > 1 else tried
         out = found if out is None else out.union(found)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], _FOUND)
-    best = out.groupBy("query").agg(
-        F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).cast("long").alias("below"), "vec_id"))), 1, k).alias("best")
+    asked = rows.where(is_query).select(F.col("number").alias("query"), F.col("id").alias("query_id"), F.col("n").alias("copies"))
+    first = Window.partitionBy("query_id").orderBy("below", "vec_id")
+    kept = (
+        out.join(asked, "query")
+        .select("query_id", (-F.col("score")).cast("long").alias("below"), "vec_id", F.least(F.col("n") * F.col("copies"), F.lit(k)).cast("int").alias("n"))
+        .withColumn("at", F.row_number().over(first))
+        .where(F.col("at") <= k)
     )
-    return best.select(F.col("query").alias("query_id"), F.posexplode("best").alias("at", "found")).select(
+    best = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("below", "vec_id", "n"))).alias("found"))
+    best = best.select("query_id", F.slice(F.flatten(F.transform("found", lambda f: F.array_repeat(f, f["n"]))), 1, k).alias("best"))
+    return best.select("query_id", F.posexplode("best").alias("at", "found")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("found.vec_id").alias("vec_id"), (-F.col("found.below")).alias("score")
     )
 
