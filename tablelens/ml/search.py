@@ -33,7 +33,8 @@ CANDIDATES = {
 }
 # Sizes of the ensembles and of the steps.
 TREES, ROUNDS, BOOST_DEPTH, STEP = 100, 100, 3, 0.1
-FOREST_DEPTH = 10
+# Spark's bound.
+FOREST_DEPTH = 30
 TOP_FEATURES = 20
 
 

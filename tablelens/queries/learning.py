@@ -17,8 +17,6 @@ from .catalogue import CATALOGUE, OWNER, tables
 from .registry import query
 from .tables import GAP_LINES, GAP_ORDERS, gap_lines, gap_orders, read, rounded
 
-SMALL = {"trees": 10, "rounds": 5}
-
 
 @query(
     "ml_problem_type",
@@ -209,23 +207,23 @@ def _fit_parts(spark, sf_dir, name, problem, target, features, **settings):
 
 @query("ml_random_forest")
 def ml_random_forest(spark, sf_dir):
-    return _fit_parts(spark, sf_dir, "random_forest", "regression", "price", ["size", "kind", "brand"], trees=SMALL["trees"])
+    return _fit_parts(spark, sf_dir, "random_forest", "regression", "price", ["size", "kind", "brand"])
 
 
 @query("ml_random_forest_classes")
 def ml_random_forest_classes(spark, sf_dir):
-    return _fit_parts(spark, sf_dir, "random_forest", "classification", "kind", ["size", "price", "brand"], trees=SMALL["trees"])
+    return _fit_parts(spark, sf_dir, "random_forest", "classification", "kind", ["size", "price", "brand"])
 
 
 @query("ml_gradient_boosting")
 def ml_gradient_boosting(spark, sf_dir):
-    return _fit_parts(spark, sf_dir, "gradient_boosting", "regression", "price", ["size", "kind", "brand"], rounds=SMALL["rounds"])
+    return _fit_parts(spark, sf_dir, "gradient_boosting", "regression", "price", ["size", "kind", "brand"])
 
 
 @query("ml_gradient_boosting_classes")
 def ml_gradient_boosting_classes(spark, sf_dir):
     """More than two classes: one boosted model per class."""
-    return _fit_parts(spark, sf_dir, "gradient_boosting", "classification", "kind", ["size", "price"], rounds=2)
+    return _fit_parts(spark, sf_dir, "gradient_boosting", "classification", "kind", ["size", "price"])
 
 
 @query("ml_logistic_regression")
@@ -250,14 +248,14 @@ def _quality(spark, sf_dir):
 @query("ml_champion")
 def ml_champion(spark, sf_dir):
     """Scores of the candidates for the quality label, the champion marked."""
-    best = search.train_champion(_quality(spark, sf_dir), "quality", key=["doc_id"], features=["n_chars", "lang", "source"], **SMALL)
+    best = search.train_champion(_quality(spark, sf_dir), "quality", key=["doc_id"], features=["n_chars", "lang", "source"])
     return best.leaderboard.withColumn("champion", F.col("algorithm") == best.algorithm)
 
 
 @query("ml_importances")
 def ml_importances(spark, sf_dir):
     df = _parts(spark, sf_dir).drop("p_partkey")
-    return search.train_champion(df, "price", algorithms=["random_forest"], **SMALL).importances
+    return search.train_champion(df, "price", algorithms=["random_forest"]).importances
 
 
 @query("ml_score", _FITTED)
