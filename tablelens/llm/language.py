@@ -37,6 +37,7 @@ CHUNK = 1 << 20
 
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
+_POWER = np.cumprod(np.full(CHUNK + 4, 31, np.uint64))
 
 
 def _hashed(values: np.ndarray, salt: int, buckets: int) -> np.ndarray:
@@ -58,14 +59,13 @@ def features(raw: bytes, buckets: int) -> np.ndarray:
             if size == 1:
                 take = take[take != 32]
             out += np.bincount(_hashed(take, size, buckets), minlength=buckets)
-        # Whole words: a sum of their bytes' products with the powers of a multiplier, taken at the spaces.
+        # Whole words: a sum of their bytes' products with the powers of a multiplier, taken at the spaces and moved to one place.
         space = np.flatnonzero(b == 32)
-        power = np.cumprod(np.full(len(b), 31, np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(b * power)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(b * _POWER[: len(b)])])
         begin, end = space[:-1] + 1, space[1:]
         word = (end > begin) & (end - begin < 16)
         begin, end = begin[word], end[word]
-        value = (sums[end] - sums[begin]) * power[len(b) - 1 - begin] if len(begin) else np.empty(0, np.uint64)
+        value = (sums[end] - sums[begin]) * _POWER[CHUNK + 3 - begin] if len(begin) else np.empty(0, np.uint64)
         out += np.bincount(_hashed(value, 99, buckets), minlength=buckets)
     return out
 
