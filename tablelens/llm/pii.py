@@ -34,6 +34,28 @@ class Kind:
     words: tuple[str, ...]
 
 
+# Characters of an account number by country, without spaces.
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Numbers as long as their country says; of other countries as long as they go, up to a number of a known one."""
+    known = "|".join(" ".join(IBAN.values()).split())
+    fixed = []
+    for n, countries in IBAN.items():
+        fours, rest = divmod(n - 4, 4)
+        end = f"(?: ?[A-Z0-9]{{{rest}}})" if rest else ""
+        fixed.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{end}(?![A-Za-z0-9])")
+    free = f"(?! (?:{known})[0-9]{{2}})"
+    other = f"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:{free} ?[A-Z0-9]{{4}}){{2,7}}(?:{free} ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(fixed)}|{other})"
+
+
 # The base kinds in their order of output, then those that the method adds.
 BASE = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.8, ("mail", "contact", "write", "address")),
@@ -42,7 +64,7 @@ BASE = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.7, ("phone", "tel", "call", "fax", "mobile", "whatsapp")),
 )
 ADDED = (
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", 0.9, ("iban", "account", "bank", "konto", "compte", "cuenta")),
+    Kind("iban", _iban(), 0.9, ("iban", "account", "bank", "konto", "compte", "cuenta")),
 )
 # Words that speak against personal data.
 AGAINST = ("version", "example", "token", "order", "invoice")
