@@ -10,6 +10,9 @@ Reading: a record must decompress, begin with a version line, hold as many
 bytes as it says, end with two line ends and match its digests.  If it does
 not, the reader looks for the next place where a valid member or version line
 begins, goes on there, and reports the bytes between as a gap, with a reason.
+A member of several records is searched in the same way, as far as it can be
+decompressed; its gaps have the offset of the member, and the reason tells
+their place in its content.
 
 Defined cases: null html is an empty payload, a null url leaves the header
 out, a null page id is larger than any other and stays null.  Rows that repeat
@@ -161,6 +164,31 @@ def http_payload(block: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().decode("latin-1").lower(): v.strip().decode("latin-1") for k, _, v in lines}, body
 
 
+def salvage_bytes(data: bytes) -> tuple[list[tuple[dict[str, str] | None, bytes, str | None]], int, str | None]:
+    """Records of the content of a member and gaps (None, b"", reason with its place), the end of the last record, the first reason."""
+    found, place, whole, gap, reason, first = [], 0, 0, None, "", None
+    lost = lambda end: (None, b"", f"{reason}: {end - gap} bytes at {gap} of the member's content")
+    while place < len(data):
+        try:
+            fields, block, end = parse_record(data, place)
+        except Damaged as e:
+            if gap is None:
+                gap, reason = place, str(e)
+                first = first or reason
+            place = data.find(VERSION, place + 1)
+            if place < 0:
+                break
+            continue
+        if gap is not None:
+            found.append(lost(place))
+            gap = None
+        found.append((fields, block, None))
+        place = whole = end
+    if gap is not None:
+        found.append(lost(len(data)))
+    return found, whole, first
+
+
 class Archive:
     """An archive as a file that can be sought; holds a chunk or a record in memory, not the file."""
 
@@ -171,21 +199,42 @@ class Archive:
         self.file.seek(at)
         return self.file.read(min(n, max(0, self.size - at)))
 
-    def member(self, at: int) -> tuple[bytes, int]:
-        """The content and end of the gzip member at ``at``; its own checksum is tested."""
+    def member(self, at: int) -> tuple[bytes, int, str | None]:
+        """What the gzip member at ``at`` holds, the end of what could be read, and what is wrong with it."""
         unpack, parts, place = zlib.decompressobj(31), [], at
         while not unpack.eof:
             chunk = self.bytes_at(place, 1 << 16)
             if not chunk:
-                raise Damaged("member is cut off")
-            place += len(chunk)
+                return b"".join(parts), place, "member is cut off"
+            before = unpack.copy()
             try:
                 parts.append(unpack.decompress(chunk))
-            except zlib.error as e:
-                raise Damaged("member does not decompress") from e
-            if len(parts) == 1 and len(parts[0]) >= len(VERSION) and not parts[0].startswith(VERSION):
-                raise Damaged("member holds no record")
-        return b"".join(parts), place - len(unpack.unused_data)
+            except zlib.error:
+                for k in range(len(chunk)):  # what comes before the damage
+                    try:
+                        parts.append(before.decompress(chunk[k : k + 1]))
+                    except zlib.error:
+                        return b"".join(parts), place + k, "member does not decompress"
+            place += len(chunk)
+        return b"".join(parts), place - len(unpack.unused_data), None
+
+    def compressed_end(self, at: int, n: int) -> int:
+        """Where in the file the first ``n`` bytes of the member at ``at`` are complete."""
+        unpack, got, place = zlib.decompressobj(31), 0, at
+        while True:
+            chunk, before = self.bytes_at(place, 1 << 16), unpack.copy()
+            try:
+                size = len(unpack.decompress(chunk))
+            except zlib.error:
+                size = n
+            if got + size >= n:
+                break
+            got, place = got + size, place + len(chunk)
+        for k in range(len(chunk)):
+            got += len(before.decompress(chunk[k : k + 1]))
+            if got >= n:
+                return place + k + 1
+        return place + len(chunk)
 
     def plain(self, at: int) -> tuple[dict[str, str], bytes, int]:
         """The uncompressed record at ``at``: the header first, then as much as it asks for."""
@@ -206,21 +255,22 @@ class Archive:
         fields, block, end = parse_record(data)
         return fields, block, at + end
 
-    def records_at(self, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
+    def records_at(self, at: int) -> tuple[list[tuple[dict[str, str] | None, bytes, str | None]], int, str | None]:
+        """Records and inner gaps (None, b"", reason) at ``at``, where they end, and what is wrong with what follows."""
         start = self.bytes_at(at, len(VERSION))
         if start.startswith(MEMBER):
-            data, end = self.member(at)
-            found, place = [], 0
-            while place < len(data):
-                try:
-                    fields, block, place = parse_record(data, place)
-                except Damaged as e:
-                    raise Damaged(str(e), end) from e
-                found.append((fields, block))
-            return found, end
+            data, end, broken = self.member(at)
+            found, whole, reason = salvage_bytes(data)
+            if not whole:
+                raise Damaged(broken or reason or "member holds no record", None if broken else end)
+            if not broken:
+                return found, end, None
+            while found[-1][0] is None:  # what comes after the last record is the gap that follows
+                found.pop()
+            return found, self.compressed_end(at, whole), broken
         if start.startswith(VERSION):
             fields, block, end = self.plain(at)
-            return [(fields, block)], end
+            return [(fields, block, None)], end, None
         raise Damaged("neither a member nor a version line")
 
     def next_start(self, at: int) -> int:
@@ -240,7 +290,7 @@ class Archive:
         at, gap, reason = 0, None, ""
         while at < self.size:
             try:
-                found, end = self.records_at(at)
+                found, end, broken = self.records_at(at)
             except Damaged as e:
                 if gap is None:
                     gap, reason = at, str(e)
@@ -249,9 +299,12 @@ class Archive:
             if gap is not None:
                 yield gap, at - gap, None, b"", reason
                 gap = None
-            for fields, block in found:
-                yield at, end - at, fields, block, None
+            for fields, block, lost in found:
+                yield at, end - at, fields, block, lost
             at = end
+            if broken and at < self.size:
+                gap, reason = at, broken
+                at = self.next_start(at)
         if gap is not None:
             yield gap, self.size - gap, None, b"", reason
 
