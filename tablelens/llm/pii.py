@@ -132,7 +132,7 @@ def _valid(kind: str, text: Column, m: Column) -> Column:
     value = m["value"]
     if kind == "ip":
         # A part of more than three digits may still be at most 255 when it begins with zeros.
-        return F.forall(F.split(value, r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3) & F.forall(
+        return F.forall(F.split(value, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3) & F.forall(
             F.split(value, r"\."), lambda p: F.coalesce(F.right(p, F.lit(9)).cast("int"), F.lit(0)) <= 255
         )
     if kind == "card":
