@@ -2,6 +2,6 @@
 
 from .registry import QUERIES, SQL
 
-from . import balltree, decontaminate, html, language, mixing, phrases, pii, quality, repeats, simhash, warc  # noqa: E402,F401  (registration)
+from . import balltree, decontaminate, html, language, lexical, mixing, negatives, phrases, pii, quality, repeats, simhash, warc  # noqa: E402,F401  (registration)
 
 __all__ = ["QUERIES", "SQL"]
