@@ -9,9 +9,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import materialize, scratch_path
+from ..session import materialize as _materialize
+from ..session import scratch_path
 
-__all__ = ["fresh", "materialize", "map_batches", "parallelism", "read", "scratch_path", "utf8"]
+__all__ = ["bound_batches", "fresh", "materialize", "map_batches", "parallelism", "read", "scratch_path", "utf8"]
+
+
+# Bytes of the Arrow batches that tasks exchange with Python, whatever the length of the texts.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_BYTES``, unless the session asks for smaller ones."""
+    if not 0 < _bytes(spark.conf.get(_BATCH_SETTING)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def _bytes(setting: str) -> int:
+    digits = setting.lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(digits[-1:], 0)
+    return int(digits[:-1] if unit else digits) << unit
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    bound_batches(df.sparkSession)
+    return _materialize(df, label)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -193,7 +193,7 @@ def with_evidence(df: DataFrame, model: Model | None, into: str, text_col: str)
     return df.withColumn(into, F.arrow_udf(judge, "double")(utf8(F.col(f"`{text_col}`"))))
 
 
-def _strength(sites: DataFrame, rate: Column, base: Column) -> Column:
+def _strength(rate: Column, base: Column) -> Column:
     """Prior strength from the spread of site rates around their base, as an aggregate over sites with two documents or more.
 
     The variance of a site's rate is base(1 - base)(1 + (n - 1) r) / n with r = 1 / (k + 1); solved for k,
@@ -215,17 +215,17 @@ def _logit(p: Column) -> Column:
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
     """(host, path, n, mass, host_rate, k_path, ...) from rows (host, path, p): p is a document's probability of being bad."""
-    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("mass"))
+    paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("mass")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
-    world = hosts.agg(F.sum("n").alias("all_n"), F.sum("mass").alias("all_mass")).select((F.col("all_mass") / F.col("all_n")).alias("base"))
-    with_base = hosts.crossJoin(F.broadcast(world))  # one row
-    k_host = with_base.agg(_strength(with_base, F.col("mass") / F.col("n"), F.col("base")).alias("k_host"), F.max("base").alias("world"))
-    hosts = hosts.crossJoin(F.broadcast(k_host)).select(
-        F.col("host").alias("site"), "world", "k_host", ((F.col("mass") + F.col("k_host") * F.col("world")) / (F.col("n") + F.col("k_host"))).alias("host_rate")
+    world = hosts.agg(F.sum("mass") / F.sum("n")).scalar()
+    k_host = hosts.select("n", "mass", world.alias("base")).agg(_strength(F.col("mass") / F.col("n"), F.col("base"))).scalar()
+    rated = hosts.select("host", "n", "mass", world.alias("world"), k_host.alias("k_host"))
+    rated = rated.select(
+        F.col("host").alias("site"), "world", ((F.col("mass") + F.col("k_host") * F.col("world")) / (F.col("n") + F.col("k_host"))).alias("host_rate")
     )
-    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("site"))).select("host", "path", "n", "mass", "host_rate", "world")
-    k_path = joined.agg(_strength(joined, F.col("mass") / F.col("n"), F.col("host_rate")).alias("k_path"))
-    return joined.crossJoin(F.broadcast(k_path))
+    joined = paths.join(materialize(rated, "hosts"), F.col("host").eqNullSafe(F.col("site"))).select("host", "path", "n", "mass", "host_rate", "world")
+    k_path = joined.agg(_strength(F.col("mass") / F.col("n"), F.col("host_rate"))).scalar()
+    return joined.withColumn("k_path", k_path)
 
 
 def classify(
@@ -238,23 +238,26 @@ def classify(
     path_col: str = "lang",
     sample: int = SAMPLE,
     into: str = "quality",
+    keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with ``into``: struct of evidence, site (posterior rate without the document) and p_bad."""
+    """``docs`` with ``into``: struct of evidence, site (posterior rate without the document) and p_bad.
+
+    Texts are judged once; their evidence is written with the other columns, of which the text may be left out.
+    """
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1) if bad is None else bad
     model = _learn(docs, labels, id_col, text_col, bad, sample)
     prior = model.prior if model else 0.0
     p_alone = lambda e: 1 / (1 + F.exp(-(e + prior)))
-    sites = with_evidence(
-        docs.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{path_col}`").alias("path"), F.col(f"`{text_col}`").alias("text")),
-        model, "evidence", "text",
-    ).select("host", "path", p_alone(F.col("evidence")).alias("p"))
+    e = fresh(docs, "evidence")
+    scored = with_evidence(docs, model, e, text_col)
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    scored = materialize(scored.select(*[F.col(f"`{c}`") for c in kept], e), "evidence")
+    sites = scored.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{path_col}`").alias("path"), p_alone(F.col(e)).alias("p"))
     known = site_posteriors(sites)
     s = {c: fresh(docs, f"site_{c}") for c in known.columns}
     known = materialize(known.withColumnsRenamed(s), "sites")
     if known.count() <= BROADCAST_SITES:  # else a join by site, whose large groups Spark splits
         known = F.broadcast(known)
-    e = fresh(docs, "evidence")
-    scored = with_evidence(docs, model, e, text_col)
     both = scored.join(
         known, F.col(f"`{host_col}`").eqNullSafe(F.col(s["host"])) & F.col(f"`{path_col}`").eqNullSafe(F.col(s["path"]))
     )
@@ -266,12 +269,12 @@ def classify(
     return both.withColumn(
         into,
         F.struct(F.col(e).alias("evidence"), rate.alias("site"), (1 / (1 + F.exp(-final))).alias("p_bad")),
-    ).select(*[F.col(f"`{c}`") for c in docs.columns], into)
+    ).select(*[F.col(f"`{c}`") for c in kept], into)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: evidence, site rate, probability of being bad, and whether it stays."""
-    rows = classify(docs.select("doc_id", "text", "source", "lang"), labels)
+    rows = classify(docs.select("doc_id", "text", "source", "lang"), labels, keep_text=False)
     q = F.col("quality")
     return rows.select(
         "doc_id", F.round(q["evidence"], 6).alias("evidence"), F.round(q["site"], 6).alias("site_rate"),

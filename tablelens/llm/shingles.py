@@ -1,20 +1,28 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies: SimHash anchors and prefixes propose pairs, exact Jaccard similarity of word shingles decides.
 
 Two texts are linked if the sets of their shingles (five words) have a Jaccard
-similarity of at least ``least`` (0.8).  The join is complete: in any order of
-all shingles, the sets of a pair share one of their first  n - ceil(least n) + 1
-(the prefix), so only texts that meet in a prefix shingle are compared.  The
-order puts shingles of many texts last; how many is told by counts of hash
-buckets, which decide on speed alone, not on the result.
-
-Texts that meet are compared in two rounds.  First each is compared with one
-hub per shingle; then only those that are still in different components, so a
-dense group of n copies costs about n comparisons per shingle, not n squared.
-Proposed pairs are confirmed on their whole sets.
+similarity of at least ``least`` (0.8).  Pairs are proposed in two rounds.
+
+1. Fingerprints of the shingles are covered by anchors (``simhash.links``):
+   texts of equal or close fingerprints are proposed along a spanning forest,
+   so a dense group of n copies costs about n comparisons.
+2. Fingerprints alone would miss pairs, the prefixes of the sets do not: in any
+   order of all shingles, the sets of a pair share one of their first
+   n - ceil(least n) + 1.  The order puts shingles of many texts last; how many
+   is told by counts of hash buckets, which decide on speed alone.  Each text
+   is proposed with the hub (one per shingle and size) that it meets most often.
+3. Proposed pairs are confirmed on their whole sets and joined to components.
+   Of all texts that meet in a prefix shingle, those that are still in
+   different components, and that sizes and places in the order do not rule
+   out, are proposed in a last round and confirmed in the same way.
+
+A shingle in the prefixes of very many texts is divided into blocks of bounded
+size, each pair of blocks a group of its own.
 
 Words are those of ``simhash.fingerprint``.  A text of fewer words than a
 shingle is one shingle; texts without words (null too) are equal.  Equal words
-are one text before all that, whatever the number of documents.
+(a 128-bit digest tells) are one text before all that, whatever the number of
+documents.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,22 +33,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, parallelism, utf8
 from .components import components
-from .simhash import SEED
+from .simhash import SEED, THRESHOLD, links, majority
 
 SIZE, LEAST = 5, 0.8
 # Buckets of the counts that order the shingles.
 BUCKETS = 1 << 18
+# Texts of one shingle that are compared in one group, and rows of a shingle that a task holds.
+BLOCK, HELD = 5_000, 1 << 20
 # Guards products of sizes and ``least`` against rounding.
 TINY = 1e-9
 
 
-def shingles(raw: bytes, size: int = SIZE) -> np.ndarray:
-    """The distinct hashes of the word shingles of a text, in order."""
+def hashes(raw: bytes, size: int = SIZE) -> np.ndarray:
+    """The hashes of the word shingles of a text, repeats included."""
     words = raw.lower().split()
     if not words:
         return np.empty(0, np.int64)
@@ -53,55 +63,92 @@ def shingles(raw: bytes, size: int = SIZE) -> np.ndarray:
         np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=begin[1:])
         begin = begin.tolist()
         found = [digest(joined[a : b - 1], SEED) for a, b in zip(begin, begin[size:], strict=False)]
-    return np.unique(np.array(found, np.uint64).view(np.int64))
+    return np.array(found, np.uint64).view(np.int64)
+
+
+def shingles(raw: bytes, size: int = SIZE) -> np.ndarray:
+    """The distinct hashes of the word shingles of a text, in order."""
+    return np.unique(hashes(raw, size))
 
 
-def text_key(raw: bytes) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(raw.lower().split()), SEED)).view(np.int64))
+def text_key(raw: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(raw.lower().split()), SEED)
 
 
-def bucket_counts(raws: DataFrame, size: int) -> np.ndarray:
-    """In how many texts the shingles of each bucket occur."""
+def text_name(key: bytes) -> int:
+    """The short name under which a text is proposed; the few texts that may share one are all looked at."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def read_texts(numbered: DataFrame, size: int) -> DataFrame:
+    """(row, key, fp) of each of (row, raw), and (bucket, n): in how many texts of a task the shingles of a bucket occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(BUCKETS, np.int64)
+        count, seen = np.zeros(BUCKETS, np.int64), {}
         for batch in batches:
-            for raw in batch.column(0):
-                count += np.bincount(shingles(raw.as_py(), size) & (BUCKETS - 1), minlength=BUCKETS)
+            rows, keys, prints = batch.column(0), [], []
+            for raw in batch.column(1):
+                raw = raw.as_py()
+                key = text_key(raw)
+                if key not in seen:
+                    h = hashes(raw, size)
+                    seen[key] = majority(h)
+                    count += np.bincount(np.unique(h) & (BUCKETS - 1), minlength=BUCKETS)
+                keys.append(key)
+                prints.append(seen[key])
+            none = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [rows, pa.array(keys, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), none, none], ["row", "key", "fp", "bucket", "n"]
+            )
         hit = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(count[hit])], ["bucket", "n"])
+        none = pa.nulls(len(hit), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(hit), pa.binary()), none, pa.array(hit), pa.array(count[hit])], ["row", "key", "fp", "bucket", "n"])
 
-    found = raws.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    return numbered.mapInArrow(run, "row long, key binary, fp long, bucket long, n long")
+
+
+def bucket_counts(found: DataFrame) -> np.ndarray:
+    counted = found.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
 def prefixes(raws: DataFrame, count: np.ndarray, size: int, least: float) -> DataFrame:
-    """(h, key, n, at): the prefix shingles of each text (key, raw), its size, and the shingle's place in the order."""
+    """(h, name, n, at): the prefix shingles of each text, once per task, its size, and the shingle's place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            h, key, n = [], [], []
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(raw.as_py(), size)
+            h, names, n = [], [], []
+            for raw in batch.column(0):
+                raw = raw.as_py()
+                key = text_key(raw)
+                if key in seen:
+                    continue
+                seen.add(key)
+                s = shingles(raw, size)
                 s = s[np.argsort(count[s & (BUCKETS - 1)], kind="stable")]
                 h.append(s[: len(s) - math.ceil(least * len(s) - TINY) + 1])
-                key.append(k)
+                names.append(text_name(key))
                 n.append(len(s))
             if not h:
                 continue
             sizes = [len(x) for x in h]
             at = np.concatenate([np.arange(x) for x in sizes]).astype(np.int32)
-            arrays = [np.concatenate(h), np.repeat(np.array(key, np.int64), sizes), np.repeat(np.array(n, np.int32), sizes), at]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "key", "n", "at"])
+            arrays = [np.concatenate(h), np.repeat(np.array(names, np.int64), sizes), np.repeat(np.array(n, np.int32), sizes), at]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "name", "n", "at"])
 
-    return raws.mapInArrow(run, "h long, key long, n int, at int")
+    return raws.mapInArrow(run, "h long, name long, n int, at int")
 
 
 def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of the rows in runs of whole shingles; rows come in order of their first column."""
+    """The columns of the rows in runs of whole groups; rows come in order of their first column.
+
+    Of a group above ``HELD`` rows parts are given out, each with the last row of the one before.
+    """
     held: list[list[np.ndarray]] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -109,109 +156,159 @@ def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         cut = int(np.searchsorted(now[0], now[0][-1]))
         if cut or (held and held[-1][0][-1] != now[0][0]):
             yield [np.concatenate(c) for c in zip(*held, [x[:cut] for x in now], strict=True)]
-            held = []
+            held, size = [], 0
         held.append([x[cut:] for x in now])
+        size += len(now[0]) - cut
+        if size > HELD:
+            part = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield part
+            held, size = [[x[-1:] for x in part]], 1
     if held:
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _may_be_close(n: np.ndarray, at: np.ndarray, m, place, least: float) -> np.ndarray:
     """Whether sets of ``n`` and ``m`` shingles can be similar if the shingle at these places is their first shared one."""
-    room = 1 + np.minimum(n - at, m - place) - 1
+    room = np.minimum(n - at, m - place)
     return (np.minimum(n, m) >= least * np.maximum(n, m) - TINY) & (room >= least / (1 + least) * (n + m) - TINY)
 
 
 def shared(rows: DataFrame, least: float) -> DataFrame:
-    """(h, key, n, at, hub) of the shingles of two or more texts; the hub is the text to compare with, if there is one."""
-    ordered = rows.repartition(parallelism(rows), "h").sortWithinPartitions("h", "key")
+    """(h, name, n, at, hub) of the shingles of two or more texts; the hub is the text to compare with, if there is one.
+
+    Texts of a shingle come in order of size, and a hub serves those that are not too large for it.
+    """
+    ordered = rows.repartition(parallelism(rows), "h").sortWithinPartitions("h", "n", "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, key, n, at in _by_shingle(batches):
+        for h, name, n, at in _by_shingle(batches):
             first = np.ones(len(h), bool)  # copies of a text are one
-            first[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
-            h, key, n, at = h[first], key[first], n[first], at[first]
-            _, begin, size = np.unique(h, return_index=True, return_counts=True)
-            hub = np.repeat(begin, size)
-            many = np.repeat(size > 1, size)
-            hubs = np.arange(len(h)) != hub
-            hubs &= _may_be_close(n, at, n[hub], at[hub], least)
-            arrays = [h[many], key[many], n[many], at[many], pa.array(key[hub][many], mask=~hubs[many])]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "key", "n", "at", "hub"])
-
-    return ordered.mapInArrow(run, "h long, key long, n int, at int, hub long")
-
-
-def open_pairs(rows: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts that meet, may be similar and are in different components."""
-    known = rows.drop("hub").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-    ordered = known.select("h", "key", "n", "at", F.coalesce("root", "key").alias("root")).repartition(parallelism(rows), "h").sortWithinPartitions("h", "key")
+            first[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1])
+            h, name, n, at = h[first], name[first], n[first], at[first]
+            edge = np.append(True, h[1:] != h[:-1])
+            alone = edge & np.append(edge[1:], True)
+            h, name, n, at, edge = h[~alone], name[~alone], n[~alone], at[~alone], edge[~alone]
+            hub = np.empty(len(h), np.int64)
+            place = 0
+            for k, (new, size) in enumerate(zip(edge.tolist(), n.tolist(), strict=True)):
+                if new or (k != place and limit < size):
+                    place, limit = k, size / least + TINY
+                hub[k] = place
+            wanted = (hub != np.arange(len(h))) & _may_be_close(n, at, n[hub], at[hub], least)
+            arrays = [h, name, n, at, pa.array(name[hub], mask=~wanted)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "name", "n", "at", "hub"])
+
+    return ordered.mapInArrow(run, "h long, name long, n int, at int, hub long")
+
+
+def _across(name: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, side: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group, in order of size, that may be similar and are in different components (and blocks, if there are two)."""
+    kinds, kind, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    if len(kinds) == 1:
+        return
+    most = np.argmax(sizes)
+    small = kind != most  # at least one text of each pair is in none but the largest component
+    two = (side != side[0]).any()
+    lo = np.searchsorted(n, least * n - TINY)
+    hi = np.searchsorted(n, n / least + TINY, side="right")
+    for i in np.flatnonzero(small).tolist():
+        rest = np.arange(lo[i], hi[i])
+        near = (kind[rest] != kind[i]) & (~small[rest] | (rest > i)) & _may_be_close(n[rest], at[rest], n[i], at[i], least)
+        if two:
+            near &= side[rest] != side[i]
+        rest = rest[near]
+        if len(rest):
+            yield np.full(len(rest), name[i]), name[rest]
+
+
+def open_pairs(met: DataFrame, roots: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): names of texts that meet, may be similar and are in different components; ``roots``: (name, root)."""
+    rows = met.drop("hub").join(roots, "name")
+    sizes = materialize(met.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > block), "frequent-shingles")
+    blocks = F.ceil(F.col("texts") / block).cast("int")
+    side = F.pmod(F.xxhash64("name"), blocks).cast("int")
+    cell = lambda j: F.xxhash64("h", F.least("side", j), F.greatest("side", j))
+    cells = F.when(F.col("texts").isNull(), F.array("h")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell))
+    rows = rows.join(sizes, "h", "left").withColumn("side", F.coalesce(side, F.lit(0))).withColumn("blocks", blocks)
+    rows = rows.select(F.explode(cells).alias("cell"), "name", "n", "at", "root", "side")
+    ordered = rows.repartition(parallelism(rows), "cell").sortWithinPartitions("cell", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, key, n, at, root in _by_shingle(batches):
-            _, begin, size = np.unique(h, return_index=True, return_counts=True)
+        for h, name, n, at, root, side in _by_shingle(batches):
+            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            end = np.append(begin[1:], len(h))
+            mixed = np.add.reduceat(np.append(root[1:] != root[:-1], False).astype(np.int64), begin) > 0
             a, b, held = [], [], 0
-            for lo, hi in zip(begin[size > 2], (begin + size)[size > 2], strict=True):  # of two, one is the hub of the other
-                if (root[lo:hi] == root[lo]).all():
-                    continue
-                for i in range(lo, hi - 1):
-                    rest = slice(i + 1, hi)
-                    near = (root[rest] != root[i]) & _may_be_close(n[rest], at[rest], n[i], at[i], least)
-                    found = key[rest][near]
-                    if len(found):
-                        a.append(np.full(len(found), key[i]))
-                        b.append(found)
-                        held += len(found)
+            for lo, hi in zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True):
+                for one, others in _across(name[lo:hi], n[lo:hi], at[lo:hi], root[lo:hi], side[lo:hi], least):
+                    a.append(one)
+                    b.append(others)
+                    held += len(one)
                     if held > 1 << 18:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
                         a, b, held = [], [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    found = ordered.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, one: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; ``one`` has a row number per key, ``texts`` the raw text of each."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(one, "key")
+    """The pairs (a, b) of names whose sets are similar, as rows; ``one``: (name, row) of each text, ``texts``: (row, raw)."""
+    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().join(one, "name")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for raws in batches:
             yield pa.array([shingles(r.as_py(), size) for r in raws], pa.list_(pa.int64()))
 
-    sets = texts.join(wanted, "row").select("key", F.arrow_udf(run, "array<bigint>")("raw").alias("s"))
+    sets = texts.join(materialize(wanted, "proposed-texts"), "row").select("name", "row", F.arrow_udf(run, "array<bigint>")("raw").alias("s"))
     sets = materialize(sets, "shingle-sets")
-    left, right = (sets.select(F.col("key").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    left, right = (sets.select(F.col("name").alias(c), F.col("row").alias(f"row{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both) - TINY).select("a", "b")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST) -> DataFrame:
+    close = both >= F.lit(least) * (F.size("sa") + F.size("sb") - both) - TINY
+    return pairs.join(left, "a").join(right, "b").where(close).select(F.col("rowa").alias("a"), F.col("rowb").alias("b"))
+
+
+def _first_proposals(one: DataFrame, met: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): texts of equal or close fingerprints, along a forest, and each text with the hub that it meets most often."""
+    prints = materialize(one.groupBy("fp").agg(F.min("name").alias("name")), "distinct-fingerprints")
+    same = one.select("fp", F.col("name").alias("b")).join(prints.withColumnRenamed("name", "a"), "fp").where("a <> b").select("a", "b")
+    near = links(prints.select("fp"), threshold)
+    for c in "ab":
+        near = near.join(prints.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")), c)
+    near = near.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+    often = met.where("hub IS NOT NULL").groupBy("name", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = often.groupBy("name").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("name").alias("a"), F.col("best.hub").alias("b"))
+    both = same.union(near).union(best)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, threshold: int = THRESHOLD, block: int = BLOCK
+) -> DataFrame:
     """``docs`` with one document of each component: the smallest id, null last, any one of repeated rows."""
     row = fresh(docs, "row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-
-    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for raws in batches:
-            yield pa.array([text_key(r.as_py()) for r in raws], pa.int64())
-
-    raw = utf8(F.col(f"`{text_col}`"))
-    key: Column = F.arrow_udf(keys, "long")(raw)
-    keyed = materialize(numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), key.alias("key")), "text-keys")
+    texts = numbered.select(F.col(row).alias("row"), utf8(F.col(f"`{text_col}`")).alias("raw"))
+    found = materialize(read_texts(texts, size), "text-prints")
+    ids = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    keyed = found.where("row IS NOT NULL").select("row", "key", "fp").join(ids, "row")
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))
-    one = materialize(keyed.groupBy("key").agg(F.min(first).alias("first")), "distinct-texts")
-    row_of = one.select("key", F.col("first")["row"].alias("row"))
-
-    count = bucket_counts(numbered.select(raw.alias("raw")), size)
-    met = materialize(shared(prefixes(numbered.select(key.alias("key"), raw.alias("raw")), count, size, least), least), "shared-shingles")
-    texts = numbered.select(F.col(row).alias("row"), raw.alias("raw"))
-    tried = materialize(met.where("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "hub-pairs")
-    links = materialize(confirmed(tried, row_of, texts, size, least), "hub-links")
-    left = open_pairs(met, components(links), least).join(tried, ["a", "b"], "left_anti")
-    links = links.union(confirmed(materialize(left, "open-pairs"), row_of, texts, size, least))
-
-    roots = components(links).withColumnRenamed("node", "key")
-    linked = one.join(roots, "key")
+    one = keyed.groupBy("key").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("copies"))
+    name = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+    one = materialize(one.select("key", "first", "fp", "copies", name.alias("name"), F.col("first")["row"].alias("node")), "distinct-texts")
+    names = one.select("name", F.col("node").alias("row"))
+
+    met = materialize(shared(prefixes(texts.select("raw"), bucket_counts(found), size, least), least), "shared-shingles")
+    tried = materialize(_first_proposals(one, met, threshold), "first-pairs")
+    confirmed_links = materialize(confirmed(tried, names, texts, size, least), "first-links")
+    roots = one.join(components(confirmed_links), "node", "left").groupBy("name").agg(F.min(F.coalesce("root", "node")).alias("root"))
+    left = open_pairs(met, materialize(roots, "first-roots"), least, block).join(tried, ["a", "b"], "left_anti")
+    confirmed_links = confirmed_links.union(confirmed(materialize(left, "open-pairs"), names, texts, size, least))
+
+    linked = one.join(components(confirmed_links), "node")
     kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
-    found = one.join(linked.join(kept, "root").select("key", "kept"), "key", "left").select("key", F.coalesce("kept", "first").alias("kept"))
-    dropped = keyed.join(found, "key").where(F.col("row") != F.col("kept")["row"]).select(F.col("row").alias(row))
+    stays = materialize(one.join(linked.join(kept, "root").select("key", "kept"), "key", "left").select("key", F.coalesce("kept", "first").alias("kept")), "kept-texts")
+    dropped = keyed.join(stays, "key").where(F.col("row") != F.col("kept")["row"]).select(F.col("row").alias(row))
     return numbered.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -57,6 +57,11 @@ def fingerprint(raw: bytes, shingle: int) -> int:
         hashes = np.array(
             [digest(joined[a : b - 1], SEED) for a, b in zip(begin, begin[shingle:], strict=False)], "<u8"
         )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the 64-bit hashes; of none, none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
