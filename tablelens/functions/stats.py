@@ -28,13 +28,13 @@ def pearson(a: Column, b: Column) -> Column:
     """Pairwise-complete correlation; null where either side is constant.
 
     ``corr`` raises on a constant column under ANSI rules, hence the guarded
-    quotient of its parts.
+    quotient of its parts.  Deviations of a constant need not be exactly 0
+    after tasks' parts are merged, so least and greatest value tell.
     """
     a_pair = F.when(b.isNotNull(), a)
     b_pair = F.when(a.isNotNull(), b)
-    return F.try_divide(
-        F.covar_pop(a_pair, b_pair), F.stddev_pop(a_pair) * F.stddev_pop(b_pair)
-    )
+    varied = (F.min(a_pair) < F.max(a_pair)) & (F.min(b_pair) < F.max(b_pair))
+    return F.when(varied, F.try_divide(F.covar_pop(a_pair, b_pair), F.stddev_pop(a_pair) * F.stddev_pop(b_pair)))
 
 
 def quality(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import TableError
 from ..functions.columns import is_missing, is_numeric, is_text, ref, require_columns, value_of
-from ..functions.dates import DATE_LAYOUTS
+from ..functions.dates import DATE_LAYOUTS, shape
 from ..operators.cleaning import most_common
 from ..operators.frequency import distinct_counts, value_summary
 from ..operators.profile import date_columns
@@ -88,7 +88,8 @@ def _text(value) -> str:
 def _timestamp_sql(df: DataFrame, column: str) -> str:
     if not is_text(df.schema[column].dataType):
         return f"CAST({_quoted(column)} AS TIMESTAMP)"
-    tries = ", ".join(f"try_to_timestamp({_quoted(column)}, {_text(layout)})" for layout in DATE_LAYOUTS)
+    c = _quoted(column)
+    tries = ", ".join(f"CASE WHEN {c} RLIKE {_text(shape(d))} THEN try_to_timestamp({c}, {_text(d)}) END" for d in DATE_LAYOUTS)
     return f"coalesce({tries})"
 
 

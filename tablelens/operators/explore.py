@@ -19,6 +19,7 @@ from ..functions.columns import (
     value_of,
 )
 from ..functions.dates import iso_text, whole_days
+from .comoments import coefficients
 from .frequency import literal_rows, most_frequent, value_summary
 from .hash_order import mark_first
 from .profile import as_timestamp, date_columns, missing_by_column, table_profile, with_quality
@@ -252,36 +253,30 @@ def correlations(
 ) -> DataFrame:
     """Pearson coefficients of column pairs in column order, from ``threshold`` up; undefined ones are left out.
 
-    All pairs of a chunk are aggregated in one scan; a chunk bounds the size of
-    the generated code for very wide tables.
+    Few pairs are aggregated in one scan; of many, co-moments are summed up in
+    blocks, whose number of scans does not grow with the pairs.
     """
     columns = list(columns or numeric_columns(df))
     require_columns(df, columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)] if k * (k - 1) // 2 <= PAIRS_PER_SCAN else None
     schema = "pair int, column1 string, column2 string, coefficient double"
-    out = df.sparkSession.createDataFrame([], schema) if not pairs else None
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        chunk = pairs[start : start + PAIRS_PER_SCAN]
-        wide = df.agg(
-            *[
-                stats.pearson(
-                    value_of(df, columns[i]).cast("double"), value_of(df, columns[j]).cast("double")
-                ).alias(f"r{n}")
-                for n, (i, j) in enumerate(chunk)
-            ]
-        )
-        rows = [
-            F.struct(
-                F.lit(start + n).alias("pair"),
-                F.lit(columns[i]).alias("column1"),
-                F.lit(columns[j]).alias("column2"),
-                F.col(f"r{n}").alias("coefficient"),
-            )
-            for n, (i, j) in enumerate(chunk)
-        ]
-        part = wide.select(F.inline(F.array(*rows)))
-        out = part if out is None else out.unionByName(part)
-    return out.where((F.abs("coefficient") >= threshold) & ~F.isnan("coefficient"))
+    if pairs == []:
+        return df.sparkSession.createDataFrame([], schema)
+    found = _pairwise(df, columns, pairs) if pairs else coefficients(df, columns)
+    name = F.array(*[F.lit(c) for c in columns])
+    i, j = F.col("i"), F.col("j")
+    number = i * k - F.expr("i * (i + 1) div 2").cast("int") + (j - i - 1)
+    return found.where((F.abs("coefficient") >= threshold) & ~F.isnan("coefficient")).select(
+        number.cast("int").alias("pair"), name[i].alias("column1"), name[j].alias("column2"), "coefficient"
+    )
+
+
+def _pairwise(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    number = lambda c: value_of(df, c).cast("double")
+    wide = df.agg(*[stats.pearson(number(columns[i]), number(columns[j])).alias(f"r{n}") for n, (i, j) in enumerate(pairs)])
+    rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{n}").alias("coefficient")) for n, (i, j) in enumerate(pairs)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def correlation_matrix(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:

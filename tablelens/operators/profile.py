@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from ..functions.columns import (
     text_columns,
     value_of,
 )
-from ..functions.dates import iso_text, parse_date
+from ..functions.dates import has_shape, iso_text, parse_date
 from .frequency import distinct_counts, literal_rows, melt, row_groups
 from .quantiles import quantiles
 
@@ -107,20 +107,29 @@ def unique_by_column(df: DataFrame, exact: bool = True, columns: Sequence[str] |
 def date_columns(df: DataFrame, candidates: Sequence[str] | None = None) -> list[str]:
     """Date columns, and text columns with values of which all parse.
 
-    One scan judges all cells; only two numbers per text column reach the driver.
+    A first scan counts the cells that have the shape of a date; only columns
+    in which all have are parsed by a second one.  Two numbers per text column
+    reach the driver.
     """
     names = list(candidates if candidates is not None else df.columns)
-    found = [n for n in names if is_datetime(df.schema[n].dataType)]
+    found = {n for n in names if is_datetime(df.schema[n].dataType)}
     texts = [n for n in names if is_text(df.schema[n].dataType)]
-    for start in range(0, len(texts), DATE_BATCH):
-        batch = texts[start : start + DATE_BATCH]
+    shaped = _columns_where_all(df, texts, has_shape)
+    found |= set(_columns_where_all(df, shaped, lambda c: parse_date(c).isNotNull()))
+    return [n for n in names if n in found]
+
+
+def _columns_where_all(df: DataFrame, names: Sequence[str], test: Callable[[Column], Column]) -> list[str]:
+    """The columns with values, all of which pass the test."""
+    passed = []
+    for start in range(0, len(names), DATE_BATCH):
+        batch = names[start : start + DATE_BATCH]
         counts = []
         for i, n in enumerate(batch):
-            counts.append(F.count(ref(n)).alias(f"n{i}"))
-            counts.append(F.count_if(ref(n).isNotNull() & parse_date(ref(n)).isNull()).alias(f"bad{i}"))
+            counts += [F.count(ref(n)).alias(f"n{i}"), F.count_if(test(ref(n))).alias(f"good{i}")]
         row = df.agg(*counts).first()
-        found += [n for i, n in enumerate(batch) if row[f"n{i}"] and not row[f"bad{i}"]]
-    return [n for n in names if n in found]
+        passed += [n for i, n in enumerate(batch) if 0 < row[f"n{i}"] == row[f"good{i}"]]
+    return passed
 
 
 def _fixed_types(df: DataFrame, dates: Sequence[str]) -> dict[str, str]:
