@@ -8,8 +8,8 @@ similarity of at least ``least`` (0.8).  Pairs are proposed in two rounds.
    so a dense group of n copies costs about n comparisons.
 2. Fingerprints alone would miss pairs, the prefixes of the sets do not: in any
    order of all shingles, the sets of a pair share one of their first
-   n - ceil(least n) + 1.  The order puts shingles of many texts last; how many
-   is told by counts of hash buckets, which decide on speed alone.  Each text
+   n - ceil(least n) + 1.  The order puts the most frequent shingles last;
+   which these are is counted about, as it decides on speed alone.  Each text
    is proposed with the hub (one per shingle and size) that it meets most often.
 3. Proposed pairs are confirmed on their whole sets and joined to components.
    Of all texts that meet in a prefix shingle, those that are still in
@@ -41,10 +41,12 @@ from .components import components
 from .simhash import SEED, THRESHOLD, links, majority
 
 SIZE, LEAST = 5, 0.8
-# Buckets of the counts that order the shingles.
-BUCKETS = 1 << 18
+# Shingles that a task counts, and that are ordered by their counts.
+LISTED, FREQUENT = 4_096, 1 << 17
 # Texts of one shingle that are compared in one group, and rows of a shingle that a task holds.
 BLOCK, HELD = 5_000, 1 << 20
+# Texts that one task compares with a text.
+TOGETHER = 2_000
 # Guards products of sizes and ``least`` against rounding.
 TINY = 1e-9
 
@@ -80,41 +82,67 @@ def text_name(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
+class Frequent:
+    """The shingles of the most texts, about: rare ones may be forgotten on the way, which costs time, not pairs."""
+
+    def __init__(self) -> None:
+        self.count: dict[int, int] = {}
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        if not sets:
+            return
+        h, n = np.unique(np.concatenate(sets), return_counts=True)
+        for k, c in zip(h[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+            self.count[k] = self.count.get(k, 0) + c
+        if len(self.count) > 16 * LISTED:
+            self.count = dict(self.most(4 * LISTED))
+
+    def most(self, n: int) -> list[tuple[int, int]]:
+        return sorted(self.count.items(), key=lambda x: (-x[1], x[0]))[:n]
+
+
 def read_texts(numbered: DataFrame, size: int) -> DataFrame:
-    """(row, key, fp) of each of (row, raw), and (bucket, n): in how many texts of a task the shingles of a bucket occur."""
+    """(row, key, fp) of each of (row, raw), and (h, n) of the frequent shingles of a task."""
+    names = ["row", "key", "fp", "h", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = np.zeros(BUCKETS, np.int64), {}
+        frequent, seen = Frequent(), {}
         for batch in batches:
-            rows, keys, prints = batch.column(0), [], []
+            rows, keys, prints, sets = batch.column(0), [], [], []
             for raw in batch.column(1):
                 raw = raw.as_py()
                 key = text_key(raw)
                 if key not in seen:
-                    h = hashes(raw, size)
-                    seen[key] = majority(h)
-                    count += np.bincount(np.unique(h) & (BUCKETS - 1), minlength=BUCKETS)
+                    found = hashes(raw, size)
+                    seen[key] = majority(found)
+                    sets.append(np.unique(found))
                 keys.append(key)
                 prints.append(seen[key])
+            frequent.add(sets)
             none = pa.nulls(len(keys), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [rows, pa.array(keys, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), none, none], ["row", "key", "fp", "bucket", "n"]
-            )
-        hit = np.flatnonzero(count)
-        none = pa.nulls(len(hit), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(hit), pa.binary()), none, pa.array(hit), pa.array(count[hit])], ["row", "key", "fp", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([rows, pa.array(keys, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), none, none], names)
+        h, n = zip(*frequent.most(LISTED), strict=True) if frequent.count else ((), ())
+        none = pa.nulls(len(h), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(h), pa.binary()), none, pa.array(h, pa.int64()), pa.array(n, pa.int64())], names)
+
+    return numbered.mapInArrow(run, "row long, key binary, fp long, h long, n long")
+
 
-    return numbered.mapInArrow(run, "row long, key binary, fp long, bucket long, n long")
+def frequent_shingles(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, ascending, and counts of the ``most`` shingles of the most texts."""
+    counted = found.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toArrow().sort_by("h")
+    return counted["h"].to_numpy(), counted["n"].to_numpy()
 
 
-def bucket_counts(found: DataFrame) -> np.ndarray:
-    counted = found.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    return out
+def _counts(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    known, n = frequent
+    if not len(known):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    return np.where(known[at] == s, n[at], 0)
 
 
-def prefixes(raws: DataFrame, count: np.ndarray, size: int, least: float) -> DataFrame:
+def prefixes(raws: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, least: float) -> DataFrame:
     """(h, name, n, at): the prefix shingles of each text, once per task, its size, and the shingle's place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +156,7 @@ def prefixes(raws: DataFrame, count: np.ndarray, size: int, least: float) -> Dat
                     continue
                 seen.add(key)
                 s = shingles(raw, size)
-                s = s[np.argsort(count[s & (BUCKETS - 1)], kind="stable")]
+                s = s[np.argsort(_counts(s, frequent), kind="stable")]
                 h.append(s[: len(s) - math.ceil(least * len(s) - TINY) + 1])
                 names.append(text_name(key))
                 n.append(len(s))
@@ -254,20 +282,40 @@ def open_pairs(met: DataFrame, roots: DataFrame, least: float, block: int = BLOC
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, one: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of names whose sets are similar, as rows; ``one``: (name, row) of each text, ``texts``: (row, raw)."""
-    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().join(one, "name")
+def confirmed(pairs: DataFrame, one: DataFrame, texts: DataFrame, size: int, least: float, most: int = TOGETHER) -> DataFrame:
+    """The pairs (a, b) of names whose sets are similar, as rows; ``one``: (name, row) of each text, ``texts``: (row, raw).
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for raws in batches:
-            yield pa.array([shingles(r.as_py(), size) for r in raws], pa.list_(pa.int64()))
+    The texts ``b`` go to their ``a`` and are compared with it one by one.  A
+    text of more than ``most`` pairs goes to several tasks.
+    """
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("tasks"))
+    hubs = tasks.select(F.col("a").alias("name"), "a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("side"))
+    others = pairs.join(tasks, "a").select(F.col("b").alias("name"), "a", F.pmod("b", "tasks").cast("int").alias("task"), F.lit(1).alias("side"))
+    wanted = materialize(hubs.union(others).join(one, "name").select("row", F.xxhash64("a", "task").alias("place"), "a", "side"), "wanted-texts")
+    placed = texts.join(wanted, "row").select("place", "a", "side", "row", "raw")
+    placed = placed.repartition(parallelism(texts), "place").sortWithinPartitions("place", "a", "side", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hubs = None, []
+        for batch in batches:
+            found = []
+            for place, a, side, row, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (place, a) != now:
+                    now, hubs = (place, a), []
+                s = shingles(raw, size)
+                if not side:
+                    hubs.append((row, s))
+                    continue
+                for other, h in hubs:
+                    if min(len(s), len(h)) < least * max(len(s), len(h)) - TINY:
+                        continue
+                    both = len(np.intersect1d(s, h, assume_unique=True))
+                    if both >= least * (len(s) + len(h) - both) - TINY:
+                        found.append((other, row))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sets = texts.join(materialize(wanted, "proposed-texts"), "row").select("name", "row", F.arrow_udf(run, "array<bigint>")("raw").alias("s"))
-    sets = materialize(sets, "shingle-sets")
-    left, right = (sets.select(F.col("name").alias(c), F.col("row").alias(f"row{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    close = both >= F.lit(least) * (F.size("sa") + F.size("sb") - both) - TINY
-    return pairs.join(left, "a").join(right, "b").where(close).select(F.col("rowa").alias("a"), F.col("rowb").alias("b"))
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 def _first_proposals(one: DataFrame, met: DataFrame, threshold: int) -> DataFrame:
@@ -280,8 +328,11 @@ def _first_proposals(one: DataFrame, met: DataFrame, threshold: int) -> DataFram
     near = near.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
     often = met.where("hub IS NOT NULL").groupBy("name", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = often.groupBy("name").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("name").alias("a"), F.col("best.hub").alias("b"))
-    both = same.union(near).union(best)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    both = same.union(near).union(best.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    # Each pair once, from its hub.
+    ends = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
+    once = both.groupBy(*ends).agg(F.min("a").alias("a"))
+    return once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
 def drop_near_copies(
@@ -300,11 +351,13 @@ def drop_near_copies(
     one = materialize(one.select("key", "first", "fp", "copies", name.alias("name"), F.col("first")["row"].alias("node")), "distinct-texts")
     names = one.select("name", F.col("node").alias("row"))
 
-    met = materialize(shared(prefixes(texts.select("raw"), bucket_counts(found), size, least), least), "shared-shingles")
+    met = materialize(shared(prefixes(texts.select("raw"), frequent_shingles(found, FREQUENT), size, least), least), "shared-shingles")
     tried = materialize(_first_proposals(one, met, threshold), "first-pairs")
     confirmed_links = materialize(confirmed(tried, names, texts, size, least), "first-links")
     roots = one.join(components(confirmed_links), "node", "left").groupBy("name").agg(F.min(F.coalesce("root", "node")).alias("root"))
-    left = open_pairs(met, materialize(roots, "first-roots"), least, block).join(tried, ["a", "b"], "left_anti")
+    left = open_pairs(met, materialize(roots, "first-roots"), least, block)
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = left.join(known, ["a", "b"], "left_anti")
     confirmed_links = confirmed_links.union(confirmed(materialize(left, "open-pairs"), names, texts, size, least))
 
     linked = one.join(components(confirmed_links), "node")
