@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import TableError
-from ..functions.columns import ref
+from ..functions.columns import COLUMNS_PER_SCAN, ref
 from ..operators.profile import size_estimate
+from ..session import materialize
+from .records import left_open, records, without_quoted
 
 # Delimiters in the order in which they are tried.
 DELIMITERS = (",", ";", "\t")
@@ -23,7 +27,6 @@ MISSING_TEXTS = (
 )
 # Bytes that cp1252 leaves undefined.
 UNDEFINED_CP1252 = "[\\u0081\\u008D\\u008F\\u0090\\u009D]"
-RECORD = "__record"
 
 
 def detect_encoding(lines: DataFrame) -> str:
@@ -67,30 +70,38 @@ def _as_cp1252(c: Column) -> Column:
     return F.translate(c, "".join(a for a, _ in CP1252_ONLY), "".join(b for _, b in CP1252_ONLY))
 
 
-def _fields(line: str, sep: str) -> list[str]:
-    return next(csv.reader([line], delimiter=sep))
+def _fields(record: str, sep: str) -> list[str]:
+    return next(csv.reader(io.StringIO(record, newline=""), delimiter=sep))
 
 
-def _first_line(lines: DataFrame) -> bytes:
-    """The first line that is not blank, as it stands in the file."""
-    row = lines.where(F.length(F.trim("value")) > 0).select(F.col("value").cast("binary")).first()
-    if row is None:
-        raise TableError("the file has no header")
-    return bytes(row[0])
+def _opens(text: str, sep: str) -> bool:
+    """Whether a cell in quotes is open at the end of a text."""
+    plain = text.removeprefix("\ufeff").replace('""', "")
+    return re.search(f'(^|{sep})"', re.sub(f'(^|{sep})"[^"]*"', r"\1", plain)) is not None
 
 
-def _header(first: bytes, sep: str, encoding: str) -> list[str]:
-    return _fields(first.decode(encoding).lstrip("\ufeff"), sep)
-
-
-def _without_quoted(record: Column, sep: str) -> Column:
-    """The record without the cells in quotes; a quote opens a cell only at its beginning."""
-    plain = F.replace(F.regexp_replace(record, "^\ufeff", ""), F.lit('""'), F.lit(""))
-    return F.regexp_replace(plain, f'(?<=^|{sep})"[^"]*"', "")
+def _opening(lines: DataFrame, seps: Sequence[str]) -> dict[str, str]:
+    """Per delimiter the first record that is not blank, as ISO-8859-1 reads it, line breaks in quotes included."""
+    raw = lines.select(F.col("value").cast("binary"))
+    out: dict[str, str] = {}
+    taken = 1
+    while len(out) < len(seps):
+        found = [bytes(r[0]).decode("latin-1") for r in raw.take(taken)]
+        if len(found) < taken or any(x.strip() for x in found):
+            begin = next((i for i, x in enumerate(found) if x.strip()), None)
+            if begin is None:
+                raise TableError("the file has no header")
+            for d in seps:
+                ends = (n for n in range(begin + 1, len(found) + 1) if not _opens("\n".join(found[begin:n]), d))
+                end = next(ends, len(found) if len(found) < taken else None)
+                if end is not None:
+                    out.setdefault(d, "\n".join(found[begin:end]))
+        taken *= 8
+    return out
 
 
 def _cells(record: Column, sep: str) -> Column:
-    plain = _without_quoted(record, sep)
+    plain = without_quoted(record, sep)
     return F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
 
 
@@ -114,51 +125,50 @@ def detect_layout(
     open at the end of a line, records are counted instead of lines.  Records
     with more cells than the header are an error, as reading would lose them.
     """
+    return _layout_and_records(spark, path, sep, encoding, multi_line)[0]
+
+
+def _layout_and_records(
+    spark: SparkSession, path: str, sep: str | None, encoding: str | None, multi_line: bool
+) -> tuple[Layout, DataFrame | None]:
+    """The layout and, if cells hold line breaks, the records without the header."""
     lines = spark.read.text(path)
-    first = _first_line(lines)
     tried = [sep] if sep else list(DELIMITERS)
-    width = {d: len(_fields(first.decode("latin-1").removeprefix("\u00ef\u00bb\u00bf"), d)) for d in tried}
+    opening = _opening(lines, tried)
+    width = {d: len(_fields(opening[d].removeprefix("\u00ef\u00bb\u00bf"), d)) for d in tried}
     value = F.col("value")
     counts = list(_undecodable())
     for i, d in enumerate(tried):
         counts.append(F.count_if(_cells(value, d) > width[d]).alias(f"surplus{i}"))
-        counts.append(F.count_if(_without_quoted(value, d).rlike(f'(?<=^|{d})"')).alias(f"open{i}"))
+        counts.append(F.count_if(left_open(value, d)).alias(f"open{i}"))
     row = lines.agg(*counts).first()
     encoding = encoding or _encoding(row)
     problem = None
     for i, d in enumerate(tried):
         if width[d] == 1 and not (sep or d == tried[0] and max(width.values()) == 1):
             continue
-        header = _header(first, d, encoding)
-        broken = multi_line or row[f"open{i}"] > 0
-        surplus = _surplus_records(spark, path, d, encoding, len(header)) if broken else row[f"surplus{i}"]
+        header = _fields(opening[d].encode("latin-1").decode(encoding).removeprefix("\ufeff"), d)
+        found, surplus = None, row[f"surplus{i}"]
+        if multi_line or row[f"open{i}"]:
+            decoded = lines if encoding == "utf-8" else lines.withColumn("value", F.decode(value.cast("binary"), charset(encoding)))
+            found = records(decoded, d).where("NOT first").select("record")
+            surplus = found.where(_cells(F.col("record"), d) > len(header)).count()
         if not surplus:
-            return Layout(encoding, d, header, broken)
+            return Layout(encoding, d, header, found is not None), found
         problem = problem or f"{surplus} records have more than {len(header)} cells"
     raise TableError(problem)
 
 
-def _surplus_records(spark: SparkSession, path: str, sep: str, encoding: str, width: int) -> int:
-    """Records, line breaks inside quotes included, with more cells than the header.
+def _cells_of(found: DataFrame, header: Sequence[str], sep: str) -> DataFrame:
+    """The text columns of records."""
+    names = [f"c{i}" for i in range(len(header))]
+    schema = ", ".join(f"{n} string" for n in names)
+    cells = F.from_csv("record", schema, {"sep": sep, "quote": '"', "escape": '"'})
+    return found.select(cells.alias("cells")).select(*[F.col(f"cells.{n}").alias(h) for n, h in zip(names, header, strict=True)])
 
-    The reader is asked for one cell more and gives back the text of every
-    record with another number of cells; those are counted.
-    """
-    names = [f"c{i}" for i in range(width + 1)]
-    schema = ", ".join(f"{n} string" for n in [*names, RECORD])
-    records = _read(spark, path, schema, sep, encoding, True, columnNameOfCorruptRecord=RECORD)
-    # All columns are asked for, because the reader counts only the cells that are.
-    seen = records.select(F.struct(*names).alias("cells"), RECORD)
-    full = F.col(f"cells.c{width}").isNotNull()
-    many = F.coalesce(_cells(F.col(RECORD), sep) > width, F.lit(True))
-    return seen.where(full | many | F.col("cells").isNull()).count()
-
-
-def _read(spark: SparkSession, path: str, schema: str, sep: str, encoding: str, multi_line: bool, **options) -> DataFrame:
-    return spark.read.csv(
-        path, schema=schema, header=True, sep=sep, encoding=charset(encoding), quote='"', escape='"',
-        multiLine=multi_line, enforceSchema=True, **options,
-    )
+
+def _read(spark: SparkSession, path: str, schema: str, sep: str, encoding: str) -> DataFrame:
+    return spark.read.csv(path, schema=schema, header=True, sep=sep, encoding=charset(encoding), quote='"', escape='"', enforceSchema=True)
 
 
 def raw_header(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> list[str]:
@@ -190,7 +200,7 @@ def _present(c: Column) -> Column:
 def infer_types(df: DataFrame) -> DataFrame:
     """Turn text columns into bigint, double or boolean where every present cell fits.
 
-    One scan tests all columns and types.
+    A scan tests all types of ``COLUMNS_PER_SCAN`` columns.
     """
     names = df.columns
     tests = {
@@ -198,17 +208,18 @@ def infer_types(df: DataFrame) -> DataFrame:
         "double": lambda c: F.trim(c).try_cast("double").isNotNull() & ~F.trim(c).rlike("[dDfF]$"),
         "boolean": lambda c: F.lower(F.trim(c)).isin("true", "false"),
     }
-    checks = []
-    for i, n in enumerate(names):
-        c = _present(ref(n))
-        checks.append(F.count(c).alias(f"n{i}"))
-        checks += [F.count_if(c.isNotNull() & ~test(c)).alias(f"{t}{i}") for t, test in tests.items()]
-    row = df.agg(*checks).first()
     out = []
-    for i, n in enumerate(names):
-        c = _present(ref(n))
-        fits = [t for t in tests if row[f"n{i}"] and row[f"{t}{i}"] == 0]
-        out.append((F.trim(c).cast(fits[0]) if fits else c).alias(n))
+    for start in range(0, len(names), COLUMNS_PER_SCAN):
+        batch, checks = names[start : start + COLUMNS_PER_SCAN], []
+        for i, n in enumerate(batch):
+            c = _present(ref(n))
+            checks.append(F.count(c).alias(f"n{i}"))
+            checks += [F.count_if(c.isNotNull() & ~test(c)).alias(f"{t}{i}") for t, test in tests.items()]
+        row = df.agg(*checks).first()
+        for i, n in enumerate(batch):
+            c = _present(ref(n))
+            fits = [t for t in tests if row[f"n{i}"] and row[f"{t}{i}"] == 0]
+            out.append((F.trim(c).cast(fits[0]) if fits else c).alias(n))
     return df.select(*out)
 
 
@@ -224,18 +235,22 @@ def read_csv(
 
     Cells are read as text with the raw header as column names, missing texts
     become null, and types are inferred from all rows.  Line breaks inside
-    quotes are found (or announced by ``multi_line``); they make single files
-    unsplittable.  Records with fewer cells than the header end in nulls, those
-    with more are an error.
+    quotes are found (or announced by ``multi_line``); files with them are read
+    by many tasks too.  The text is judged once and parsed once: cells are
+    stored, and types inferred from what is stored.  Records with fewer cells
+    than the header end in nulls, those with more are an error.
     """
-    layout = detect_layout(spark, path, sep, encoding, multi_line)
+    layout, found = _layout_and_records(spark, path, sep, encoding, multi_line)
     check_header(layout.header)
-    schema = ", ".join(f"`{h.replace('`', '``')}` string" for h in layout.header)
-    df = _read(spark, path, schema, layout.sep, layout.encoding, layout.multi_line)
+    if found is None:
+        schema = ", ".join(f"`{h.replace('`', '``')}` string" for h in layout.header)
+        df = _read(spark, path, schema, layout.sep, layout.encoding)
+    else:
+        df = _cells_of(found, layout.header, layout.sep)
     if layout.encoding == "cp1252":
         df = df.select(*[_as_cp1252(ref(n)).alias(n) for n in df.columns])
     if infer:
-        return infer_types(df)
+        return infer_types(materialize(df, "csv-cells"))
     return df.select(*[_present(ref(n)).alias(n) for n in df.columns])
 
 
