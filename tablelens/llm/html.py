@@ -1,40 +1,59 @@
 """Main text of web pages by differencing them with the pages nearest by URL.
 
-A page becomes lines, one per block.  Equal pages of a host are collapsed, the
-others are numbered in the order of host and path, and each is paired with the
-nearest one before and after it that is no copy.  A longest common subsequence
-aligns the lines of a pair; lines that are shared belong to the site and are
-deleted.  If one of the two has no line of its own, it is a copy or an excerpt
-of the other and says nothing about the site; the page behind it is tried.
-
-Markup comes first where it is plain: scripts, styles, navigation, headers,
+A page becomes lines, one per block.  Scripts, styles, navigation, headers,
 footers, asides, forms, hidden parts and elements whose class or role says
-notice, advert, sidebar, menu or comment never become lines.  And where a page
-marks its article (an article or main element, or a class that says so), what
-is in there is the text: lines that two articles share are passages of theirs,
-not of the site, so differencing decides on unmarked pages only.
-
-Character references are decoded, white space in a block is one space, blocks
-are joined by one space.  Null html has the text "".  Pages without url are of
-one host and path.  Up to ``LOOK`` pages are tried on each side.  Partitions do
-not matter: pages meet by their number.  Repeated rows are copies.
+notice, advert, sidebar, menu or comment never become lines.
+
+Every page is paired with the nearest different pages of its host, up to two on
+each side in the order of their paths, and a longest common subsequence aligns
+its lines with theirs.  Markup says how much evidence a shared line needs:
+
+* On a page without a marked article (an article or main element, or a class
+  that says so) a line that two of the neighbours share (one, if there is only
+  one) belongs to the site and is deleted.
+* In a marked article, text stays: what articles share are passages of theirs.
+  A line that is nothing but links goes if two neighbours share it.
+* Lines outside of the marked article are the site's whatever neighbours say.
+
+A near copy says nothing about the site.  Lines that more than half of the
+pages of a host hold are set apart; pages are copies if half of what is left of
+one is aligned with the other's, or if one has no line of its own.  With less
+than four pages a host has no such majority: there, two pages are copies if
+they share four fifths of both, unless this is little text of a host of three.
+Runs of copies are collapsed to their first page before neighbours are looked
+for, so the nearest different page is found however long the run is.
+
+Lines are compared by 64-bit digests; texts do not move.  Equal pages of a host
+are one page.  Character references are decoded, white space in a block is one
+space, blocks are joined by one space.  Null html has the text "".  Pages
+without url are of one host and path.  Partitions change nothing but where runs
+of copies are cut.  Repeated rows are copies.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .common import fresh, materialize, parallelism, utf8
 
-# Distinct pages tried on each side, and pages that are aligned together.
-LOOK, TOGETHER = 64, 2048
+# Different pages on each side that a page is aligned with, distinct ones among which they are sought, pages aligned together.
+NEIGHBOURS, REACH, TOGETHER = 2, 4, 2048
+# How many neighbours have to share a line.
+EVIDENCE = 2
+# Share of characters from which two pages are copies: of what the host's majority leaves, and of the whole in hosts of few pages.
+COPY, COPY_OF_FEW, FEW, LITTLE = 0.5, 0.8, 4, 500
+# What a line is: outside of the marked article, text in it, nothing but links in it.
+OUTSIDE, ARTICLE_TEXT, ARTICLE_LINKS = 0, 1, 2
 
 # Elements by what they are.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
@@ -84,21 +103,32 @@ def _is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """The lines of a page outside of what markup drops, each with whether it is in the marked article."""
-    out: list[tuple[str, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """The lines of a page outside of what markup drops, each with what it is."""
+    out: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, dropped, in article
     text: list[str] = []
+    links = plain = 0  # open links, and pieces of text outside of links
 
     def flush() -> None:
+        nonlocal plain
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, bool(stack) and stack[-1][2]))
+            inside = bool(stack) and stack[-1][2]
+            out.append((line, OUTSIDE if not inside else ARTICLE_TEXT if plain else ARTICLE_LINKS))
         text.clear()
+        plain = 0
+
+    def add(piece: str) -> None:
+        nonlocal plain
+        text.append(piece)
+        plain += not links and not piece.isspace()
 
     def close(k: int) -> None:
         if any(t not in INLINE for t, _, _ in stack[k:]):
             flush()
+        nonlocal links
+        links -= sum(s[0] == "a" for s in stack[k:])
         del stack[k:]
 
     def close_last(tags: tuple[str, ...], until: frozenset[str]) -> None:
@@ -114,10 +144,10 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         m = _TAG.search(page, at)
         if not m:
             if not (stack and stack[-1][1]):
-                text.append(entities.unescape(page[at:]))
+                add(entities.unescape(page[at:]))
             break
         if m.start() > at and not (stack and stack[-1][1]):
-            text.append(entities.unescape(page[at : m.start()]))
+            add(entities.unescape(page[at : m.start()]))
         at = m.end()
         if not m[2]:
             continue
@@ -158,13 +188,14 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         marked = tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop", "").lower() == "articlebody"
         inside = not dropped and (inside or marked or any(n in ARTICLE for n in _names(attributes)))
         stack.append((tag, dropped, inside))
+        links += tag == "a"
     flush()
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def common_lines(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``, by bit-parallel dynamic programming."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for k, line in enumerate(a):
         where[line] = where.get(line, 0) | 1 << k
     full = (1 << len(a)) - 1
@@ -187,22 +218,61 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, bool]], neighbours: list[list[list[tuple[str, bool]]]]) -> str:
-    """The lines of the marked article; without one, the lines that no neighbour shares.
+@dataclass
+class Page:
+    """A page as digests of its lines, their lengths and kinds, and which ones the host's majority holds."""
+
+    host: str
+    lines: list[int]
+    sizes: list[int]
+    kinds: list[int]
+    common: frozenset[int]
+    pages: int
+
+    def weight(self, places: Collection[int] | None = None) -> int:
+        return sum(self.sizes) if places is None else sum(self.sizes[k] for k in places)
+
+    def own(self) -> list[int]:
+        return [k for k, line in enumerate(self.lines) if line not in self.common]
+
 
-    ``neighbours`` has the pages of each side, the nearest first; the first that is no copy counts.
-    """
-    if any(inside for _, inside in lines):
-        return " ".join(line for line, inside in lines if inside)
-    own = [line for line, _ in lines]
-    shared: set[int] = set()
-    for side in neighbours:
+def are_copies(a: Page, b: Page, shared: Collection[int]) -> bool:
+    """Whether pages of one host are near copies; ``shared``: the lines of ``a`` that are aligned with some of ``b``."""
+    if len(shared) >= min(len(a.lines), len(b.lines)):
+        return True
+    if a.pages < FEW:
+        both = a.weight(shared)
+        return both >= COPY_OF_FEW * max(a.weight(), b.weight()) and (a.pages == 2 or both >= LITTLE)
+    left, right = a.weight(a.own()), b.weight(b.own())
+    return a.weight([k for k in shared if a.lines[k] not in a.common]) >= COPY * min(left, right) > 0
+
+
+def deleted_lines(page: Page, sides: list[list[Page]]) -> list[int]:
+    """The lines that belong to the site, by the nearest different ones of the pages on each side, the nearest first."""
+    votes = np.zeros(len(page.lines), np.int64)
+    seen = 0
+    for side in sides:
+        found = 0
         for other in side:
-            found = common_lines(own, [line for line, _ in other])
-            if len(found) < min(len(own), len(other)):
-                shared |= found
+            if found == NEIGHBOURS or other.host != page.host:
                 break
-    return " ".join(line for k, line in enumerate(own) if k not in shared)
+            shared = common_lines(page.lines, other.lines)
+            if not are_copies(page, other, shared):
+                votes[list(shared)] += 1
+                found += 1
+        seen += found
+    if not seen:
+        return []
+    marked = any(k != OUTSIDE for k in page.kinds)
+    need = np.where(np.array(page.kinds) == ARTICLE_LINKS, EVIDENCE, min(EVIDENCE, seen))
+    able = np.array([k == (ARTICLE_LINKS if marked else OUTSIDE) for k in page.kinds], bool)
+    return np.flatnonzero(able & (votes >= need)).tolist()
+
+
+def main_text(lines: list[tuple[str, int]], deleted: Collection[int] = ()) -> str:
+    """The lines of the marked article, or of a page without one, but for those deleted."""
+    marked = any(kind for _, kind in lines)
+    return " ".join(line for k, (line, kind) in enumerate(lines) if (kind or not marked) and k not in deleted)
 
 
 def host_of(url: Column) -> Column:
@@ -213,106 +283,167 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def _parsed(raw: pa.Scalar) -> list[tuple[str, bool]]:
+def _parsed(raw: pa.Scalar) -> list[tuple[str, int]]:
     return lines_of(raw.as_py().decode("utf-8", "replace"))
 
 
-def _digest(lines: list[tuple[str, bool]]) -> str:
-    return hashlib.sha256("\n".join(line for line, _ in lines).encode("utf-8", "replace")).hexdigest()
+def _digests(lines: list[tuple[str, int]]) -> tuple[list[int], int]:
+    """A digest of each line, and one of the page: its lines and what they are."""
+    each = np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) for line, _ in lines], np.uint64).view(np.int64)
+    kinds = bytes(kind for _, kind in lines)
+    return each.tolist(), int(np.uint64(xxhash.xxh3_64_intdigest(each.tobytes() + kinds)).view(np.int64))
 
 
-_LINES = "host string, path string, digest string, lines array<string>, marked boolean"
+_SKETCH = "host string, path string, page long, lines array<long>, sizes array<int>, kinds array<int>"
 
 
-def _lines(placed: DataFrame, marked: bool) -> DataFrame:
-    """The pages (host, path, raw) with or without a marked article as lines."""
+def _sketches(placed: DataFrame) -> DataFrame:
+    """The pages (host, path, raw) with lines as ``_SKETCH``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for h, p, r in zip(*batch.columns, strict=True):
                 lines = _parsed(r)
-                if lines and any(inside for _, inside in lines) == marked:
-                    rows.append((h.as_py(), p.as_py(), _digest(lines), [line for line, _ in lines], marked))
-            if rows:
-                types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in _LINES.split(", ")])
+                if lines:
+                    each, page = _digests(lines)
+                    rows.append((h.as_py(), p.as_py(), page, each, [len(line) for line, _ in lines], [kind for _, kind in lines]))
+            types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _SKETCH.split(", ")])
+
+    return placed.mapInArrow(run, _SKETCH)
+
 
-    return placed.mapInArrow(run, _LINES)
+def _hosts(pages: DataFrame) -> DataFrame:
+    """(host, pages, common): how many distinct pages a host has, and the lines that more than half of them hold."""
+    size = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    held = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    # At most twice as many lines as a page of the host has on average.
+    many = held.join(size, "host").where(F.col("n") * 2 > F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("common"))
+    return size.join(many, "host", "left").select("host", "pages", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
 
 
-def _differenced(pages: DataFrame) -> DataFrame:
-    """(host, digest, text) of the unmarked ones of ``pages``, which have the columns of ``_LINES``."""
-    one = pages.groupBy("host", "digest").agg(F.min(F.struct("path", "lines")).alias("page"), F.min("marked").alias("marked"))
-    ordered = one.select("host", F.col("page.path").alias("path"), "digest", F.col("page.lines").alias("lines"), "marked")
-    ordered = ordered.repartitionByRange(parallelism(pages), "host", "path", "digest").sortWithinPartitions("host", "path", "digest")
+def _numbered(rows: DataFrame, by: list[str], into: str) -> DataFrame:
+    """``rows`` in order, with their number from 0; partitions are in order, and so are the rows of each."""
+    ordered = rows.repartitionByRange(parallelism(rows), *by).sortWithinPartitions(*by)
     ordered = materialize(ordered.withColumn("number", F.monotonically_increasing_id()), "ordered-pages")
     block, within = F.shiftright("number", 33), F.col("number").bitwiseAND(F.lit((1 << 33) - 1))
-    before, offset = 0, F.lit(0).cast("long")
-    for r in sorted(ordered.groupBy(block.alias("block")).count().collect()):  # one row per partition
-        offset = F.when(block == r["block"], F.lit(before).cast("long")).otherwise(offset)
-        before += r["count"]
-    group = lambda n: F.floor(n / TOGETHER)
-    placed = ordered.withColumn("at", offset + within).drop("number")
-    meeting = placed.withColumn("group", F.explode(F.array_distinct(F.array(*[group(F.col("at") + d) for d in (-LOOK, 0, LOOK)]))))
-    meeting = meeting.select("group", "at", "host", "digest", "lines", "marked")
-    meeting = meeting.repartition(parallelism(pages), "group").sortWithinPartitions("group", "at")
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    starts = ordered.groupBy(block.alias("block")).count().select("block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return ordered.withColumn("block", block).join(F.broadcast(starts), "block").withColumn(into, F.col("start") + within).drop("block", "number", "start")
+
+
+def _page(host: str, lines: list[int], sizes: list[int], kinds: list[int], common: list[int], pages: int) -> Page:
+    return Page(host, lines, sizes, kinds, frozenset(common), pages)
+
+
+_FIELDS = ["host", "lines", "sizes", "kinds", "common", "pages"]
+
+
+def _first_of_runs(ordered: DataFrame, at: str) -> DataFrame:
+    """(at): the pages that are no copies of the first page of the run before them; rows come in order of ``at``."""
+    placed = ordered.repartitionByRange(parallelism(ordered), at).sortWithinPartitions(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def texts(rows: list[tuple]) -> pa.RecordBatch:
-            out = []
-            for k, (g, at, host, digest, lines, marked) in enumerate(rows):
-                if marked or at // TOGETHER != g:
-                    continue
-                side = lambda places: (rows[j][4] for j in places if 0 <= j < len(rows) and rows[j][2] == host)  # noqa: B023, E731
-                out.append((host, digest, main_text(lines, [side(range(k - 1, k - LOOK - 1, -1)), side(range(k + 1, k + LOOK + 1))])))
-            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.string()) for c in range(3)], ["host", "digest", "text"])
+        first = None
+        for batch in batches:
+            kept = []
+            for number, *fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = _page(*fields)
+                if first is None or first.host != page.host or not are_copies(page, first, common_lines(page.lines, first.lines)):
+                    first = page
+                    kept.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], [at])
+
+    return placed.select(at, *_FIELDS).mapInArrow(run, f"{at} long")
+
+
+def differenced(pages: DataFrame) -> DataFrame:
+    """(host, page, deleted): the lines that belong to the site, of all distinct pages that have some; ``pages``: as ``_SKETCH``."""
+    one = pages.groupBy("host", "page").agg(F.min(F.struct("path", "lines", "sizes", "kinds")).alias("of"))
+    one = materialize(one.select("host", "page", "of.path", "of.lines", "of.sizes", "of.kinds"), "distinct-pages")
+    placed = materialize(_numbered(one.join(materialize(_hosts(one), "hosts"), "host"), ["host", "path", "page"], "at"), "numbered-pages")
+    firsts = materialize(_first_of_runs(placed, "at"), "first-of-runs")
+    # Where partitions cut a run, its parts meet in the second round.
+    firsts = materialize(_first_of_runs(placed.join(firsts, "at", "left_semi"), "at"), "first-of-runs")
+    group = F.floor(F.col("at") / TOGETHER)
+    kept = placed.select("at", "page", *_FIELDS).withColumn("group", group).withColumn("asked", F.lit(True))
+    kinds = materialize(_numbered(firsts, ["at"], "run").withColumn("group", group), "runs")
+    # The runs next to each group of pages, on both sides, from one row per group.
+    spans = kinds.groupBy("group").agg(F.min("run").alias("least"), F.max("run").alias("most"))
+    groups = kept.select("group").distinct().join(spans, "group", "left")
+    upto = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
+    groups = groups.withColumn("last", F.coalesce(F.max("most").over(upto), F.lit(-1)))
+    near = groups.select("group", F.explode(F.array_distinct(F.concat(
+        F.sequence(F.coalesce("least", F.col("last") + 1) - REACH - 1, F.coalesce("least", F.col("last") + 1) - 1),
+        F.sequence(F.col("last") + 1, F.col("last") + REACH),
+    ))).alias("run"))
+    outer = near.join(kinds.select("run", "at"), "run").select("group", "at").join(placed.select("at", "page", *_FIELDS), "at")
+    rows = kept.join(kinds.select("at", F.lit(True).alias("first")), "at", "left").select("group", "at", "page", *_FIELDS, "asked", F.coalesce("first", F.lit(False)).alias("first"))
+    outer = outer.select("group", "at", "page", *_FIELDS, F.lit(False).alias("asked"), F.lit(True).alias("first"))
+    meeting = rows.unionByName(outer).repartition(parallelism(pages), "group").sortWithinPartitions("group", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: list[tuple]) -> pa.RecordBatch:
+            firsts = [r[2] for r in rows if r[4]]
+            before, out = 0, []
+            for _, name, page, asked, first in rows:
+                before += first  # pages of runs up to and with this one's
+                if asked:
+                    earlier = firsts[max(0, before - 1 - REACH) : before][::-1]
+                    gone = deleted_lines(page, [earlier, firsts[before : before + REACH]])
+                    if gone:
+                        out.append((page.host, name, gone))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            types = (pa.string(), pa.int64(), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "deleted"])
 
         held: list[tuple] = []
         for batch in batches:
-            for g, at, h, d, lines, marked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, at, name, *fields, asked, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][0] != g:
-                    yield texts(held)
+                    yield found(held)
                     held = []
-                held.append((g, at, h, d, [(line, False) for line in lines], marked))
+                held.append((g, name, _page(*fields), asked, first))
         if held:
-            yield texts(held)
+            yield found(held)
 
-    return meeting.mapInArrow(run, "host string, digest string, text string")
+    return meeting.mapInArrow(run, "host string, page long, deleted array<int>")
 
 
 def extract(pages: DataFrame, into: str = "main_text", url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all but the html) of ``pages`` with the main text in ``into``."""
-    keep = [c for c in pages.columns if c != html_col] if keep is None else keep
-    host, key = (fresh(pages, n) for n in ("host", "page_key"))
+    keep = [c for c in pages.columns if c not in (html_col, into)] if keep is None else keep
+    host, key, lines = (fresh(pages, n) for n in ("page_host", "page_key", "page_lines"))
     url, raw = F.col(f"`{url_col}`"), utf8(F.col(f"`{html_col}`"))
     placed = pages.select(host_of(url).alias("host"), path_of(url).alias("path"), raw.alias("raw"))
-    unmarked = materialize(_lines(placed, False), "unmarked-pages")
-    plain = not unmarked.isEmpty()
+    gone = materialize(differenced(materialize(_sketches(placed), "page-lines")), "lines-of-sites")
     kept = [F.col(f"`{c}`") for c in keep]
     rows = pages.select(*kept, host_of(url).alias(host), raw.alias(key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = [], []
+            texts, keys, all_ = [], [], []
             for r in batch.column(len(keep) + 1):
-                lines = _parsed(r)
-                marked = not lines or any(inside for _, inside in lines)
-                texts.append(main_text(lines, []) if marked else None)
-                keys.append(None if marked else _digest(lines))
-            arrays = [*batch.columns[: len(keep) + 1], pa.array(keys, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, host, key, into])
-
-    out = rows.mapInArrow(run, rows.select(*kept, host).schema.add(key, "string").add(into, "string"))
-    if not plain:
-        return out.drop(host, key)
-    hosts = unmarked.select("host").distinct()
-    others = materialize(_lines(placed.join(hosts, "host", "left_semi").select("host", "path", "raw"), True), "marked-pages")
-    texts = _differenced(unmarked.union(others)).select(F.concat_ws(" ", "host", "digest").alias("found"), F.col("text").alias("differenced"))
-    # Marked pages have keys of their own, so they are dealt evenly.
-    name = F.when(F.col(key).isNull(), F.monotonically_increasing_id().cast("string")).otherwise(F.concat_ws(" ", host, key))
-    joined = out.withColumn(key, name).alias("o").join(texts.alias("t"), F.col(f"o.{key}") == F.col("t.found"), "left")
-    return joined.select(*[F.col(f"o.`{c}`") for c in keep], F.coalesce(F.col("t.differenced"), F.col(f"o.`{into}`")).alias(into))
+                found = _parsed(r)
+                marked = any(kind for _, kind in found)
+                open_ = any(kind == ARTICLE_LINKS for _, kind in found) if marked else bool(found)  # may lose lines
+                texts.append(main_text(found))
+                keys.append(_digests(found)[1] if open_ else None)
+                all_.append([line if kind or not marked else None for line, kind in found] if open_ else None)
+            arrays = [*batch.columns[: len(keep) + 1], pa.array(keys, pa.int64()), pa.array(all_, pa.list_(pa.string())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, host, key, lines, into])
+
+    out = rows.mapInArrow(run, rows.select(*kept, host).schema.add(key, "long").add(lines, ArrayType(StringType())).add(into, "string"))
+    # Pages that lose nothing have keys of their own, so they are dealt evenly.
+    out = out.withColumn(host, F.when(F.col(key).isNull(), F.monotonically_increasing_id().cast("string")).otherwise(F.col(host)))
+    o, g = out.alias("o"), gone.alias("g")
+    joined = o.join(g, (F.col(f"o.{key}") == F.col("g.page")) & (F.col(f"o.{host}") == F.col("g.host")), "left")
+    rest = F.filter(F.col(f"o.{lines}"), lambda x, k: x.isNotNull() & ~F.array_contains("g.deleted", k))
+    text = F.when(F.col("g.deleted").isNull(), F.col(f"o.`{into}`")).otherwise(F.array_join(rest, " "))
+    return joined.select(*[F.col(f"o.`{c}`") for c in keep], text.alias(into))
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -31,5 +31,4 @@ def test_partitions_do_not_matter(spark, monkeypatch):
 def _with(spark, monkeypatch, partitions, rows):
     monkeypatch.setattr(html, "parallelism", lambda df: partitions)
     monkeypatch.setattr(html, "TOGETHER", 4)
-    monkeypatch.setattr(html, "LOOK", 3)
     return dict(sorted(texts(spark, rows).items()))
