@@ -12,9 +12,9 @@ similarity of at least ``least`` (0.8).  Pairs are proposed in two rounds.
    which these are is counted about, as it decides on speed alone.  Each text
    is proposed with the hub (one per shingle and size) that it meets most often.
 3. Proposed pairs are confirmed on their whole sets and joined to components.
-   Of all texts that meet in a prefix shingle, those that are still in
-   different components, and that sizes and places in the order do not rule
-   out, are proposed in a last round and confirmed in the same way.
+   Of all texts that meet in prefix shingles, those that are still in different
+   components, and that sizes and the number of shared prefix shingles do not
+   rule out, are proposed in a last round and confirmed in the same way.
 
 A shingle in the prefixes of very many texts is divided into blocks of bounded
 size, each pair of blocks a group of its own.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, parallelism, utf8
@@ -143,7 +143,7 @@ def _counts(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 
 def prefixes(raws: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, least: float) -> DataFrame:
-    """(h, name, n, at): the prefix shingles of each text, once per task, its size, and the shingle's place in the order."""
+    """(h, name, n): the prefix shingles of each text, once per task, and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -163,11 +163,10 @@ def prefixes(raws: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int
             if not h:
                 continue
             sizes = [len(x) for x in h]
-            at = np.concatenate([np.arange(x) for x in sizes]).astype(np.int32)
-            arrays = [np.concatenate(h), np.repeat(np.array(names, np.int64), sizes), np.repeat(np.array(n, np.int32), sizes), at]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "name", "n", "at"])
+            arrays = [np.concatenate(h), np.repeat(np.array(names, np.int64), sizes), np.repeat(np.array(n, np.int32), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "name", "n"])
 
-    return raws.mapInArrow(run, "h long, name long, n int, at int")
+    return raws.mapInArrow(run, "h long, name long, n int")
 
 
 def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -195,91 +194,97 @@ def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _may_be_close(n: np.ndarray, at: np.ndarray, m, place, least: float) -> np.ndarray:
-    """Whether sets of ``n`` and ``m`` shingles can be similar if the shingle at these places is their first shared one."""
-    room = np.minimum(n - at, m - place)
-    return (np.minimum(n, m) >= least * np.maximum(n, m) - TINY) & (room >= least / (1 + least) * (n + m) - TINY)
+def _enough(shared_ones: Column, n: Column, m: Column, least: float) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles can be similar if their prefixes share so many.
+
+    Of the set whose prefix ends first in the order, no shingle behind the
+    prefix counts more than once, and all shared ones before are in both prefixes.
+    """
+    wanted = F.ceil(F.lit(least / (1 + least)) * (n + m) - TINY)
+    behind = F.ceil(F.lit(least) * F.greatest(n, m) - TINY) - 1
+    return shared_ones >= wanted - behind
 
 
 def shared(rows: DataFrame, least: float) -> DataFrame:
-    """(h, name, n, at, hub) of the shingles of two or more texts; the hub is the text to compare with, if there is one.
+    """(h, name, n, hub, hub_n) of the shingles of two or more texts; the hub is the text to compare with, if there is one.
 
     Texts of a shingle come in order of size, and a hub serves those that are not too large for it.
     """
     ordered = rows.repartition(parallelism(rows), "h").sortWithinPartitions("h", "n", "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, name, n, at in _by_shingle(batches):
+        for h, name, n in _by_shingle(batches):
             first = np.ones(len(h), bool)  # copies of a text are one
             first[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1])
-            h, name, n, at = h[first], name[first], n[first], at[first]
+            h, name, n = h[first], name[first], n[first]
             edge = np.append(True, h[1:] != h[:-1])
             alone = edge & np.append(edge[1:], True)
-            h, name, n, at, edge = h[~alone], name[~alone], n[~alone], at[~alone], edge[~alone]
+            h, name, n, edge = h[~alone], name[~alone], n[~alone], edge[~alone]
             hub = np.empty(len(h), np.int64)
             place = 0
             for k, (new, size) in enumerate(zip(edge.tolist(), n.tolist(), strict=True)):
                 if new or (k != place and limit < size):
                     place, limit = k, size / least + TINY
                 hub[k] = place
-            wanted = (hub != np.arange(len(h))) & _may_be_close(n, at, n[hub], at[hub], least)
-            arrays = [h, name, n, at, pa.array(name[hub], mask=~wanted)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "name", "n", "at", "hub"])
+            own = hub == np.arange(len(h))
+            arrays = [pa.array(h), pa.array(name), pa.array(n), pa.array(name[hub], mask=own), pa.array(n[hub], mask=own)]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "name", "n", "hub", "hub_n"])
 
-    return ordered.mapInArrow(run, "h long, name long, n int, at int, hub long")
+    return ordered.mapInArrow(run, "h long, name long, n int, hub long, hub_n int")
 
 
-def _across(name: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, side: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a group, in order of size, that may be similar and are in different components (and blocks, if there are two)."""
+def _across(name: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, n, m) of the pairs of a group, in order of size, of like sizes and in different components (and blocks, if there are two)."""
     kinds, kind, sizes = np.unique(root, return_inverse=True, return_counts=True)
-    if len(kinds) == 1:
-        return
-    most = np.argmax(sizes)
-    small = kind != most  # at least one text of each pair is in none but the largest component
+    small = kind != np.argmax(sizes)  # at least one text of each pair is not in the largest component
     two = (side != side[0]).any()
     lo = np.searchsorted(n, least * n - TINY)
     hi = np.searchsorted(n, n / least + TINY, side="right")
     for i in np.flatnonzero(small).tolist():
         rest = np.arange(lo[i], hi[i])
-        near = (kind[rest] != kind[i]) & (~small[rest] | (rest > i)) & _may_be_close(n[rest], at[rest], n[i], at[i], least)
+        near = (kind[rest] != kind[i]) & (~small[rest] | (rest > i))
         if two:
             near &= side[rest] != side[i]
         rest = rest[near]
         if len(rest):
-            yield np.full(len(rest), name[i]), name[rest]
+            yield np.full(len(rest), name[i]), name[rest], np.full(len(rest), n[i]), n[rest]
 
 
 def open_pairs(met: DataFrame, roots: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): names of texts that meet, may be similar and are in different components; ``roots``: (name, root)."""
-    rows = met.drop("hub").join(roots, "name")
+    """(a, b): names of texts in different components that share enough of their prefixes; ``roots``: (name, root)."""
+    rows = met.drop("hub", "hub_n").join(roots, "name")
     sizes = materialize(met.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > block), "frequent-shingles")
     blocks = F.ceil(F.col("texts") / block).cast("int")
     side = F.pmod(F.xxhash64("name"), blocks).cast("int")
     cell = lambda j: F.xxhash64("h", F.least("side", j), F.greatest("side", j))
     cells = F.when(F.col("texts").isNull(), F.array("h")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell))
     rows = rows.join(sizes, "h", "left").withColumn("side", F.coalesce(side, F.lit(0))).withColumn("blocks", blocks)
-    rows = rows.select(F.explode(cells).alias("cell"), "name", "n", "at", "root", "side")
+    rows = rows.select(F.explode(cells).alias("cell"), "name", "n", "root", "side")
     ordered = rows.repartition(parallelism(rows), "cell").sortWithinPartitions("cell", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, name, n, at, root, side in _by_shingle(batches):
+        def batch_of(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "n", "m"])
+
+        for h, name, n, root, side in _by_shingle(batches):
             begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             end = np.append(begin[1:], len(h))
-            mixed = np.add.reduceat(np.append(root[1:] != root[:-1], False).astype(np.int64), begin) > 0
-            a, b, held = [], [], 0
+            turn = np.append(0, np.cumsum((root[1:] != root[:-1]) & (h[1:] == h[:-1])))
+            mixed = turn[end - 1] > turn[begin]
+            found, held = [], 0
             for lo, hi in zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True):
-                for one, others in _across(name[lo:hi], n[lo:hi], at[lo:hi], root[lo:hi], side[lo:hi], least):
-                    a.append(one)
-                    b.append(others)
-                    held += len(one)
+                for pairs in _across(name[lo:hi], n[lo:hi], root[lo:hi], side[lo:hi], least):
+                    found.append(pairs)
+                    held += len(pairs[0])
                     if held > 1 << 18:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                        a, b, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                        yield batch_of(found)
+                        found, held = [], 0
+            if found:
+                yield batch_of(found)
 
-    found = ordered.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = ordered.mapInArrow(run, "a long, b long, n int, m int")
+    counted = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("both"), F.max(F.greatest("n", "m")).alias("n"), F.max(F.least("n", "m")).alias("m"))
+    return counted.where(_enough(F.col("both"), F.col("n"), F.col("m"), least)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, one: DataFrame, texts: DataFrame, size: int, least: float, most: int = TOGETHER) -> DataFrame:
@@ -318,7 +323,7 @@ def confirmed(pairs: DataFrame, one: DataFrame, texts: DataFrame, size: int, lea
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def _first_proposals(one: DataFrame, met: DataFrame, threshold: int) -> DataFrame:
+def _first_proposals(one: DataFrame, met: DataFrame, least: float, threshold: int) -> DataFrame:
     """(a, b): texts of equal or close fingerprints, along a forest, and each text with the hub that it meets most often."""
     prints = materialize(one.groupBy("fp").agg(F.min("name").alias("name")), "distinct-fingerprints")
     same = one.select("fp", F.col("name").alias("b")).join(prints.withColumnRenamed("name", "a"), "fp").where("a <> b").select("a", "b")
@@ -326,8 +331,9 @@ def _first_proposals(one: DataFrame, met: DataFrame, threshold: int) -> DataFram
     for c in "ab":
         near = near.join(prints.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")), c)
     near = near.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
-    often = met.where("hub IS NOT NULL").groupBy("name", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = often.groupBy("name").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("name").alias("a"), F.col("best.hub").alias("b"))
+    often = met.where("hub IS NOT NULL").groupBy("name", "hub").agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"), F.max("hub_n").alias("m"))
+    often = often.where(_enough(F.col("both"), F.col("n"), F.col("m"), least))
+    best = often.groupBy("name").agg(F.max(F.struct("both", "hub")).alias("best")).select(F.col("name").alias("a"), F.col("best.hub").alias("b"))
     both = same.union(near).union(best.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     # Each pair once, from its hub.
     ends = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
@@ -352,7 +358,7 @@ def drop_near_copies(
     names = one.select("name", F.col("node").alias("row"))
 
     met = materialize(shared(prefixes(texts.select("raw"), frequent_shingles(found, FREQUENT), size, least), least), "shared-shingles")
-    tried = materialize(_first_proposals(one, met, threshold), "first-pairs")
+    tried = materialize(_first_proposals(one, met, least, threshold), "first-pairs")
     confirmed_links = materialize(confirmed(tried, names, texts, size, least), "first-links")
     roots = one.join(components(confirmed_links), "node", "left").groupBy("name").agg(F.min(F.coalesce("root", "node")).alias("root"))
     left = open_pairs(met, materialize(roots, "first-roots"), least, block)
