@@ -24,6 +24,9 @@ SPAN = "struct<kind:string,start:int,end:int,value:string,score:double>"
 
 # Characters before and after a span in which context words count.
 BEFORE, AFTER = 48, 24
+# From this score on spans of added kinds are reported, and spans of all kinds redacted.
+ACCEPTED = 0.5
+AGAINST_BY = 0.3
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,8 @@ class Kind:
     pattern: str
     score: float
     words: tuple[str, ...]
+    against: tuple[str, ...]
+    up: float = 0.2
 
 
 # Characters of an account number by country, without spaces.
@@ -58,16 +63,16 @@ def _iban() -> str:
 
 # The base kinds in their order of output, then those that the method adds.
 BASE = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.8, ("mail", "contact", "write", "address")),
-    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", 0.6, ("ip", "host", "server", "address")),
-    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", 0.7, ("card", "visa", "mastercard", "amex", "payment", "credit", "debit")),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.7, ("phone", "tel", "call", "fax", "mobile", "whatsapp")),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.8, ("mail", "contact", "write", "address"), ()),
+    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", 0.6, ("ip", "host", "server", "address"), ("version", "release", "section", "chapter")),
+    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", 0.7, ("card", "visa", "mastercard", "amex", "payment", "credit", "debit"), ("order", "invoice", "tracking", "serial")),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.7, ("phone", "tel", "call", "fax", "mobile", "whatsapp"), ("order", "invoice", "tracking", "serial")),
 )
 ADDED = (
-    Kind("iban", _iban(), 0.9, ("iban", "account", "bank", "konto", "compte", "cuenta")),
-)
-# Words that speak against personal data.
-AGAINST = ("version", "example", "token", "order", "invoice")
+    Kind("iban", _iban(), 0.9, ("iban", "account", "bank", "konto", "compte", "cuenta"), ("serial", "tracking")),
+    Kind("secret", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}+(?![A-Za-z0-9])", 0.3, ("token", "secret", "key", "password", "passwd", "api", "auth", "bearer"),
+         ("commit", "sha", "hash", "digest", "md5", "checksum", "etag"), 0.4),
+)
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -139,6 +144,8 @@ def _valid(kind: str, text: Column, m: Column) -> Column:
         return luhn(value)
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
+    if kind == "secret":
+        return value.rlike("[0-9]") & value.rlike("[A-Fa-f]")
     if kind == "iban":
         before = F.when(m["start"] > 0, F.substr(text, m["start"], F.lit(1))).otherwise(F.lit(""))
         after = F.substr(text, m["start"] + F.length(value) + 1, F.lit(1))
@@ -156,15 +163,16 @@ def _score(kind: Kind, text: Column, m: Column) -> Column:
             F.substr(text, m["start"] + F.length(m["value"]) + 1, F.lit(AFTER)),
         )
     )
-    has = lambda words: near.rlike("(?:^|[^a-z])(?:" + "|".join(words) + ")")
-    up = F.when(has(kind.words), F.lit(0.2)).otherwise(F.lit(0.0))
-    down = F.when(has(AGAINST), F.lit(0.3)).otherwise(F.lit(0.0))
+    has = lambda words: near.rlike("(?:^|[^a-z])(?:" + "|".join(words) + ")") if words else F.lit(False)
+    up = F.when(has(kind.words), F.lit(kind.up)).otherwise(F.lit(0.0))
+    down = F.when(has(kind.against), F.lit(AGAINST_BY)).otherwise(F.lit(0.0))
     return F.round(F.lit(kind.score) + up - down, 2)
 
 
 def spans_of_kind(text: Column, kind: Kind) -> Column:
+    """The confirmed spans of a kind with their scores; of an added kind those that are accepted."""
     valid = F.filter(_matches(text, kind.pattern), lambda m: _valid(kind.name, text, m))
-    return F.transform(
+    scored = F.transform(
         valid,
         lambda m: F.struct(
             F.lit(kind.name).alias("kind"),
@@ -174,6 +182,7 @@ def spans_of_kind(text: Column, kind: Kind) -> Column:
             _score(kind, text, m).alias("score"),
         ),
     ).cast(f"array<{SPAN}>")
+    return F.filter(scored, lambda s: s["score"] >= ACCEPTED) if kind in ADDED else scored
 
 
 def find(df: DataFrame, text_col: str = "text", into: str = "pii", kinds: tuple[Kind, ...] = BASE + ADDED) -> DataFrame:
@@ -190,8 +199,13 @@ def digest_text(*arrays: Column) -> Column:
     )
 
 
+def score_text(*arrays: Column) -> Column:
+    """The spans' scores in hundredths, joined by commas."""
+    return F.array_join(F.transform(F.concat(*arrays), lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: counts of the base kinds and all spans."""
+    """One row per row of ``df``: counts of the base kinds, all spans, and their scores in hundredths."""
     rows = find(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     p = F.col("pii")
     return rows.select(
@@ -199,10 +213,11 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         *[F.size(p[k.name]).cast("bigint").alias(f"n_{k.name}") for k in BASE],
         F.sha2(digest_text(*[p[k.name] for k in BASE]), 256).alias("base_sha256"),
         digest_text(*[p[k.name] for k in BASE + ADDED]).alias("spans"),
+        score_text(*[p[k.name] for k in BASE + ADDED]).alias("scores"),
     )
 
 
-def redact(df: DataFrame, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", min_score: float = ACCEPTED) -> DataFrame:
     """``df`` with each span of at least ``min_score`` replaced by its kind in brackets.
 
     Overlapping spans become one replacement, named after the one that starts

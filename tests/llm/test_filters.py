@@ -32,6 +32,20 @@ def expected_spans(text):
     return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, text or "") if valid[k](m[0])]
 
 
+def expected_redactions(text):
+    """Places of the base spans and secrets whose context does not speak against them."""
+    found = [s.split(":") for s in expected_spans(text)]
+    found += [("secret", m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9])(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,64}(?![A-Za-z0-9])", text or "", re.I)]
+    out = []
+    for name, start, end in found:
+        kind = next(k for k in pii.BASE + pii.ADDED if k.name == name)
+        near = f"{text[max(0, int(start) - 48) : int(start)]} {text[int(end) : int(end) + 24]}".lower()
+        has = lambda words: any(re.search(f"(?:^|[^a-z]){w}", near) for w in words)  # noqa: B023, E731
+        if round(kind.score + kind.up * has(kind.words) - 0.3 * has(kind.against), 2) >= 0.5:
+            out.append((int(start), int(end)))
+    return out
+
+
 TEXTS = [
     None, "", "plain", "a@b.c_x@d.e", "x a.b@c-d.org, mail é me@host.example", "a@b..c d@e.f.",
     "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.0255", "4111 1111 1111 1111", "4111111111111112 4111-1111-1111-1111",
@@ -60,6 +74,26 @@ def test_pii_context_moves_the_score(documents):
     assert scores[1] > scores[3] > scores[2]
 
 
+def test_pii_context_changes_what_is_reported_and_redacted(documents):
+    digits = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    texts = [
+        f'token = "{digits}"', f"commit {digits}", digits, f"API_KEY {digits.upper()}!", f"token {digits}9", f"secret {digits * 2}", "key " + "1" * 40,
+        "order +1 234 567 890", "call about order +1 234 567 890", "version 10.0.0.1", "tracking 4111111111111111", "server version 10.0.0.1",
+    ]
+    docs = documents(list(enumerate(texts)))
+    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert rows[0].spans == "secret:9:49" and rows[0].scores == "70" and clean[0] == 'token = "[SECRET]"'
+    assert rows[3].scores == "70" and clean[3] == "API_KEY [SECRET]!"
+    for k in (1, 2, 5, 6):
+        assert rows[k].spans == rows[k].scores == "" and clean[k] == texts[k], k
+    assert (rows[4].spans, clean[4]) == ("secret:6:47", "token [SECRET]")
+    # Base spans stay in the report; against a low score the text stays.
+    assert [rows[k].scores for k in (7, 8, 9, 10, 11)] == ["40", "60", "30", "40", "50"]
+    assert [clean[k] for k in (7, 8, 9, 10, 11)] == [texts[7], "call about order [PHONE]", texts[9], texts[10], "server version [IP]"]
+    assert all(n == 1 for n in (rows[7].n_phone, rows[8].n_phone, rows[9].n_ip, rows[10].n_card))
+
+
 def test_redaction(documents):
     docs = documents([(1, "mail a@b.cd or 4111111111111111 now"), (2, None), (3, "clean"), (3, "clean")], extra="pii_spans")
     rows = sorted((r.doc_id, r.text) for r in pii.redact(docs).collect() if r.text)

@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 from compare import sf_dir
-from test_filters import brute_hits, expected_spans
+from test_filters import brute_hits, expected_redactions
 from test_near_copies import brute_kept
 
 from tablelens.llm import mixing, quality
@@ -30,8 +30,9 @@ def test_stages_follow_their_rules(spark):
     texts = {r.doc_id: r.text for r in before.collect()}
     assert set(after) == set(texts)
     for k, text in texts.items():
-        assert (after[k].text != text) == bool(expected_spans(text)) and after[k].n_chars == len(after[k].text)
-        assert not expected_spans(after[k].text)
+        assert (after[k].text != text) == bool(expected_redactions(text)) and after[k].n_chars == len(after[k].text)
+        assert not expected_redactions(after[k].text)
+    assert any("[SECRET]" in after[k].text for k in texts)
     before, after = seen["mixing sources to target weights"]
     assert set(after) == {r.doc_id for r in mixing.report(before).collect() if r.sampled}
 
