@@ -317,8 +317,9 @@ def _sketches(placed: DataFrame) -> DataFrame:
 
 def _hosts(pages: DataFrame) -> DataFrame:
     """(host, pages, common): how many distinct pages a host has, and the lines that more than half of them hold."""
-    size = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    size = materialize(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host-sizes")
     held = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    held = materialize(held.where("n > 1"), "repeated-lines")  # a page alone on its host has no neighbours
     # At most twice as many lines as a page of the host has on average.
     many = held.join(size, "host").where(F.col("n") * 2 > F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("common"))
     return size.join(many, "host", "left").select("host", "pages", F.coalesce("common", F.array().cast("array<long>")).alias("common"))

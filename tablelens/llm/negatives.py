@@ -253,6 +253,8 @@ def mine(
         for dim in np.unique(dims).tolist():
             at = np.flatnonzero(dims == dim)
             anchors.append(Block(block["id"].to_numpy()[at], block["label"].to_numpy()[at], _matrix(block["v"].combine_chunks(), at), scale))
+        if not anchors:
+            continue
         top = np.iinfo(np.int64).max
         sought = [Goals(np.arange(len(a)), np.full(len(a), _LEAST), np.full(len(a), top), True, positives) for a in anchors]
         near = _in_two_waves(ordered, limit, anchors, sought, positives, focus, bucket, scale).orderBy("dim", "goal", "rank").toArrow()
