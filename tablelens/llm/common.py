@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..session import materialize as _materialize
 from ..session import scratch_path
 
-__all__ = ["bound_batches", "fresh", "materialize", "map_batches", "parallelism", "read", "scratch_path", "utf8"]
+__all__ = ["bound_batches", "fresh", "join_counted", "materialize", "map_batches", "parallelism", "read", "scratch_path", "utf8"]
 
 
 # Bytes of the Arrow batches that tasks exchange with Python, whatever the length of the texts.
@@ -68,3 +68,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
                 yield from fn(batch)
 
     return df.mapInArrow(run, schema)
+
+
+# A key with more than one of so many parts of the rows is joined by broadcast.
+HOT_KEYS = 1_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined to ``table``, whose ``n`` tells at least how many rows have its key.
+
+    Keys with more than a ``HOT_KEYS``-th of all rows, of which there are fewer
+    than that, are broadcast; so no task of the shuffle holds one of them.
+    """
+    hot = F.broadcast(table.where(F.col("n") * HOT_KEYS > total))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col("n") * HOT_KEYS <= total), keys)
+    return rows.join(hot, keys).unionByName(cold)

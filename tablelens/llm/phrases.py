@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, materialize, parallelism, utf8
+from .common import fresh, join_counted, map_batches, materialize, parallelism, utf8
 
 LENGTH = 35
 GRAM = 8
@@ -41,8 +41,6 @@ GRAM = 8
 CHUNK = 1_000_000
 # Windows that one automaton is compiled from, and kinds that one task streams of an anchor.
 PHRASES, PIECES = 20_000, 20_000
-# A key with more than this share of the rows is joined by broadcast; there are at most so many such keys.
-HOT_KEYS = 1_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -152,17 +150,6 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return map_batches(texts.select("key", "raw"), run, _PIECE)
 
 
-def _join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """``rows`` joined to ``table``, whose ``n`` tells at least how many rows have its key.
-
-    Keys with more than a ``HOT_KEYS``-th of all rows, of which there are fewer
-    than that, are broadcast; so no task of the shuffle holds one of them.
-    """
-    hot = F.broadcast(table.where(F.col("n") * HOT_KEYS > total))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col("n") * HOT_KEYS <= total), keys)
-    return rows.join(hot, keys).unionByName(cold)
-
-
 def _cut_out(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(kind, raw): the words of the pieces that ``wanted`` lists per key, joined by one space; now and then twice."""
 
@@ -308,13 +295,13 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most_phras
     found = materialize(anchored(texts, length, gram), "phrase-pieces")
     total = found.count()
     shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-anchors")
-    places = _join_counted(found, shared, ["anchor"], total).groupBy("key", "start", "windows", "anchor", "piece").agg(F.count(F.lit(1)).alias("n"))
+    places = join_counted(found, shared, ["anchor"], total).groupBy("key", "start", "windows", "anchor", "piece").agg(F.count(F.lit(1)).alias("n"))
     places = materialize(places, "phrase-places")
     kinds = places.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.max("windows").alias("windows"), F.min(F.struct("key", "start")).alias("at"))
     kinds = materialize(kinds.withColumn("kind", F.monotonically_increasing_id()), "phrase-kinds")
     per_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.sum("windows").alias("load"), F.sum("n").alias("n"))
     per_anchor = materialize(per_anchor, "phrase-anchors")
-    sized = _join_counted(kinds.withColumnRenamed("n", "times"), per_anchor, ["anchor"], total)
+    sized = join_counted(kinds.withColumnRenamed("n", "times"), per_anchor, ["anchor"], total)
     sized = sized.select("kind", "anchor", F.col("times").alias("n"), "kinds", "load", F.expr("kinds > 1 AND least = 1").alias("open"))
     wanted = kinds.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("kind", F.col("at.start").alias("start"), "windows")).alias("pieces"))
     pieces = materialize(sized.join(_cut_out(texts, materialize(wanted, "wanted-pieces"), length), "kind"), "piece-words")
@@ -324,7 +311,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most_phras
     hits = materialize(hits, "phrase-hits")
     spans = materialize(kinds.join(hits, "kind").select("anchor", "piece", "n", "spans"), "piece-spans")
     moved = F.transform("spans", lambda s: F.struct((F.col("start") + s["begin"]).alias("begin"), (F.col("start") + s["end"]).alias("end")))
-    back = _join_counted(places.drop("n"), spans, ["anchor", "piece"], total)
+    back = join_counted(places.drop("n"), spans, ["anchor", "piece"], total)
     return back.select("key", moved.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, parallelism, utf8
+from .common import fresh, join_counted, map_batches, materialize, parallelism, utf8
 
 LENGTH = 200
 GRAM = 32
@@ -302,21 +302,23 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
 
 def repeats(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(key, spans) of the texts (key, raw) with repeats; spans may overlap.  A key stands for one content."""
-    found = anchored(texts, length)
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    places = found.join(shared, "anchor").groupBy("key", "start", "windows", "anchor", "segment").agg(F.count(F.lit(1)).alias("n"))
+    found = materialize(anchored(texts, length), "segments-found")
+    total = found.count()
+    shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-anchors")
+    places = join_counted(found, shared, ["anchor"], total).groupBy("key", "start", "windows", "anchor", "segment").agg(F.count(F.lit(1)).alias("n"))
     places = materialize(places, "places")
     kinds = places.groupBy("anchor", "segment").agg(
         F.sum("n").alias("n"), F.max("windows").alias("windows"), F.min(F.struct("key", "start")).alias("at")
     )
     kinds = materialize(kinds, "segments")
-    per_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    open_anchors = per_anchor.where("kinds > 1 AND least = 1").select("anchor", (F.col("kinds") > hot).alias("hot"))
+    per_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.sum("n").alias("n"))
+    open_anchors = materialize(per_anchor.where("kinds > 1 AND least = 1").select("anchor", (F.col("kinds") > hot).alias("hot"), "n"), "open-anchors")
     wanted = (
-        kinds.join(open_anchors, "anchor")
+        join_counted(kinds.drop("n"), open_anchors, ["anchor"], total)
         .groupBy(F.col("at.key").alias("key"))
         .agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "windows", "anchor", "segment", "hot")).alias("wanted"))
     )
+    wanted = materialize(wanted, "wanted-segments")
     cut = (
         texts.join(wanted, "key")
         .select("raw", F.explode("wanted").alias("w"))
@@ -324,17 +326,17 @@ def repeats(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     )
     cut = materialize(cut, "cut")
     whole = kinds.where("n > 1").select(
-        "anchor", "segment", F.array(F.struct(F.lit(0).alias("begin"), (F.col("windows") + length - 1).cast("int").alias("end"))).alias("spans")
+        "anchor", "segment", "n", F.array(F.struct(F.lit(0).alias("begin"), (F.col("windows") + length - 1).cast("int").alias("end"))).alias("spans")
     )
     pieces = cut.where("NOT hot").select("anchor", "segment", "raw")
     parts = _compared(pieces, length)
     if not cut.where("hot").isEmpty():
         parts = parts.union(_counted(cut.where("hot").select("anchor", "segment", "raw"), length))
-    single = kinds.where("n = 1").select("anchor", "segment")
-    spans = whole.union(parts.join(single, ["anchor", "segment"]).select("anchor", "segment", "spans"))
+    single = kinds.where("n = 1").select("anchor", "segment", "n")
+    spans = materialize(whole.union(parts.join(single, ["anchor", "segment"]).select("anchor", "segment", "n", "spans")), "segment-spans")
     moved = F.transform("spans", lambda s: F.struct((F.col("start") + s["begin"]).alias("begin"), (F.col("start") + s["end"]).alias("end")))
     return (
-        places.join(spans, ["anchor", "segment"])
+        join_counted(places.drop("n"), spans, ["anchor", "segment"], total)
         .select("key", moved.alias("spans"))
         .groupBy("key")
         .agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -348,9 +350,9 @@ def remove(docs: DataFrame, into: str, text_col: str = "text", length: int = LEN
     """``docs`` with ``into``: struct of n_bytes, n_removed, n_spans and kept, the bytes that remain."""
     raw = utf8(F.col(f"`{text_col}`"))
     key = F.unhex(F.md5(raw))
-    found = repeats(docs.select(key.alias("key"), raw.alias("raw")), length, hot).select(
-        F.col("key").alias(f"{into}_key"), F.col("spans").alias(f"{into}_spans")
-    )
+    k, k2, s = (fresh(docs, name) for name in ("text_key", "repeat_key", "repeat_spans"))
+    found = repeats(docs.select(key.alias("key"), raw.alias("raw")), length, hot)
+    found = materialize(found.select(F.col("key").alias(k2), F.col("spans").alias(s)), "repeated-bytes")
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for raws, spans in batches:
@@ -370,8 +372,8 @@ def remove(docs: DataFrame, into: str, text_col: str = "text", length: int = LEN
             yield pa.array(out, _CUT)
 
     cutter = F.arrow_udf(cut, "struct<n_removed:bigint,n_spans:bigint,kept:binary>")
-    joined = docs.withColumn(f"{into}_k", key).join(found, F.col(f"{into}_k") == F.col(f"{into}_key"), "left")
-    return joined.withColumn(into, cutter(raw, F.col(f"{into}_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns], into)
+    joined = docs.withColumn(k, key).join(found, F.col(k) == F.col(k2), "left")
+    return joined.withColumn(into, cutter(raw, F.col(s))).select(*[F.col(f"`{c}`") for c in docs.columns if c != into], into)
 
 
 def report(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
