@@ -28,7 +28,7 @@ documents.  An empty table gives an empty one.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ LISTED, FREQUENT = 4_096, 1 << 17
 BLOCK, HELD = 5_000, 1 << 20
 # Texts that one task compares with a text.
 TOGETHER = 2_000
+# Bits of the filter that keeps texts that nobody asks for in their place: 2 MB.
+FILTER_BITS = 1 << 24
 # Guards products of sizes and ``least`` against rounding.
 TINY = 1e-9
 
@@ -287,6 +289,25 @@ def open_pairs(met: DataFrame, roots: DataFrame, least: float, block: int = BLOC
     return counted.where(_enough(F.col("both"), F.col("n"), F.col("m"), least)).select("a", "b")
 
 
+def _maybe_in(wanted: DataFrame) -> Callable[[str], Column]:
+    """A test that all rows of ``wanted`` pass, and few others while these are fewer than ``FILTER_BITS``, so that other texts need not move."""
+    bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = wanted.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["mask"].to_numpy()
+    packed = bits.tobytes()
+
+    def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = np.frombuffer(packed, np.int64)
+        for places in batches:
+            at = places.to_numpy()
+            yield pa.array(known[at >> 6] >> (at & 63) & 1 > 0)
+
+    hit = F.arrow_udf(test, "boolean")
+    return lambda c: hit(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)))
+
+
 def confirmed(pairs: DataFrame, one: DataFrame, texts: DataFrame, size: int, least: float, most: int = TOGETHER) -> DataFrame:
     """The pairs (a, b) of names whose sets are similar, as rows; ``one``: (name, row) of each text, ``texts``: (row, raw).
 
@@ -297,7 +318,7 @@ def confirmed(pairs: DataFrame, one: DataFrame, texts: DataFrame, size: int, lea
     hubs = tasks.select(F.col("a").alias("name"), "a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("side"))
     others = pairs.join(tasks, "a").select(F.col("b").alias("name"), "a", F.pmod("b", "tasks").cast("int").alias("task"), F.lit(1).alias("side"))
     wanted = materialize(hubs.union(others).join(one, "name").select("row", F.xxhash64("a", "task").alias("place"), "a", "side"), "wanted-texts")
-    placed = texts.join(wanted, "row").select("place", "a", "side", "row", "raw")
+    placed = texts.where(_maybe_in(wanted)("row")).join(wanted, "row").select("place", "a", "side", "row", "raw")
     placed = placed.repartition(parallelism(texts), "place").sortWithinPartitions("place", "a", "side", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +351,8 @@ def _first_proposals(one: DataFrame, met: DataFrame, least: float, threshold: in
     near = links(prints.select("fp"), threshold)
     for c in "ab":
         near = near.join(prints.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")), c)
-    near = near.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+    # One link of each text, to the smallest of its neighbours: as many pairs as texts, however dense a group is.
+    near = near.groupBy(F.greatest("name_a", "name_b").alias("b")).agg(F.min(F.least("name_a", "name_b")).alias("a")).select("a", "b")
     often = met.where("hub IS NOT NULL").groupBy("name", "hub").agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"), F.max("hub_n").alias("m"))
     often = often.where(_enough(F.col("both"), F.col("n"), F.col("m"), least))
     best = often.groupBy("name").agg(F.max(F.struct("both", "hub")).alias("best")).select(F.col("name").alias("a"), F.col("best.hub").alias("b"))
