@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running_totals
+from ..session import materialize
 
 # Fixed value: smallest divisor of the percentage error.
 EPSILON = 2.220446049250313e-16
+# Classes up to which the confusion matrix has a row for every pair.
+DENSE_CLASSES = 500
 
 
 def _confusion(pred: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -48,8 +51,11 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 
 
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """The dense confusion matrix as rows, zero cells included."""
-    cells = _confusion(pred, label, prediction)
+    """The confusion matrix as rows, zero cells included; beyond ``DENSE_CLASSES`` classes only the cells that occur."""
+    cells = materialize(_confusion(pred, label, prediction), "confusion")
+    labels, guesses = cells.agg(F.count_distinct("label"), F.count_distinct("prediction")).first()
+    if max(labels, guesses) > DENSE_CLASSES:
+        return cells.select("label", "prediction", "count")
     classes = cells.select(F.explode(F.array("label", "prediction")).alias("class"))
     # All classes as one array, unfolded twice: classes squared, not rows.
     grid = classes.agg(F.sort_array(F.collect_set("class")).alias("classes"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
+from typing import TypeVar
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -17,15 +21,18 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import TableError
 from ..functions.columns import is_missing, ref
 from ..operators.frequency import literal_rows
+from ..session import materialize
 from . import evaluate, prepare
 from .split import split, with_folds
 
+T = TypeVar("T")
+
 # Candidates per problem, in the order in which they compete.
 CANDIDATES = {
     "classification": ("random_forest", "logistic_regression", "gradient_boosting"),
@@ -92,22 +99,34 @@ def labelled(df: DataFrame, target: str, problem: str) -> tuple[DataFrame, list[
     return indexer.transform(named).drop("__class"), list(indexer.labels)
 
 
+# Models that are fitted at the same time.
+AT_ONCE = 4
+
+
+def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], T]]) -> list[T]:
+    """The jobs' results, in order; Spark shares its tasks out between them."""
+    with ThreadPoolExecutor(max_workers=max(1, min(AT_ONCE, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 def cross_validate(
     df: DataFrame, roles: prepare.Features, name: str, problem: str, folds: int = 3, seed: int = 42,
-    key: Sequence[str] | None = None, **settings,
+    key: Sequence[str] | None = None, fold_col: str | None = None, **settings,
 ) -> list[float]:
-    """Score per fold; preparation and model are fitted on the other folds only."""
-    marked = with_folds(df, folds, seed, key).persist()
-    try:
-        scores = []
-        for k in range(folds):
-            train, held = marked.where(F.col("fold") != k), marked.where(F.col("fold") == k)
-            preparation = prepare.fit_preparation(train, roles)
-            model = candidate(name, problem, seed, **settings).fit(preparation.transform(train))
-            scores.append(validation_score(model.transform(preparation.transform(held)), problem))
-        return scores
-    finally:
-        marked.unpersist()
+    """Score per fold; preparation and model are fitted on the other folds only, all folds at the same time.
+
+    ``fold_col`` has the fold (from 0) of each row where it is given beforehand.
+    """
+    marked = with_folds(df, folds, seed, key) if fold_col is None else df.withColumn("fold", ref(fold_col))
+    marked = materialize(marked, "folds")
+
+    def scored(k: int) -> float:
+        train, held = marked.where(F.col("fold") != k), marked.where(F.col("fold") == k)
+        preparation = prepare.fit_preparation(train, roles)
+        model = candidate(name, problem, seed, **settings).fit(preparation.transform(train))
+        return validation_score(model.transform(preparation.transform(held)), problem)
+
+    return in_parallel(df.sparkSession, [partial(scored, k) for k in range(folds)])
 
 
 def _weights(model) -> np.ndarray | None:
@@ -150,6 +169,10 @@ class Champion:
     importances: DataFrame
     training_rows: int
     testing_rows: int
+    # Of classes, by name: precision and so on, the confusion matrix, and how often each is predicted.
+    report: DataFrame | None = None
+    confusion: DataFrame | None = None
+    distribution: DataFrame | None = None
 
 
 def train_champion(
@@ -168,7 +191,8 @@ def train_champion(
     """Fit every candidate on 80 % of the rows, keep the best on the rest, refit it on all.
 
     The first candidate wins ties.  With ``cv`` the mean of three folds of the
-    training rows decides instead of the test score.
+    training rows decides instead of the test score.  Prepared rows are stored
+    once; the candidates are fitted on them at the same time.
     """
     spark = df.sparkSession
     if target not in df.columns:
@@ -186,31 +210,24 @@ def train_champion(
     columns = list(dict.fromkeys([*roles.raw, "label", *(key or [])]))
     rows = rows.select(*[ref(c) for c in columns])
     train, test = split(rows, 0.2, seed, "label" if problem == "classification" else None, key or df_key(roles))
-    train, test = train.persist(), test.persist()
-    try:
-        n_train, n_test = train.count(), test.count()
-        settings = {"classes": max(len(labels), 2), "rows": n_train, "trees": trees, "rounds": rounds, "depth": depth}
-        preparation = prepare.fit_preparation(train, roles)
-        seen, unseen = preparation.transform(train).persist(), preparation.transform(test).persist()
-        board, best, measures = [], None, {}
-        for name in names:
-            model = candidate(name, problem, seed, **settings).fit(seen)
-            pred = model.transform(unseen)
-            measures[name] = _measure(pred, problem, len(labels))
-            if cv:
-                score = float(np.mean(cross_validate(train, roles, name, problem, 3, seed, key, **settings)))
-            else:
-                score = measures[name]["f1" if problem == "classification" else "r2"]
-            board.append({"algorithm": name, "score": score})
-            if best is None or score > best[1]:
-                best = (name, score)
-        seen.unpersist()
-        unseen.unpersist()
-    finally:
-        train.unpersist()
-        test.unpersist()
-
-    name, score = best
+    train, test = materialize(train, "training-rows"), materialize(test, "test-rows")
+    n_train, n_test = train.count(), test.count()
+    settings = {"classes": max(len(labels), 2), "rows": n_train, "trees": trees, "rounds": rounds, "depth": depth}
+    preparation = prepare.fit_preparation(train, roles)
+    seen, unseen = (materialize(preparation.transform(x).select("features", "label"), "prepared-rows") for x in (train, test))
+
+    def tried(name: str) -> tuple[DataFrame, dict, float]:
+        pred = candidate(name, problem, seed, **settings).fit(seen).transform(unseen)
+        measured = _measure(pred, problem, len(labels))
+        if cv:
+            return pred, measured, float(np.mean(cross_validate(train, roles, name, problem, 3, seed, key, **settings)))
+        return pred, measured, measured["f1" if problem == "classification" else "r2"]
+
+    results = dict(zip(names, in_parallel(spark, [partial(tried, name) for name in names]), strict=True))
+    board = [{"algorithm": name, "score": results[name][2]} for name in names]
+    name = max(names, key=lambda n: results[n][2])  # the first of the best
+    pred, measured, score = results[name]
+
     preparation = prepare.fit_preparation(rows, roles)
     final = candidate(name, problem, seed, **{**settings, "rows": n_train + n_test}).fit(preparation.transform(rows))
     stages = [*preparation.stages, final]
@@ -225,15 +242,26 @@ def train_champion(
         score=score,
         roles=roles,
         metrics=literal_rows(
-            spark, [{"metric": m, "value": v} for m, v in measures[name].items()], "metric string, value double"
+            spark, [{"metric": m, "value": v} for m, v in measured.items()], "metric string, value double"
         ),
         leaderboard=literal_rows(spark, board, "algorithm string, score double"),
         importances=importances(model, roles, spark),
         training_rows=n_train,
         testing_rows=n_test,
+        **_class_tables(pred, labels),
     )
 
 
+def _class_tables(pred: DataFrame, labels: Sequence[str]) -> dict[str, DataFrame]:
+    """Report, confusion matrix and distribution of predicted classes with the classes' names."""
+    if not labels:
+        return {}
+    named = F.array(*[F.lit(x) for x in labels])
+    told = materialize(pred.select(*[named[F.col(c).cast("int")].alias(c) for c in ("label", "prediction")]), "predictions")
+    tables = {"report": evaluate.class_report(told), "confusion": evaluate.confusion(told), "distribution": evaluate.class_distribution(told)}
+    return {k: materialize(v, k) for k, v in tables.items()}
+
+
 def df_key(roles: prepare.Features) -> list[str]:
     """Without a key, rows are told apart by features and label."""
     return [*roles.raw, "label"]
