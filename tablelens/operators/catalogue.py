@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .pages import Order, page_of
 
 # Lengths of the dashboard lists, defaults for missing parts.
 CHART_ROWS = 10
@@ -35,17 +36,14 @@ def owned(df: DataFrame, user_id: str) -> DataFrame:
     return df.where(F.col("user_id") == user_id)
 
 
-def _direction(c: Column, direction: str) -> Column:
-    return c.desc() if direction == "desc" else c.asc()
-
-
-def _ordering(sort: str | None, allowed: Sequence[str], key: str) -> list[Column]:
+def _ordering(sort: str | None, allowed: Sequence[str], key: str) -> list[Order]:
     """Columns of ``name:asc|desc``; newest first without one, any order for unknown names."""
+    down = lambda name: Order(F.col(name), descending=True, nulls_first=False)
     if not sort:
-        return [F.col("created_at").desc(), F.col(key).asc()]
+        return [down("created_at"), Order(F.col(key))]
     name, _, direction = sort.partition(":")
-    chosen = [_direction(F.col(name), direction)] if name in allowed else []
-    return [*chosen, F.col(key).asc()]
+    chosen = [down(name) if direction == "desc" else Order(F.col(name))] if name in allowed else []
+    return [*chosen, Order(F.col(key))]
 
 
 def list_datasets(
@@ -72,7 +70,7 @@ def list_datasets(
         now = versions.where(F.col("is_current") & (F.col("status") == status)).select("dataset_id")
         df = df.join(now, "dataset_id", "left_semi")
     order = _ordering(sort, ("dataset_name", "created_at"), "dataset_id")
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    return page_of(df, order, page, size)
 
 
 def list_reports(
@@ -106,7 +104,7 @@ def list_reports(
         df = df.where(F.col("created_at") <= F.lit(before))
     df = df.join(mine.select("dataset_id", "dataset_name"), "dataset_id")
     order = _ordering(sort, ("created_at", "file_size", "report_type", "status"), "report_id")
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    return page_of(df, order, page, size)
 
 
 def _per_dataset(versions: DataFrame) -> DataFrame:

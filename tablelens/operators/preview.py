@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_float, ref, value_of
+from .pages import Order, page_after, page_of
 
 PREVIEW_ROWS = 100
 
@@ -21,7 +22,7 @@ def filter_any(df: DataFrame, pattern: str) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, tests))
 
 
-def sort_order(df: DataFrame, sort: str | None, order_by: Sequence[str] = ()) -> list[Column]:
+def row_order(df: DataFrame, sort: str | None, order_by: Sequence[str] = ()) -> list[Order]:
     """``column:asc|desc`` with missing values last either way, then the tie-break keys.
 
     A column that does not exist is ignored.
@@ -30,9 +31,12 @@ def sort_order(df: DataFrame, sort: str | None, order_by: Sequence[str] = ()) ->
     if sort:
         name, _, direction = sort.partition(":")
         if name in df.columns:
-            c = value_of(df, name)
-            order.append(c.desc_nulls_last() if direction.lower() == "desc" else c.asc_nulls_last())
-    return order + [ref(c).asc() for c in order_by]
+            order.append(Order(value_of(df, name), direction.lower() == "desc", nulls_first=False))
+    return order + [Order(ref(c)) for c in order_by]
+
+
+def sort_order(df: DataFrame, sort: str | None, order_by: Sequence[str] = ()) -> list[Column]:
+    return [o.sorted() for o in row_order(df, sort, order_by)]
 
 
 def sort_by(df: DataFrame, sort: str | None, order_by: Sequence[str] = ()) -> DataFrame:
@@ -41,8 +45,16 @@ def sort_by(df: DataFrame, sort: str | None, order_by: Sequence[str] = ()) -> Da
 
 
 def page(df: DataFrame, page: int, size: int, order_by: Sequence[str], sort: str | None = None) -> DataFrame:
-    """One page of the ordered table; pages count from 1."""
-    return df.orderBy(*sort_order(df, sort, order_by)).offset((page - 1) * size).limit(size)
+    """One page of the ordered table; pages count from 1.
+
+    Pages far back are found by counting, not by ordering what lies before them.
+    """
+    return page_of(df, row_order(df, sort, order_by), page, size)
+
+
+def next_page(df: DataFrame, last: Sequence, size: int, order_by: Sequence[str], sort: str | None = None) -> DataFrame:
+    """The page behind one whose last row has these values of the sort column, if there is one, and of ``order_by``."""
+    return page_after(df, row_order(df, sort, order_by), last, size)
 
 
 def page_totals(df: DataFrame) -> DataFrame:
