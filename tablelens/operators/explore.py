@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -145,30 +146,63 @@ def skew_flag(statistics: DataFrame, limit: float = SKEW_LIMIT) -> DataFrame:
     return statistics.withColumn("is_skewed", F.coalesce(F.abs("skewness") > limit, F.lit(False)))
 
 
-def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width bins with their edges and counts, empty bins included.
+# Bins of values below and above all finite ones.
+BELOW, ABOVE = -1, 1_000_000
+
+
+def histograms(df: DataFrame, columns: Sequence[str] | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """Equal-width bins of the finite values of numeric columns with their edges and counts, empty bins included.
 
+    One scan finds the ends of all columns, a second one counts the bins of all.
     The last bin is closed on the right; a constant column gets a range of one
-    around its value.
+    around its value, a column without finite values no bins.  Infinities are
+    counted apart, in the bins ``BELOW`` and ``ABOVE`` where there are any.
     """
-    require_columns(df, [column])
-    x = value_of(df, column).cast("double")
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    if ends["lo"] is None:
-        return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, count bigint")
-    lo, hi = (ends["lo"], ends["hi"]) if ends["lo"] < ends["hi"] else (ends["lo"] - 0.5, ends["hi"] + 0.5)
-    width = (hi - lo) / bins
-    place = F.least(F.floor((x - lo) / F.lit(width)).cast("int"), F.lit(bins - 1))
-    counted = df.where(x.isNotNull()).groupBy(place.alias("bin")).count()
-    all_bins = df.sparkSession.range(0, bins, 1, 1).select(F.col("id").cast("int").alias("bin"))
-    return all_bins.join(counted, "bin", "left").select(
-        "bin",
-        (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"),
-        F.when(F.col("bin") == bins - 1, F.lit(hi)).otherwise(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("upper"),
-        F.coalesce("count", F.lit(0)).alias("count"),
+    columns = list(columns if columns is not None else numeric_columns(df))
+    require_columns(df, columns)
+    spark, schema = df.sparkSession, "position int, column string, bin int, lower double, upper double, count bigint"
+    if not columns:
+        return spark.createDataFrame([], schema)
+    endless = F.lit(float("inf"))
+    flat = df.select(*[value_of(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    finite = [F.when(F.abs(v) < endless, F.col(v)) for v in flat.columns]
+    ends = flat.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(finite) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    ranges = {}
+    for i in range(len(columns)):
+        lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
+        if lo is not None:
+            lo, hi = (lo, hi) if lo < hi else (lo - 0.5, hi + 0.5)
+            # The difference of the ends may be beyond a double.
+            ranges[i] = (lo, hi, (hi - lo) / bins if math.isfinite(hi - lo) else hi / bins - lo / bins)
+    cells = []
+    for i, v in enumerate(flat.columns):
+        c = F.col(v)
+        place = F.when(c == endless, ABOVE).when(c == -endless, BELOW)
+        if i in ranges:
+            lo, hi, width = ranges[i]
+            at = (c - F.lit(lo)) / F.lit(width) if math.isfinite(hi - lo) else c / F.lit(width) - F.lit(lo / width)
+            place = place.when(c.isNotNull(), F.least(F.floor(at), F.lit(bins - 1)))
+        cells.append(F.struct(F.lit(i).alias("i"), place.cast("int").alias("bin")))
+    counted = flat.select(F.inline(F.array(*cells))).where(F.col("bin").isNotNull()).groupBy("i", "bin").agg(F.count(F.lit(1)).alias("count"))
+    known = [
+        {"i": i, "bin": b, "lower": lo + b * width, "upper": hi if b == bins - 1 else lo + (b + 1) * width}
+        for i, (lo, hi, width) in ranges.items()
+        for b in range(bins)
+    ]
+    known += [{"i": i, "bin": b, "lower": e, "upper": e} for i in range(len(columns)) for b, e in ((BELOW, -float("inf")), (ABOVE, float("inf")))]
+    edges = spark.createDataFrame([tuple(r.values()) for r in known], "i int, bin int, lower double, upper double")
+    name, position = F.array(*[F.lit(c) for c in columns]), F.array(*[F.lit(df.columns.index(c)) for c in columns])
+    # A row per column and bin.
+    return edges.join(counted, ["i", "bin"], "left").where(F.col("count").isNotNull() | (F.col("bin").between(0, bins - 1))).select(
+        position[F.col("i")].alias("position"), name[F.col("i")].alias("column"), "bin", "lower", "upper", F.coalesce("count", F.lit(0)).alias("count")
     )
 
 
+def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """The bins of one column, as in ``histograms``."""
+    return histograms(df, [column], bins).drop("position", "column")
+
+
 def outlier_summary(
     df: DataFrame,
     columns: Sequence[str] | None = None,

@@ -127,6 +127,21 @@ def eda_histogram(spark, sf_dir):
     return rounded(op.histogram(gap_lines(spark, sf_dir), "price"))
 
 
+def _binned(c: str, position: int) -> str:
+    return f"""SELECT {position}::INTEGER AS position, '{c}' AS "column", b.bin, round(lo + b.bin * width, 4) AS lower,
+  round(CASE WHEN b.bin = 4 THEN hi ELSE lo + (b.bin + 1) * width END, 4) AS upper, count(p.bin)::BIGINT AS "count"
+FROM (SELECT range::INTEGER AS bin FROM range(5)) b
+CROSS JOIN (SELECT min({c}) AS lo, max({c}) AS hi, (max({c}) - min({c})) / 5 AS width FROM gap_lines)
+LEFT JOIN (SELECT least(floor(({c} - lo) / width), 4)::INTEGER AS bin FROM gap_lines, (SELECT min({c}) AS lo, (max({c}) - min({c})) / 5 AS width FROM gap_lines)
+  WHERE {c} IS NOT NULL) p ON p.bin = b.bin GROUP BY ALL"""
+
+
+@query("eda_histograms", f"WITH {GAP_LINES} " + " UNION ALL ".join(_binned(c, i) for i, c in enumerate(NUMBERS)))
+def eda_histograms(spark, sf_dir):
+    """Bins of several columns from two scans."""
+    return rounded(op.histograms(gap_lines(spark, sf_dir).select(*NUMBERS), NUMBERS, 5))
+
+
 _OUTLIERS = """SELECT '{c}' AS "column", count(*) FILTER ({c} < lo OR {c} > hi)::BIGINT AS outlier_count,
   round(count(*) FILTER ({c} < lo OR {c} > hi) * 100.0::DOUBLE / count({c}), 4) AS outlier_pct,
   round(any_value(lo), 4) AS lower_bound, round(any_value(hi), 4) AS upper_bound
