@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as op
 from ..operators import diff
 from ..plans import cleaning_run
+from ..plans.workspace import Workspace
+from ..session import scratch_path
+from ..sources import files, versions
 from .registry import query
 from .tables import read, rounded
 
@@ -309,3 +312,58 @@ def diff_insights(spark, sf_dir):
     old = found.where("created_at < timestamp '2024-01-02'")
     new = found.where("created_at >= timestamp '2024-01-30 12:00:00'")
     return diff.diff_insights(old, new)
+
+
+_PARTS = """p AS (SELECT p_size, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice END AS price FROM part),
+twice AS (SELECT * FROM p UNION ALL SELECT * FROM p), once AS (SELECT DISTINCT p_size, price FROM p)"""
+
+
+@query(
+    "dash_stored_work",
+    f"""WITH {_PARTS}
+SELECT 3::BIGINT AS total_versions, 2::BIGINT AS total_datasets, 1::BIGINT AS cleaned, 1::BIGINT AS profiled, 1::BIGINT AS jobs,
+  (SELECT 2 * (SELECT count(*) FROM p) - (SELECT count(*) FROM once))::BIGINT AS duplicates_removed,
+  (SELECT count(*) FROM once WHERE price IS NULL)::BIGINT AS missing_handled, true AS timed, 100.0::DOUBLE AS best_quality""",
+)
+def dash_stored_work(spark, sf_dir):
+    """Two datasets stored; one is cleaned, profiled and explored, and the dashboard tells so from the stored tables."""
+    space = Workspace(spark, scratch_path(spark, "workspace"), OWNER)
+    parts = read(spark, sf_dir, "part").selectExpr("p_size", "CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice END AS price")
+    first, second = space.add(parts.unionAll(parts), "parts twice"), space.add(parts.distinct(), "parts once")
+    space.clean(first, [{"type": "drop_duplicates"}, {"type": "fill_missing", "column": "price", "strategy": "mean"}])
+    space.profile(first)
+    space.profile(second)
+    space.explore(second)
+    board = space.dashboard()
+    status = {r["status"]: r["datasets"] for r in board["status_distribution"].collect()}
+    kpis, jobs = board["kpis"], board["recent_cleaning_jobs"]
+    best = board["quality_scores"].agg(F.round(F.max("quality_score"), 4)).scalar()
+    return kpis.select(
+        "total_versions", "total_datasets",
+        F.lit(status.get("ANALYZED", 0)).cast("bigint").alias("cleaned"), F.lit(status.get("PROFILED", 0)).cast("bigint").alias("profiled"),
+        jobs.agg(F.count(F.lit(1))).scalar().alias("jobs"), jobs.agg(F.sum("duplicates_removed")).scalar().alias("duplicates_removed"),
+        jobs.agg(F.sum("missing_handled")).scalar().alias("missing_handled"),
+        jobs.agg(F.bool_and(F.col("execution_time_ms") > 0)).scalar().alias("timed"), best.alias("best_quality"),
+    )
+
+
+@query(
+    "cat_delete_stored",
+    """SELECT 1::BIGINT AS deleted, 2::BIGINT AS failed, 3::BIGINT AS total, 1::BIGINT AS datasets_left, (SELECT count(*) FROM part)::BIGINT AS rows_left,
+  0::BIGINT AS folders_left""",
+)
+def cat_delete_stored(spark, sf_dir):
+    """A dataset is deleted from storage, a foreign and an unknown one are not; its folders are gone."""
+    root = scratch_path(spark, "workspace")
+    mine, other = Workspace(spark, root, OWNER), Workspace(spark, root, "somebody else")
+    parts = read(spark, sf_dir, "part")
+    gone, kept, foreign = mine.add(parts, "a"), mine.add(parts, "b"), other.add(parts, "c")
+    mine.profile(gone)
+    counts = mine.delete([gone, foreign, "no such dataset"])
+    kinds = [*[f"catalogue/{t}" for t in files.children(spark, f"{root}/catalogue")], "claims", "data"]
+    left = sum(files.exists(spark, f"{root}/{kind}/dataset_id={gone}") for kind in kinds)
+    rows = versions.read_version(spark, root, kept).agg(F.count(F.lit(1)).alias("rows_left"))
+    remaining = mine.dashboard()["kpis"].select("total_datasets").scalar()
+    return rows.select(
+        *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()], remaining.alias("datasets_left"), "rows_left", F.lit(left).cast("bigint").alias("folders_left")
+    )

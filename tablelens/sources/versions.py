@@ -1,10 +1,12 @@
 """Versions of a dataset as Parquet tables, with an append-only catalogue of them.
 
-Layout below ``root``: ``data/dataset_id=<id>/<version id>`` holds the rows
-and ``catalogue/dataset_versions`` one row per version.  Nothing is updated in
-place and no folder is used twice; the current version is the one with the
-largest number.  Writers that took the same number at the same time get
-numbers in the order of their catalogue rows.
+Layout below ``root``, each with a folder per dataset: ``data`` holds the rows
+of each version in a folder of its own, ``catalogue/dataset_versions`` one row
+per version, ``catalogue/version_status`` one per change of a status, and
+``claims`` an empty file per version number.  Nothing is updated in place.  A
+writer claims its number by creating that file, which fails if it is there, so
+no two writers share a number and none changes later.  The current version is
+the one with the largest number.
 """
 
 from __future__ import annotations
@@ -12,19 +14,20 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import TableError
 from ..functions.columns import is_float, is_missing, ref
 from ..functions.text import equality_key
 from ..operators.profile import data_bytes
-from . import delimited
+from . import delimited, files
 
 VERSION_SCHEMA = (
     "version_id string, dataset_id string, version_number int, storage_path string, file_size bigint, "
     "checksum string, rows_count bigint, columns_count bigint, status string, created_at timestamp"
 )
+STATUS_SCHEMA = "dataset_id string, version_number int, status string, place int, changed_at timestamp"
 # States of a version.
 STATUSES = ("UPLOADED", "PROFILED", "CLEANED", "ANALYZED", "TRAINED", "COMPLETED", "FAILED")
 
@@ -62,21 +65,48 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def _catalogue(root: str) -> str:
-    return f"{root.rstrip('/')}/catalogue/dataset_versions"
-
-
-def _records(spark: SparkSession, root: str) -> DataFrame:
-    """The catalogue, numbered per dataset from 1; empty before the first version."""
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the catalogue; empty before its first row."""
     try:
-        written = spark.read.schema(VERSION_SCHEMA).parquet(_catalogue(root))
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], VERSION_SCHEMA)
-    # One row per version of a dataset.
-    order = Window.partitionBy("dataset_id").orderBy("version_number", "created_at", "version_id")
-    return written.withColumn("version_number", F.row_number().over(order))
+        return spark.createDataFrame([], schema)
+
+
+def append(df: DataFrame, root: str, table: str, dataset_id: str) -> None:
+    """Add rows of a dataset to a table of the catalogue, in a folder of their own, as two writers must not share one."""
+    path = f"{_folder(df.sparkSession, root, f'catalogue/{table}', dataset_id)}/batch={uuid.uuid4().hex}"
+    df.drop("dataset_id").write.parquet(path)
+
+
+def stored(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+    found = _read(spark, f"{root.rstrip('/')}/catalogue/{table}", schema)
+    return found.drop("batch")
+
+
+def _folder(spark: SparkSession, root: str, kind: str, dataset_id: str) -> str:
+    return f"{root.rstrip('/')}/{kind}/{files.folder_of(spark, 'dataset_id', dataset_id)}"
+
+
+def _records(spark: SparkSession, root: str) -> DataFrame:
+    """The catalogue with the newest status of each version."""
+    written = stored(spark, root, "dataset_versions", VERSION_SCHEMA)
+    changes = stored(spark, root, "version_status", STATUS_SCHEMA)
+    newest = changes.groupBy("dataset_id", "version_number").agg(F.max_by("status", F.struct("changed_at", "place")).alias("now"))
+    return written.join(newest, ["dataset_id", "version_number"], "left").withColumn("status", F.coalesce("now", "status")).select(*written.columns)
+
+
+def set_status(spark: SparkSession, root: str, dataset_id: str, number: int, status: str) -> None:
+    if status not in STATUSES:
+        raise TableError(f"unknown status: {status}")
+    place = STATUSES.index(status)  # of changes in the same instant the later state counts
+    row = spark.range(1).select(
+        F.lit(dataset_id).alias("dataset_id"), F.lit(number).alias("version_number"), F.lit(status).alias("status"),
+        F.lit(place).alias("place"), F.current_timestamp().alias("changed_at"),
+    )
+    append(row, root, "version_status", dataset_id)
 
 
 def read_catalogue(spark: SparkSession, root: str) -> DataFrame:
@@ -103,12 +133,25 @@ def write_version(df: DataFrame, root: str, dataset_id: str, status: str = "CLEA
         raise TableError(f"unknown status: {status}")
     spark = df.sparkSession
     number = (current_version(spark, root, dataset_id) or 0) + 1
+    claims = _folder(spark, root, "claims", dataset_id)
+    while not files.claim(spark, f"{claims}/{number}"):
+        number += 1
+    try:
+        _write(df, root, dataset_id, number, status)
+    except BaseException:
+        files.remove(spark, f"{claims}/{number}")
+        raise
+    return number
+
+
+def _write(df: DataFrame, root: str, dataset_id: str, number: int, status: str) -> None:
+    spark = df.sparkSession
     version_id = uuid.uuid4().hex
-    path = f"{root.rstrip('/')}/data/dataset_id={dataset_id}/{version_id}"
+    path = f"{_folder(spark, root, 'data', dataset_id)}/{version_id}"
     df.write.mode("errorifexists").parquet(path)
-    stored = spark.read.parquet(path)
-    totals = stored.agg(
-        F.count(F.lit(1)).alias("rows"), data_bytes(stored).alias("data_bytes"), F.concat_ws("-", schema_digest(stored), digest_sum(stored)).alias("checksum"),
+    kept = spark.read.parquet(path)
+    totals = kept.agg(
+        F.count(F.lit(1)).alias("rows"), data_bytes(kept).alias("data_bytes"), F.concat_ws("-", schema_digest(kept), digest_sum(kept)).alias("checksum"),
     )
     record = totals.select(
         F.lit(version_id).alias("version_id"),
@@ -122,8 +165,7 @@ def write_version(df: DataFrame, root: str, dataset_id: str, status: str = "CLEA
         F.lit(status).alias("status"),
         F.current_timestamp().alias("created_at"),
     )
-    record.write.mode("append").parquet(_catalogue(root))
-    return _records(spark, root).where(F.col("version_id") == version_id).first()["version_number"]
+    append(record, root, "dataset_versions", dataset_id)
 
 
 def read_version(spark: SparkSession, root: str, dataset_id: str, n: int | None = None) -> DataFrame:
@@ -135,7 +177,17 @@ def read_version(spark: SparkSession, root: str, dataset_id: str, n: int | None
     if not 1 <= number <= current:
         raise TableError(f"dataset {dataset_id} has no version {number}")
     mine = (F.col("dataset_id") == dataset_id) & (F.col("version_number") == number)
-    return spark.read.parquet(_records(spark, root).where(mine).first()["storage_path"])
+    row = stored(spark, root, "dataset_versions", VERSION_SCHEMA).where(mine).first()
+    if row is None:  # claimed by a writer that is not done, or failed
+        raise TableError(f"dataset {dataset_id} has no version {number}")
+    return spark.read.parquet(row["storage_path"])
+
+
+def delete_dataset(spark: SparkSession, root: str, dataset_id: str) -> bool:
+    """Remove all rows, versions and results of a dataset from storage; False if there is nothing of it."""
+    tables = files.children(spark, f"{root.rstrip('/')}/catalogue")
+    kinds = [*[f"catalogue/{t}" for t in tables], "claims", "data"]
+    return any([files.remove(spark, _folder(spark, root, kind, dataset_id)) for kind in kinds])
 
 
 def import_csv(
