@@ -4,14 +4,15 @@ Two texts are linked if the sets of their shingles (five words) have a Jaccard
 similarity of at least ``least`` (0.8).  Pairs are proposed in two rounds.
 
 1. Fingerprints of the shingles are covered by anchors (``simhash.links``):
-   texts of equal or close fingerprints are proposed along a spanning forest,
-   so a dense group of n copies costs about n comparisons.
+   texts of equal or close fingerprints are proposed along one link each, so a
+   dense group of n copies costs about n comparisons.
 2. Fingerprints alone would miss pairs, the prefixes of the sets do not: in any
    order of all shingles, the sets of a pair share one of their first
    n - ceil(least n) + 1.  The order puts the most frequent shingles last;
    which these are is counted about, as it decides on speed alone.  Each text
    is proposed with the hub (one per shingle and size) that it meets most often.
 3. Proposed pairs are confirmed on their whole sets and joined to components.
+   In a few more rounds each text is proposed with a hub of another component.
    Of all texts that meet in prefix shingles, those that are still in different
    components, and that sizes and the number of shared prefix shingles do not
    rule out, are proposed in a last round and confirmed in the same way.
@@ -42,9 +43,11 @@ from .simhash import SEED, THRESHOLD, links, majority
 
 SIZE, LEAST = 5, 0.8
 # Shingles that a task counts, and that are ordered by their counts.
-LISTED, FREQUENT = 4_096, 1 << 17
+LISTED, FREQUENT = 1 << 15, 1 << 20
 # Texts of one shingle that are compared in one group, and rows of a shingle that a task holds.
 BLOCK, HELD = 5_000, 1 << 20
+# Rounds in which components are compared by hubs, before all pairs that are still open.
+HUB_ROUNDS = 2
 # Texts that one task compares with a text.
 TOGETHER = 2_000
 # Bits of the filter that keeps texts that nobody asks for in their place: 2 MB.
@@ -94,9 +97,9 @@ class Frequent:
         if not sets:
             return
         h, n = np.unique(np.concatenate(sets), return_counts=True)
-        for k, c in zip(h[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+        for k, c in zip(h[n > 1].tolist(), n[n > 1].tolist(), strict=True):
             self.count[k] = self.count.get(k, 0) + c
-        if len(self.count) > 16 * LISTED:
+        if len(self.count) > 8 * LISTED:
             self.count = dict(self.most(4 * LISTED))
 
     def most(self, n: int) -> list[tuple[int, int]]:
@@ -252,8 +255,11 @@ def _across(name: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray,
             yield np.full(len(rest), name[i]), name[rest], np.full(len(rest), n[i]), n[rest]
 
 
-def open_pairs(met: DataFrame, roots: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): names of texts in different components that share enough of their prefixes; ``roots``: (name, root)."""
+def _in_cells(met: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """(cell, name, n, root, side) of the texts that meet, in order of cell and size; ``roots``: (name, root).
+
+    A cell is a shingle, or a pair of blocks (sides) of one of very many texts.
+    """
     rows = met.drop("hub", "hub_n").join(roots, "name")
     sizes = materialize(met.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > block), "frequent-shingles")
     blocks = F.ceil(F.col("texts") / block).cast("int")
@@ -262,19 +268,54 @@ def open_pairs(met: DataFrame, roots: DataFrame, least: float, block: int = BLOC
     cells = F.when(F.col("texts").isNull(), F.array("h")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell))
     rows = rows.join(sizes, "h", "left").withColumn("side", F.coalesce(side, F.lit(0))).withColumn("blocks", blocks)
     rows = rows.select(F.explode(cells).alias("cell"), "name", "n", "root", "side")
-    ordered = rows.repartition(parallelism(rows), "cell").sortWithinPartitions("cell", "n")
+    return rows.repartition(parallelism(rows), "cell").sortWithinPartitions("cell", "n")
+
+
+def _mixed_groups(h: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last row of the groups that hold several components."""
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    end = np.append(begin[1:], len(h))
+    turn = np.append(0, np.cumsum((root[1:] != root[:-1]) & (h[1:] == h[:-1])))
+    mixed = turn[end - 1] > turn[begin]
+    return zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True)
+
+
+def other_hubs(met: DataFrame, roots: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): each text b with a text of another component, of those that it meets the one that shares most of its prefix.
+
+    Of each group the first texts of its two largest components are hubs, so
+    components of near copies grow together without all their pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, name, n, root, _ in _by_shingle(batches):
+            found = []
+            for lo, hi in _mixed_groups(h, root):
+                _, first, kind, sizes = np.unique(root[lo:hi], return_index=True, return_inverse=True, return_counts=True)
+                one, two = np.argsort(-sizes, kind="stable")[:2]
+                hub = lo + np.where(kind == one, first[two], first[one])
+                found.append((name[hub], name[lo:hi], n[hub], n[lo:hi]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "n", "m"])
+
+    found = _in_cells(met, roots, block).mapInArrow(run, "a long, b long, n int, m int")
+    counted = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"), F.max("m").alias("m"))
+    fits = (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - TINY) & _enough(F.col("both"), F.col("n"), F.col("m"), least)
+    best = counted.where(fits).groupBy("b").agg(F.max(F.struct("both", "a")).alias("best"))
+    return best.select(F.col("best.a").alias("a"), "b")
+
+
+def open_pairs(met: DataFrame, roots: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): names of texts in different components that share enough of their prefixes; ``roots``: (name, root)."""
+    ordered = _in_cells(met, roots, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "n", "m"])
 
         for h, name, n, root, side in _by_shingle(batches):
-            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            end = np.append(begin[1:], len(h))
-            turn = np.append(0, np.cumsum((root[1:] != root[:-1]) & (h[1:] == h[:-1])))
-            mixed = turn[end - 1] > turn[begin]
             found, held = [], 0
-            for lo, hi in zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True):
+            for lo, hi in _mixed_groups(h, root):
                 for pairs in _across(name[lo:hi], n[lo:hi], root[lo:hi], side[lo:hi], least):
                     found.append(pairs)
                     held += len(pairs[0])
@@ -381,12 +422,21 @@ def drop_near_copies(
 
     met = materialize(shared(prefixes(texts.select("raw"), frequent_shingles(found, FREQUENT), size, least), least), "shared-shingles")
     tried = materialize(_first_proposals(one, met, least, threshold), "first-pairs")
-    confirmed_links = materialize(confirmed(tried, names, texts, size, least), "first-links")
-    roots = one.join(components(confirmed_links), "node", "left").groupBy("name").agg(F.min(F.coalesce("root", "node")).alias("root"))
-    left = open_pairs(met, materialize(roots, "first-roots"), least, block)
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = left.join(known, ["a", "b"], "left_anti")
-    confirmed_links = confirmed_links.union(confirmed(materialize(left, "open-pairs"), names, texts, size, least))
+
+    def joined(links_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The components as links to their roots, and (name, root) of all texts."""
+        stars = materialize(components(links_).select(F.col("node").alias("a"), F.col("root").alias("b")), "stars")
+        found = one.join(stars, F.col("node") == F.col("a"), "left").groupBy("name").agg(F.min(F.coalesce("b", "node")).alias("root"))
+        return stars, materialize(found, "text-roots")
+
+    stars, known = joined(materialize(confirmed(tried, names, texts, size, least), "first-links"))
+    for _ in range(HUB_ROUNDS):
+        more = materialize(other_hubs(met, known, least, block).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        tried = tried.union(more)
+        stars, known = joined(stars.union(materialize(confirmed(more, names, texts, size, least), "hub-links")))
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = materialize(open_pairs(met, known, least, block).join(done, ["a", "b"], "left_anti"), "open-pairs")
+    confirmed_links = stars.union(materialize(confirmed(left, names, texts, size, least), "last-links"))
 
     linked = one.join(components(confirmed_links), "node")
     kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
