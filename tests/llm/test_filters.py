@@ -234,3 +234,19 @@ def test_language_defined_cases(documents):
     assert language.report(one.where("false")).count() == 0
     long = language.features(b"ab cd " * 400_000, 64)
     assert long.sum() > 4 * 2_000_000
+
+
+def test_mixing_reports_what_targets_miss(spark):
+    """A label with less than its target wants gives all it has; the rest goes to the others, and the gaps are told."""
+    cells = spark.createDataFrame(
+        [(s, lang, t, n) for s, a in (("s1", 50), ("s2", 50)) for lang, b in (("en", 6), ("de", 4)) for t, c in (("prose", 97), ("code", 3)) for n in (a * b * c,)],
+        "source string, lang string, topic string, tokens long",
+    )
+    wanted = {"topic": spark.createDataFrame([("prose", 0.5), ("code", 0.5)], "topic string, share double")}
+    raked = mixing.rake(cells, wanted, budget=0.5, temperature=1.0)
+    found = {(r.key, r.label): r for r in mixing.balance(raked).collect()}
+    assert found["topic", "code"].weight == pytest.approx(3000, rel=1e-4) and found["topic", "code"].share == pytest.approx(0.06, abs=1e-4)
+    assert found["topic", "code"].gap == pytest.approx(-0.44, abs=1e-4) and found["topic", "prose"].gap == pytest.approx(0.44, abs=1e-4)
+    assert all(abs(found[k].gap) < 1e-4 for k in found if k[0] != "topic")
+    cut = {(r.key, r.label): r for r in mixing.balance(mixing.rake(cells, wanted, budget=0.5, temperature=1.0, cut_budget=True)).collect()}
+    assert all(abs(r.gap) < 1e-3 for r in cut.values()) and cut["topic", "code"].weight == pytest.approx(3000, rel=1e-2)
