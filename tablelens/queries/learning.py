@@ -228,7 +228,7 @@ def _fit_halves(spark, sf_dir, name, problem, target, features, **settings):
     df = _halves(spark, sf_dir)
     rows, labels = search.labelled(df, target, problem)
     data = prepare.fit_preparation(rows, prepare.feature_roles(rows, features)).transform(rows)
-    model = search.candidate(name, problem, classes=max(2, len(labels)), **settings).fit(data)
+    model = search.candidate(name, problem, classes=max(2, len(labels)), rows=rows.count(), **settings).fit(data)
     return model.transform(data).select("p_partkey", "label", F.round("prediction", 4).alias("prediction"))
 
 
