@@ -47,7 +47,7 @@ LISTED, FREQUENT = 1 << 15, 1 << 20
 # Texts of one shingle that are compared in one group, and rows of a shingle that a task holds.
 BLOCK, HELD = 5_000, 1 << 20
 # Rounds in which components are compared by hubs, before all pairs that are still open.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 6
 # Texts that one task compares with a text.
 TOGETHER = 2_000
 # Bits of the filter that keeps texts that nobody asks for in their place: 2 MB.
@@ -280,20 +280,26 @@ def _mixed_groups(h: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True)
 
 
-def other_hubs(met: DataFrame, roots: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+def other_hubs(met: DataFrame, roots: DataFrame, least: float, turn: int, block: int = BLOCK) -> DataFrame:
     """(a, b): each text b with a text of another component, of those that it meets the one that shares most of its prefix.
 
-    Of each group the first texts of its two largest components are hubs, so
-    components of near copies grow together without all their pairs.
+    Of each group one text of each of its two largest components is a hub, so
+    components of near copies grow together without all their pairs.  Which one
+    changes from ``turn`` to turn, and is the same wherever the texts meet.
     """
+    mixer = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, name, n, root, _ in _by_shingle(batches):
             found = []
+            order = (name.view(np.uint64) ^ np.uint64(turn + 1) * mixer) * mixer
+            order ^= order >> np.uint64(31)
             for lo, hi in _mixed_groups(h, root):
-                _, first, kind, sizes = np.unique(root[lo:hi], return_index=True, return_inverse=True, return_counts=True)
-                one, two = np.argsort(-sizes, kind="stable")[:2]
-                hub = lo + np.where(kind == one, first[two], first[one])
+                _, kind, sizes = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
+                one, two = (np.flatnonzero(kind == k) for k in np.argsort(-sizes, kind="stable")[:2])
+                first, second = (members[np.argmin(order[lo:hi][members])] for members in (one, two))
+                hub = np.full(hi - lo, lo + first)
+                hub[one] = lo + second
                 found.append((name[hub], name[lo:hi], n[hub], n[lo:hi]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "n", "m"])
@@ -430,8 +436,10 @@ def drop_near_copies(
         return stars, materialize(found, "text-roots")
 
     stars, known = joined(materialize(confirmed(tried, names, texts, size, least), "first-links"))
-    for _ in range(HUB_ROUNDS):
-        more = materialize(other_hubs(met, known, least, block).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+    for turn in range(HUB_ROUNDS):
+        more = materialize(other_hubs(met, known, least, turn, block).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        if more.isEmpty():
+            break
         tried = tried.union(more)
         stars, known = joined(stars.union(materialize(confirmed(more, names, texts, size, least), "hub-links")))
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
