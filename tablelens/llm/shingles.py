@@ -287,12 +287,13 @@ def other_hubs(met: DataFrame, roots: DataFrame, least: float, turn: int, block:
     components of near copies grow together without all their pairs.  Which one
     changes from ``turn`` to turn, and is the same wherever the texts meet.
     """
-    mixer = np.uint64(0x9E3779B97F4A7C15)
+    mixer = 0x9E3779B97F4A7C15
+    start = (turn + 1) * mixer % (1 << 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, name, n, root, _ in _by_shingle(batches):
             found = []
-            order = (name.view(np.uint64) ^ np.uint64(turn + 1) * mixer) * mixer
+            order = (name.view(np.uint64) ^ np.uint64(start)) * np.uint64(mixer)
             order ^= order >> np.uint64(31)
             for lo, hi in _mixed_groups(h, root):
                 _, kind, sizes = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
