@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -55,13 +56,13 @@ def candidate(
     cols = {"featuresCol": "features", "labelCol": "label"}
     if name == "random_forest":
         forest = RandomForestClassifier if problem == "classification" else RandomForestRegressor
-        return forest(numTrees=trees, maxDepth=depth, seed=seed, **cols)
+        return forest(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, **cols)
     if name == "gradient_boosting":
         settings = {"maxIter": rounds, "maxDepth": BOOST_DEPTH, "stepSize": STEP, "seed": seed}
         if problem == "regression":
             return GBTRegressor(**settings, **cols)
         boosted = GBTClassifier(**settings, **cols)
-        return boosted if classes == 2 else OneVsRest(classifier=boosted, **cols)
+        return boosted if classes == 2 else OneVsRest(classifier=boosted, parallelism=AT_ONCE, **cols)
     if name == "logistic_regression":
         # The penalty is per data set, Spark's is per row; inputs are scaled already.
         return LogisticRegression(maxIter=100, regParam=1.0 / max(rows, 1), standardization=False, **cols)
@@ -101,6 +102,24 @@ def labelled(df: DataFrame, target: str, problem: str) -> tuple[DataFrame, list[
 
 # Models that are fitted at the same time.
 AT_ONCE = 4
+# Rows of one task while a model is fitted: tables of fewer stay as they are, and no task gets more.
+FEW_ROWS, TASK_ROWS = 5_000, 250_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores.
+
+    A narrow table of many rows is one small file, hence one task, whereas the
+    trees hold far more bytes of a row than its file does.
+    """
+    n = df.count()
+    tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, n // FEW_ROWS), math.ceil(n / TASK_ROWS))
+    return df.repartition(tasks) if tasks > 1 else df
+
+
+def fit(estimator, data: DataFrame):
+    """The estimator fitted to the prepared rows, which are dealt over the cores first."""
+    return estimator.fit(spread(data.select("features", "label")))
 
 
 def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], T]]) -> list[T]:
@@ -123,7 +142,7 @@ def cross_validate(
     def scored(k: int) -> float:
         train, held = marked.where(F.col("fold") != k), marked.where(F.col("fold") == k)
         preparation = prepare.fit_preparation(train, roles)
-        model = candidate(name, problem, seed, **settings).fit(preparation.transform(train))
+        model = fit(candidate(name, problem, seed, **settings), preparation.transform(train))
         return validation_score(model.transform(preparation.transform(held)), problem)
 
     return in_parallel(df.sparkSession, [partial(scored, k) for k in range(folds)])
@@ -208,7 +227,7 @@ def train_champion(
         raise TableError(f"no valid algorithm for {problem}")
 
     columns = list(dict.fromkeys([*roles.raw, "label", *(key or [])]))
-    rows = rows.select(*[ref(c) for c in columns])
+    rows = materialize(spread(rows.select(*[ref(c) for c in columns])), "labelled-rows")
     train, test = split(rows, 0.2, seed, "label" if problem == "classification" else None, key or df_key(roles))
     train, test = materialize(train, "training-rows"), materialize(test, "test-rows")
     n_train, n_test = train.count(), test.count()
@@ -217,7 +236,7 @@ def train_champion(
     seen, unseen = (materialize(preparation.transform(x).select("features", "label"), "prepared-rows") for x in (train, test))
 
     def tried(name: str) -> tuple[DataFrame, dict, float]:
-        pred = candidate(name, problem, seed, **settings).fit(seen).transform(unseen)
+        pred = fit(candidate(name, problem, seed, **settings), seen).transform(unseen)
         measured = _measure(pred, problem, len(labels))
         if cv:
             return pred, measured, float(np.mean(cross_validate(train, roles, name, problem, 3, seed, key, **settings)))
@@ -229,7 +248,7 @@ def train_champion(
     pred, measured, score = results[name]
 
     preparation = prepare.fit_preparation(rows, roles)
-    final = candidate(name, problem, seed, **{**settings, "rows": n_train + n_test}).fit(preparation.transform(rows))
+    final = fit(candidate(name, problem, seed, **{**settings, "rows": n_train + n_test}), preparation.transform(rows))
     stages = [*preparation.stages, final]
     if labels:
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted_class", labels=labels))

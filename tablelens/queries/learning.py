@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..ml import evaluate, prepare, search, split, store
 from ..operators import profile
 from ..operators.frequency import literal_rows
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .catalogue import CATALOGUE, OWNER, tables
 from .registry import query
 from .tables import GAP_LINES, GAP_ORDERS, gap_lines, gap_orders, read, rounded
@@ -205,8 +205,9 @@ def ml_linear_regression(spark, sf_dir):
 def _fit_parts(spark, sf_dir, name, problem, target, features, **settings):
     df = _parts(spark, sf_dir)
     rows, labels = search.labelled(df, target, problem)
+    rows = materialize(search.spread(rows), "labelled-rows")
     data = prepare.fit_preparation(rows, prepare.feature_roles(rows, features)).transform(rows)
-    model = search.candidate(name, problem, classes=max(2, len(labels)), **settings).fit(data)
+    model = search.fit(search.candidate(name, problem, classes=max(2, len(labels)), **settings), data)
     return model.transform(data).select("p_partkey", "label", "prediction")
 
 
@@ -214,9 +215,11 @@ def _halves(spark, sf_dir):
     """Parts with a binary feature, one that does not vary, the mean price of the half, and the kind as code and number."""
     parts = read(spark, sf_dir, "part").selectExpr(
         "p_partkey", "CAST(p_size >= 25 AS INT) AS large", "1 AS same", "p_retailprice AS price", "p_type AS kind", "'is ' || p_type AS code",
-        "dense_rank() OVER (ORDER BY p_type) AS number",
     )
     means = parts.groupBy("large").agg(F.round(F.avg("price"), 2).alias("mean_price"))
+    # One row per kind: the window sees the kinds only, and no task all parts.
+    kinds = parts.select(F.col("kind").alias("ranked")).distinct().selectExpr("ranked", "dense_rank() OVER (ORDER BY ranked) AS number")
+    parts = parts.join(kinds, F.col("kind").eqNullSafe(F.col("ranked"))).drop("ranked")
     return parts.join(means, "large")
 
 
@@ -227,8 +230,9 @@ _HALVES = """halves AS (SELECT p_partkey, (p_size >= 25)::INT AS large, p_retail
 def _fit_halves(spark, sf_dir, name, problem, target, features, **settings):
     df = _halves(spark, sf_dir)
     rows, labels = search.labelled(df, target, problem)
+    rows = materialize(search.spread(rows), "labelled-rows")
     data = prepare.fit_preparation(rows, prepare.feature_roles(rows, features)).transform(rows)
-    model = search.candidate(name, problem, classes=max(2, len(labels)), rows=rows.count(), **settings).fit(data)
+    model = search.fit(search.candidate(name, problem, classes=max(2, len(labels)), rows=rows.count(), **settings), data)
     return model.transform(data).select("p_partkey", "label", F.round("prediction", 4).alias("prediction"))
 
 
@@ -242,8 +246,9 @@ def ml_random_forest(spark, sf_dir):
 def ml_random_forest_classes(spark, sf_dir):
     df = _halves(spark, sf_dir).withColumn("half", F.when(F.col("large") == 1, "large").otherwise("a small one"))
     rows, _ = search.labelled(df, "half", "classification")
+    rows = materialize(search.spread(rows), "labelled-rows")
     data = prepare.fit_preparation(rows, prepare.feature_roles(rows, ["large", "same"])).transform(rows)
-    model = search.candidate("random_forest", "classification").fit(data)
+    model = search.fit(search.candidate("random_forest", "classification"), data)
     return model.transform(data).select("p_partkey", "label", "prediction")
 
 
