@@ -30,6 +30,7 @@ from ..functions.columns import is_missing, ref
 from ..operators.frequency import literal_rows
 from ..session import materialize
 from . import evaluate, prepare
+from .cells import BINS, OnCells
 from .split import split, with_folds
 
 T = TypeVar("T")
@@ -58,11 +59,12 @@ def candidate(
         forest = RandomForestClassifier if problem == "classification" else RandomForestRegressor
         return forest(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, **cols)
     if name == "gradient_boosting":
-        settings = {"maxIter": rounds, "maxDepth": BOOST_DEPTH, "stepSize": STEP, "seed": seed}
+        cell = {"featuresCol": "binned", "labelCol": "label", "weightCol": "weight"}
+        settings = {"maxIter": rounds, "maxDepth": BOOST_DEPTH, "stepSize": STEP, "seed": seed, "maxBins": 2 * BINS}
         if problem == "regression":
-            return GBTRegressor(**settings, **cols)
-        boosted = GBTClassifier(**settings, **cols)
-        return boosted if classes == 2 else OneVsRest(classifier=boosted, parallelism=AT_ONCE, **cols)
+            return OnCells(GBTRegressor(**settings, **cell), False, seed)
+        boosted = GBTClassifier(**settings, **cell)
+        return OnCells(boosted if classes == 2 else OneVsRest(classifier=boosted, parallelism=AT_ONCE, **cell), True, seed)
     if name == "logistic_regression":
         # The penalty is per data set, Spark's is per row; inputs are scaled already.
         return LogisticRegression(maxIter=100, regParam=1.0 / max(rows, 1), standardization=False, **cols)
@@ -103,7 +105,7 @@ def labelled(df: DataFrame, target: str, problem: str) -> tuple[DataFrame, list[
 # Models that are fitted at the same time.
 AT_ONCE = 4
 # Rows of one task while a model is fitted: tables of fewer stay as they are, and no task gets more.
-FEW_ROWS, TASK_ROWS = 5_000, 250_000
+FEW_ROWS, TASK_ROWS = 5_000, 50_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -249,7 +251,7 @@ def train_champion(
 
     preparation = prepare.fit_preparation(rows, roles)
     final = fit(candidate(name, problem, seed, **{**settings, "rows": n_train + n_test}), preparation.transform(rows))
-    stages = [*preparation.stages, final]
+    stages = [*preparation.stages, *(final.stages if isinstance(final, PipelineModel) else [final])]
     if labels:
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted_class", labels=labels))
     model = PipelineModel(stages)
