@@ -7,7 +7,7 @@ the mean label: the squared loss is the same but for a constant.  The rounds
 then run over the cells.  Their number is at most that of the rows, and does
 not grow with the rows once all combinations of bins have occurred.
 
-Forests are not fitted this way: they draw each row for itself.
+Forests draw cells by tree, see ``forest``.
 """
 
 from __future__ import annotations

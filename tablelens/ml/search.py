@@ -31,6 +31,7 @@ from ..operators.frequency import literal_rows
 from ..session import materialize
 from . import evaluate, prepare
 from .cells import BINS, OnCells
+from .forest import ForestOnCells
 from .split import split, with_folds
 
 T = TypeVar("T")
@@ -57,7 +58,8 @@ def candidate(
     cols = {"featuresCol": "features", "labelCol": "label"}
     if name == "random_forest":
         forest = RandomForestClassifier if problem == "classification" else RandomForestRegressor
-        return forest(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, **cols)
+        grown = forest(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, **cols)
+        return ForestOnCells(grown, classes if problem == "classification" else 0, seed)
     if name == "gradient_boosting":
         cell = {"featuresCol": "binned", "labelCol": "label", "weightCol": "weight"}
         settings = {"maxIter": rounds, "maxDepth": BOOST_DEPTH, "stepSize": STEP, "seed": seed, "maxBins": 2 * BINS}
@@ -108,14 +110,18 @@ AT_ONCE = 4
 FEW_ROWS, TASK_ROWS = 5_000, 50_000
 
 
+def tasks_of(spark: SparkSession, n: int) -> int:
+    """Tasks that ``n`` rows are dealt to."""
+    return max(min(spark.sparkContext.defaultParallelism, n // FEW_ROWS), math.ceil(n / TASK_ROWS), 1)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over the cores.
 
     A narrow table of many rows is one small file, hence one task, whereas the
     trees hold far more bytes of a row than its file does.
     """
-    n = df.count()
-    tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, n // FEW_ROWS), math.ceil(n / TASK_ROWS))
+    tasks = tasks_of(df.sparkSession, df.count())
     return df.repartition(tasks) if tasks > 1 else df
 
 
