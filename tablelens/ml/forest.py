@@ -41,8 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MOST_BINS = 8_000_000
 # Entries of drawn cells that are sent, and of a node table that are summed up, at a time.
 SENT, ENTRIES = 16_000_000, 2_000_000
-# Gains below this share of the root's impurity are rounding.
-ROUNDING = 1e-12
+# Spark's bound: children of less impurity are leaves.
+PURE = 2.0**-52
 
 SPLIT = "struct<featureIndex:int,leftCategoriesOrThreshold:array<double>,numCategories:int>"
 NODE = (
@@ -66,7 +66,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
 
-def _drawn(trees: int, seed: int, classes: bool, centre: float):
+def _drawn(trees: int, seed: int, classes: bool):
     """Per tree and cell how often its rows are drawn, and of numbers the sums of the drawn labels and their squares."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def _drawn(trees: int, seed: int, classes: bool, centre: float):
                     stats = [counts, label[:, None] * np.ones(trees)]
                 else:
                     first = np.flatnonzero(np.r_[True, (bins[1:] != bins[:-1]).any(axis=1)])
-                    y = (label - centre)[:, None]
+                    y = label[:, None]
                     stats = [np.add.reduceat(x, first, axis=0) for x in (counts, counts * y, counts * y * y)]
                     bins = bins[first]
                 kept = stats[0] > 0
@@ -100,16 +100,12 @@ def _weight(stats: np.ndarray, classes: int) -> np.ndarray:
     return stats.sum(axis=-1) if classes else stats[..., 0]
 
 
-def _purity(stats: np.ndarray, classes: int) -> np.ndarray:
-    """Weight times what a node's impurity lacks to a constant (1, or the mean square)."""
-    squares = (stats * stats).sum(axis=-1) if classes else stats[..., 1] ** 2
-    return squares / np.maximum(_weight(stats, classes), 1)
-
-
 def _impurity(stats: np.ndarray, classes: int) -> np.ndarray:
-    """Gini impurity or variance."""
+    """Gini impurity or variance, rounded as Spark rounds it."""
     weight = np.maximum(_weight(stats, classes), 1)
-    return (1.0 if classes else stats[..., 2] / weight) - _purity(stats, classes) / weight
+    if classes:
+        return 1.0 - ((stats / weight[..., None]) ** 2).sum(axis=-1)
+    return (stats[..., 2] - stats[..., 1] * stats[..., 1] / weight) / weight
 
 
 def _sums(place: np.ndarray, size: int, values: list[np.ndarray], classes: int) -> np.ndarray:
@@ -125,19 +121,17 @@ def grow(
 ) -> dict[str, np.ndarray]:
     """The nodes of one tree, level by level, children behind their parents."""
     levels, start, node = [], 0, np.zeros(len(bins), np.int64)
-    active, least = 1, 0.0
+    active = 1
     for level in range(depth + 1):
         stats = _sums(node, active, values, classes)
         impurity, weight = _impurity(stats, classes), np.maximum(_weight(stats, classes), 1)
-        if level == 0:
-            least = ROUNDING * float(impurity[0])
         found = {
             "stats": stats, "impurity": impurity, "gain": np.full(active, -1.0), "feature": np.full(active, -1),
             "cut": np.full(active, -1), "left": np.full(active, -1),
         }
         levels.append(found)
-        open_nodes = (impurity > least) & (level < depth)
-        best = np.full(active, least)
+        open_nodes = (abs(impurity) >= PURE) & (level < depth)
+        best = np.zeros(active)
         chosen = np.zeros((active, len(edges)), bool)
         np.put_along_axis(chosen, rng.random(chosen.shape).argsort(axis=1)[:, :per_node], True, axis=1)
         chosen &= open_nodes[:, None]
@@ -154,8 +148,9 @@ def grow(
                 table = _sums(place, len(some) * width, [v[mine] for v in values], classes).reshape(len(some), width, -1)
                 left = table.cumsum(axis=1)[:, :-1]
                 right = stats[some][:, None] - left
-                gains = (_purity(left, classes) + _purity(right, classes) - _purity(stats[some], classes)[:, None]) / weight[some][:, None]
-                gains[(_weight(left, classes) < 0.5) | (_weight(right, classes) < 0.5)] = -1.0
+                less, more = _weight(left, classes), _weight(right, classes)
+                gains = impurity[some][:, None] - (less * _impurity(left, classes) + more * _impurity(right, classes)) / weight[some][:, None]
+                gains[(less < 0.5) | (more < 0.5)] = -1.0
                 cut = gains.argmax(axis=1)
                 gain = gains[np.arange(len(some)), cut]
                 better = gain > best[some]
@@ -192,7 +187,7 @@ def _pruned(nodes: dict[str, np.ndarray], starts: np.ndarray, classes: int) -> d
     return {k: v[kept] for k, v in (nodes | {"prediction": told}).items()}
 
 
-def _grown(edges: list[list[float]], per_node: int, depth: int, classes: int, seed: int, centre: float):
+def _grown(edges: list[list[float]], per_node: int, depth: int, classes: int, seed: int):
     """The nodes of a tree from its draws."""
 
     def grown(table: pa.Table) -> pa.Table:
@@ -201,10 +196,6 @@ def _grown(edges: list[list[float]], per_node: int, depth: int, classes: int, se
         bins = _matrix(table.column("bins"))
         nodes = grow(bins, values, edges, per_node, depth, classes, np.random.default_rng([seed & 0xFFFFFFFF, 1, tree]))
         stats, told = nodes["stats"], nodes["prediction"]
-        if not classes:
-            weight, total, squares = stats.T
-            stats = np.stack([weight, total + centre * weight, squares + 2 * centre * total + centre * centre * weight], axis=1)
-            told = told + centre
         bound = np.array([edges[f][c] if f >= 0 else 0.0 for f, c in zip(nodes["feature"], nodes["cut"])])
         left = nodes["left"].astype(np.int32)
         columns = [
@@ -232,8 +223,9 @@ class ForestOnCells:
         width = len(edges)
         rows = data.select(binned.array().cast("array<tinyint>").alias("bins"), "label")
         cells = materialize(rows.groupBy("bins", "label").agg(F.count(F.lit(1)).alias("weight")), "cells")
-        n, top, centre = cells.agg(F.count(F.lit(1)), F.max("label"), F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).first()
-        if not n or (n if self.classes else cells.select("bins").distinct().count()) * width > MOST_BINS:
+        n, low, top = cells.agg(F.count(F.lit(1)), F.min("label"), F.max("label")).first()
+        # Of a label that does not vary, Spark's importances hang on the rounding of its sums by row.
+        if low == top or (n if self.classes else cells.select("bins").distinct().count()) * width > MOST_BINS:
             return self.estimator.fit(data)
         classes = max(self.classes, int(top) + 1) if self.classes else 0
         trees = self.estimator.getNumTrees()
@@ -242,14 +234,14 @@ class ForestOnCells:
         # Neighbours share a task, so that few tasks have a part of the same cell.
         dealt = cells.repartitionByRange(tasks_of(data.sparkSession, n), "bins", "label").sortWithinPartitions("bins", "label")
         drawn = dealt.mapInArrow(
-            _drawn(trees, self.seed, classes > 0, centre),
+            _drawn(trees, self.seed, classes > 0),
             "tree int, bins array<tinyint>, " + ", ".join(f"{c} double" for c in stats),
         )
         if not classes:
             drawn = drawn.groupBy("tree", "bins").agg(*[F.sum(c).alias(c) for c in stats])
         grown = drawn.repartition(trees, "tree").groupBy("tree")
         return self.model(
-            grown.applyInArrow(_grown(edges, share, self.estimator.getMaxDepth(), classes, self.seed, centre), GROWN), width, classes
+            grown.applyInArrow(_grown(edges, share, self.estimator.getMaxDepth(), classes, self.seed), GROWN), width, classes
         )
 
     def model(self, nodes: DataFrame, width: int, classes: int):

@@ -76,7 +76,7 @@ def test_work_does_not_grow_with_copies(boats, monkeypatch):
 def test_equal_rows_are_drawn_as_single_rows_would_be(spark, classes):
     cells = spark.createDataFrame([([1, 2], 3.0, 300), ([1, 2], 5.0, 100)], "bins array<tinyint>, label double, weight bigint").coalesce(1)
     schema = "tree int, bins array<tinyint>, weight double, " + ("label double" if classes else "total double, squares double")
-    rows = cells.mapInArrow(forest._drawn(2000, 1, classes, 0.0), schema).toPandas()
+    rows = cells.mapInArrow(forest._drawn(2000, 1, classes), schema).toPandas()
     counts = rows.groupby("tree")["weight"].sum()
     assert len(counts) == 2000 and counts.mean() == pytest.approx(400, rel=0.01) and counts.var() == pytest.approx(400, rel=0.15)
     if not classes:
@@ -93,6 +93,13 @@ def test_too_many_cells_for_a_task_are_left_to_rows(boats, monkeypatch):
     assert passed.value.args == (1200,)
 
 
+def test_a_constant_label_is_left_to_rows(boats, monkeypatch):
+    ours = search.candidate("random_forest", "regression")
+    monkeypatch.setattr(ours.estimator, "fit", refuse)
+    with pytest.raises(Passed):
+        search.fit(ours, boats.selectExpr("features", "949.95D AS label"))
+
+
 def test_nodes_of_a_tree():
     bins = np.array([[1, 1], [1, 2], [2, 1], [2, 2]])
     nodes = forest.grow(bins, [np.array([2.0, 1, 3, 0]), np.array([0.0, 0, 1, 1])], [[0.5], [0.5]], 2, 30, 2, np.random.default_rng(0))
