@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +13,9 @@ from pyspark.sql.types import StructType
 
 from ..session import materialize as _materialize
 from ..session import scratch_path
+from ..sources.files import remove
 
-__all__ = ["bound_batches", "fresh", "join_counted", "materialize", "map_batches", "parallelism", "read", "scratch_path", "utf8"]
+__all__ = ["bound_batches", "fresh", "join_counted", "materialize", "map_batches", "parallelism", "passing", "read", "scratch_path", "utf8"]
 
 
 # Bytes of the Arrow batches that tasks exchange with Python, whatever the length of the texts.
@@ -32,9 +35,38 @@ def _bytes(setting: str) -> int:
     return int(digits[:-1] if unit else digits) << unit
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+# The tables of each open ``passing``, the innermost last.
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, shuffle files as soon as the query that wrote them is done.
+
+    Nothing that outlives the block may read these tables: what is needed later is stored with ``stays``.
+    """
+    tables: list[str] = []
+    outer = _passing.set((*_passing.get(), tables))
+    before = spark.conf.get(_SHUFFLE_CLEANUP)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+        _passing.reset(outer)
+        for path in tables:
+            remove(spark, path)
+
+
+def materialize(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
+    """``df`` as a stored table; with ``stays`` it outlives the innermost ``passing``, if not those around it."""
     bound_batches(df.sparkSession)
-    return _materialize(df, label)
+    path = scratch_path(df.sparkSession, label)
+    scopes = _passing.get()[:-1] if stays else _passing.get()
+    if scopes:
+        scopes[-1].append(path)
+    return _materialize(df, label, path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, parallelism, utf8
+from .common import fresh, materialize, parallelism, passing, utf8
 from .components import components
 from .simhash import SEED, THRESHOLD, links, majority
 
@@ -417,9 +417,17 @@ def drop_near_copies(
     """``docs`` with one document of each component: the smallest id, null last, any one of repeated rows."""
     row = fresh(docs, "row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select(F.col(row).alias("row"), utf8(F.col(f"`{text_col}`")).alias("raw"))
+    with passing(docs.sparkSession):
+        texts = numbered.select(F.col(row).alias("row"), utf8(F.col(f"`{text_col}`")).alias("raw"))
+        ids = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"))
+        dropped = materialize(_copies(texts, ids, size, least, threshold, block).withColumnRenamed("row", row), "dropped-rows", stays=True)
+    return numbered.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _copies(texts: DataFrame, ids: DataFrame, size: int, least: float, threshold: int, block: int) -> DataFrame:
+    """The rows that are not the first of their component, of (row, raw) and (row, id)."""
+    spark = texts.sparkSession
     found = materialize(read_texts(texts, size), "text-prints")
-    ids = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"))
     keyed = found.where("row IS NOT NULL").select("row", "key", "fp").join(ids, "row")
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))
     one = keyed.groupBy("key").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("copies"))
@@ -428,27 +436,34 @@ def drop_near_copies(
     names = one.select("name", F.col("node").alias("row"))
 
     met = materialize(shared(prefixes(texts.select("raw"), frequent_shingles(found, FREQUENT), size, least), least), "shared-shingles")
-    tried = materialize(_first_proposals(one, met, least, threshold), "first-pairs")
+    with passing(spark):
+        tried = materialize(_first_proposals(one, met, least, threshold), "first-pairs", stays=True)
+
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        with passing(spark):
+            return materialize(confirmed(pairs, names, texts, size, least), label, stays=True)
 
     def joined(links_: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The components as links to their roots, and (name, root) of all texts."""
-        stars = materialize(components(links_).select(F.col("node").alias("a"), F.col("root").alias("b")), "stars")
-        found = one.join(stars, F.col("node") == F.col("a"), "left").groupBy("name").agg(F.min(F.coalesce("b", "node")).alias("root"))
-        return stars, materialize(found, "text-roots")
+        with passing(spark):
+            stars = materialize(components(links_).select(F.col("node").alias("a"), F.col("root").alias("b")), "stars", stays=True)
+        roots = one.join(stars, F.col("node") == F.col("a"), "left").groupBy("name").agg(F.min(F.coalesce("b", "node")).alias("root"))
+        return stars, materialize(roots, "text-roots")
 
-    stars, known = joined(materialize(confirmed(tried, names, texts, size, least), "first-links"))
+    stars, known = joined(linked(tried, "first-links"))
     for turn in range(HUB_ROUNDS):
-        more = materialize(other_hubs(met, known, least, turn, block).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        with passing(spark):
+            more = materialize(other_hubs(met, known, least, turn, block).join(tried, ["a", "b"], "left_anti"), "hub-pairs", stays=True)
         if more.isEmpty():
             break
         tried = tried.union(more)
-        stars, known = joined(stars.union(materialize(confirmed(more, names, texts, size, least), "hub-links")))
+        stars, known = joined(stars.union(linked(more, "hub-links")))
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = materialize(open_pairs(met, known, least, block).join(done, ["a", "b"], "left_anti"), "open-pairs")
-    confirmed_links = stars.union(materialize(confirmed(left, names, texts, size, least), "last-links"))
-
-    linked = one.join(components(confirmed_links), "node")
-    kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
-    stays = materialize(one.join(linked.join(kept, "root").select("key", "kept"), "key", "left").select("key", F.coalesce("kept", "first").alias("kept")), "kept-texts")
-    dropped = keyed.join(stays, "key").where(F.col("row") != F.col("kept")["row"]).select(F.col("row").alias(row))
-    return numbered.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with passing(spark):
+        left = materialize(open_pairs(met, known, least, block).join(done, ["a", "b"], "left_anti"), "open-pairs", stays=True)
+    confirmed_links = stars.union(linked(left, "last-links"))
+
+    linked_texts = one.join(components(confirmed_links), "node")
+    kept = linked_texts.groupBy("root").agg(F.min("first").alias("kept"))
+    stays = materialize(one.join(linked_texts.join(kept, "root").select("key", "kept"), "key", "left").select("key", F.coalesce("kept", "first").alias("kept")), "kept-texts")
+    return keyed.join(stays, "key").where(F.col("row") != F.col("kept")["row"]).select("row")

@@ -53,12 +53,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/tablelens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as a Parquet table in shared storage.
 
     Unlike cached blocks the result survives the loss of any executor, and
-    unlike an RDD checkpoint it is read back with column pruning.
+    unlike an RDD checkpoint it is read back with column pruning.  ``path`` is
+    a scratch path of the caller's.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
